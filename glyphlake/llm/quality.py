@@ -113,8 +113,10 @@ def cascade(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
     The base rules come first in any case. The others are ordered by what ``sample_rows`` rows (a
     documented bound; only the order follows from them) show of their cost and selectivity.
     """
-    measured = text_metrics(docs.select(F.col(f"`{text}`").alias("text")).limit(sample_rows)).select("m.*")
-    ordered = cascade_order(estimate(measured.persist(), rules))
+    first_rows = docs.select(F.col(f"`{text}`").cast("string").alias("text")).limit(sample_rows)
+    sample = docs.sparkSession.createDataFrame(first_rows.collect(), "text string")
+    measured = text_metrics(sample).select("m.*").persist()
+    ordered = cascade_order(estimate(measured, rules))
     measured.unpersist()
     full = text_metrics(docs, text, out)
     first = None

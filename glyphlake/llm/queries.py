@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import corpus_pipeline  # noqa: F401  (belongs to this subpackage)
 
-from . import quality
+from . import html_text, language, mixing, quality, sentencepiece_fst, toxicity
 
 QUERIES = {
+    "op1_language_mixture": language.op1_language_mixture,
+    "op3_pfair_mix": mixing.op3_pfair_mix,
+    "op5_sentencepiece": sentencepiece_fst.op5_sentencepiece,
+    "op6_toxicity_pu": toxicity.op6_toxicity_pu,
     "op8_quality_cascade": quality.op8_quality_cascade,
+    "op9_html_blocks": html_text.op9_html_blocks,
 }
 ORACLES = {
+    "op3_pfair_mix": mixing.OP3_SQL,
     "op8_quality_cascade": quality.OP8_SQL,
 }

@@ -7,6 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+def extended(df: DataFrame, ddl: str) -> StructType:
+    """The schema of ``df`` with further columns behind."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
 def shared_dir(spark: SparkSession) -> str:
