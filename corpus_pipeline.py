@@ -1,3 +1,64 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: quality rules, near-duplicate groups, repeated passages, mixing, encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read again as
+the next stage's documents. All stages but the last return the columns of ``documents``.
+
+The mixing stage keeps every document and puts them into the mixed order: the rows are sorted by slot and
+place, and so are the written files. The encoding stage replaces each text by its pieces. SQL can't express
+the encoding, so the whole is tested against brute force instead (tests/llm/test_pipeline.py).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from glyphlake.llm.mixing import pfair_mix
+from glyphlake.llm.ngram_join import one_of_each_group
+from glyphlake.llm.quality import reject_low_quality
+from glyphlake.llm.sentencepiece_fst import DEFAULT_MODEL, encode_column
+from glyphlake.llm.shared import Scratch
+from glyphlake.llm.window_index import without_repeats
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a rule go."""
+    return reject_low_quality(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that with the smallest id."""
+    return one_of_each_group(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that a document with a smaller id has too are cut out."""
+    return without_repeats(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the mixing schedule."""
+    return pfair_mix(docs).orderBy("slot", "place").select(*[f"`{c}`" for c in docs.columns])
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts become piece numbers."""
+    return encode_column(docs, DEFAULT_MODEL).selectExpr("doc_id", "lang", "source", "n_chars", "cast(size(ids) as bigint) as n_pieces", "ids")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("mix_sources", mix_sources),
+    ("encode", encode),
+]
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage returns is written and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.put(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-import corpus_pipeline  # noqa: F401  (belongs to this subpackage)
+import corpus_pipeline
 
-from . import html_text, language, mixing, quality, sentencepiece_fst, toxicity
+from . import html_text, language, mixing, ngram_join, quality, sentencepiece_fst, tool_calls, toxicity, vector_neardup, window_index
 
 QUERIES = {
     "op1_language_mixture": language.op1_language_mixture,
+    "op2_collision_neardup": vector_neardup.op2_collision_neardup,
     "op3_pfair_mix": mixing.op3_pfair_mix,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_sentencepiece": sentencepiece_fst.op5_sentencepiece,
     "op6_toxicity_pu": toxicity.op6_toxicity_pu,
+    "op7_tool_links": tool_calls.op7_tool_links,
     "op8_quality_cascade": quality.op8_quality_cascade,
     "op9_html_blocks": html_text.op9_html_blocks,
+    "op10_window_index": window_index.op10_window_index,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
+    "op2_collision_neardup": vector_neardup.OP2_SQL,
     "op3_pfair_mix": mixing.OP3_SQL,
+    "op4_ngram_join": ngram_join.OP4_SQL,
+    "op7_tool_links": tool_calls.OP7_SQL,
     "op8_quality_cascade": quality.OP8_SQL,
+    "op10_window_index": window_index.OP10_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
