@@ -31,8 +31,10 @@ def _tables(seed: int, size: int):
     rng = np.random.default_rng(seed)
     codes = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
     base = int(rng.integers(1 << 40, 1 << 62)) * 2 + 1
-    powers = np.cumprod(np.concatenate([[1], np.full(size, base & (2**64 - 1))]).astype(np.uint64), dtype=np.uint64)
-    inverse = np.cumprod(np.concatenate([[1], np.full(size, pow(base, -1, 2**64))]).astype(np.uint64), dtype=np.uint64)
+    steps = [np.full(size + 1, x, np.uint64) for x in (base, pow(base, -1, 2**64))]
+    for step in steps:
+        step[0] = 1
+    powers, inverse = (np.cumprod(step, dtype=np.uint64) for step in steps)
     return codes, powers, inverse
 
 

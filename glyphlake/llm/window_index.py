@@ -82,7 +82,7 @@ def _scan(window: int):
                 some = ids.slice(at, len(texts))
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 rank = np.arange(len(words), dtype=np.uint64) - np.repeat(ends[:-1], counts).astype(np.uint64)
-                mixed = np.concatenate([[0], np.cumsum(textops.mix(words ^ textops.mix(rank + np.uint64(1))), dtype=np.uint64)]).astype(np.uint64)
+                mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(textops.mix(words ^ textops.mix(rank + np.uint64(1))), dtype=np.uint64)])
                 digests = (mixed[ends[1:]] - mixed[ends[:-1]]) ^ counts.astype(np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(len(texts), np.int8)), some, pa.array(counts), pa.array(digests.view(np.int64)), pa.array([_sha(x) for x in texts])], ["kind", "doc_id", "n", "value", "sha"]
