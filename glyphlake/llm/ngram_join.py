@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .shared import Scratch, connected_components
+from .shared import Scratch, bit_table, connected_components, may_hold
 
 WIDTH = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -106,16 +106,29 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+#: Classes that a task remembers, so as to send each of them once.
+SEEN = 1 << 20
+
+
+def _unseen(seen: set, key: int) -> bool:
+    if key in seen:
+        return False
+    if len(seen) >= SEEN:
+        seen.clear()
+    seen.add(key)
+    return True
+
+
 def _prefixes(heavy, width: int, percent: int):
-    """Rows (gram, node, n, pos) of the prefixes; the input has the digest of the class that a text stands for."""
+    """Rows (gram, node, n, pos) of the prefixes, about once for each class and task."""
 
     def run(batches):
-        last = heavy.value
+        last, seen = heavy.value, set()
         for batch in batches:
-            want = batch.column("d1").to_pylist()
             out = [[], [], [], []]
-            for k, grams in _batched(batch, width):
-                if digest(grams) != want[k]:
+            for _, grams in _batched(batch, width):
+                node = digest(grams)
+                if not len(grams) or not _unseen(seen, node):
                     continue
                 if len(last):
                     found = np.searchsorted(last, grams)
@@ -123,7 +136,7 @@ def _prefixes(heavy, width: int, percent: int):
                     grams = np.concatenate([grams[~is_heavy], grams[is_heavy]])
                 size = prefix_size(len(grams), percent)
                 out[0].append(grams[:size])
-                out[1].append(np.full(size, want[k], np.int64))
+                out[1].append(np.full(size, node, np.int64))
                 out[2].append(np.full(size, len(grams), np.int32))
                 out[3].append(np.arange(size, dtype=np.int32))
             if out[0]:
@@ -149,6 +162,9 @@ def _stars(percent: int):
         carry = None  # the last gram's first row and last row so far
         for batch in batches:
             gram, node, n, pos = (batch.column(c).to_numpy() for c in ("gram", "node", "n", "pos"))
+            if len(gram):  # a class that several tasks have sent
+                again = np.concatenate([[carry is not None and carry[0] == gram[0] and carry[2][0] == node[0]], (gram[1:] == gram[:-1]) & (node[1:] == node[:-1])])
+                gram, node, n, pos = (x[~again] for x in (gram, node, n, pos))
             n, pos = n.astype(np.int64), pos.astype(np.int64)
             if not len(gram):
                 continue
@@ -190,20 +206,22 @@ def _stars(percent: int):
     return run
 
 
-def _segments(width: int, fragments: int):
-    """Rows (node, n, fragment, grams): the sets cut at fixed places of the order."""
+def _segments(wanted, width: int, fragments: int):
+    """Rows (doc_id, node, n, fragment, grams) of the wanted classes: the sets cut at fixed places of the order."""
 
     def run(batches):
         cuts = np.arange(1, fragments, dtype=np.uint64) * np.uint64((1 << 64) // fragments)
+        table = wanted.value
         for batch in batches:
-            want = batch.column("d1").to_pylist()
+            ids = batch.column("doc_id").to_pylist()
             for k, grams in _batched(batch, width):
-                if digest(grams) != want[k]:
+                node = digest(grams)
+                if not len(grams) or not may_hold(table, node):
                     continue
                 ends = np.concatenate([[0], np.searchsorted(grams, cuts), [len(grams)]]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(fragments, want[k], np.int64)), pa.array(np.full(fragments, len(grams), np.int64)), pa.array(np.arange(fragments, dtype=np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(grams)))],
-                    ["node", "n", "fragment", "grams"],
+                    [pa.array([ids[k]] * fragments, pa.int64()), pa.array(np.full(fragments, node, np.int64)), pa.array(np.full(fragments, len(grams), np.int64)), pa.array(np.arange(fragments, dtype=np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(grams)))],
+                    ["doc_id", "node", "n", "fragment", "grams"],
                 )
 
     return run
@@ -232,18 +250,26 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     top = scan.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("m")).where(f"m >= {HEAVY_AT}").orderBy(F.desc("m"), "d1").limit(HEAVY_KEPT)
     heavy = spark.sparkContext.broadcast(np.sort(top.select("d1").toPandas()["d1"].to_numpy(np.int64).view(np.uint64)))
 
-    def of_classes(wanted: DataFrame) -> DataFrame:
-        return docs.join(wanted.select(F.col("first").alias("doc_id"), "d1"), "doc_id")
-
-    prefixes = of_classes(classes).mapInArrow(_prefixes(heavy, width, percent), "gram long, node long, n int, pos int")
+    prefixes = docs.mapInArrow(_prefixes(heavy, width, percent), "gram long, node long, n int, pos int")
     stars = prefixes.repartition("gram").sortWithinPartitions("gram", "n", "node").mapInArrow(_stars(percent), "kind byte, a long, b long, n int, pos int")
     stars = scratch.put(stars, "stars")
-    pairs = stars.where("kind = 0").select("a", "b").distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The linked ones of distinct candidate pairs; only their texts' segments are formed and moved."""
+        met = scratch.put(pairs.select(F.col("a").alias("d1")).union(pairs.select("b")).distinct().join(classes, "d1"), "met")
+        wanted = spark.sparkContext.broadcast(bit_table(met.select("d1")))
+        rows = docs.mapInArrow(_segments(wanted, width, fragments), "doc_id long, node long, n long, fragment int, grams array<long>")
+        rows = rows.join(met.select(F.col("d1").alias("node"), F.col("first").alias("doc_id")), ["node", "doc_id"]).drop("doc_id")
+        segments = scratch.put(rows, "segments")
+        found = scratch.put(verify(pairs, segments, percent), "links")
+        scratch.drop(segments, met)
+        wanted.unpersist()
+        return found
+
+    pairs = scratch.put(stars.where("kind = 0").select("a", "b").distinct(), "pairs")
     shared = stars.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("gram"), "n", "pos")
 
-    met = shared.select("node").distinct()
-    segments = scratch.put(of_classes(classes.join(met, classes["d1"] == met["node"])).mapInArrow(_segments(width, fragments), "node long, n long, fragment int, grams array<long>"), "segments")
-    links = scratch.put(verify(pairs, segments, percent), "links")
+    links = verified(pairs)
     found = connected_components(scratch, links)
 
     # what the stars have left apart: texts of different components that share a prefix n-gram
@@ -254,8 +280,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     need = f"ceil({percent} * (n + n_b) / {100 + percent}.0D - 1e-9)"
     rest = labelled.join(other, "gram").where(f"node < node_b and component <> component_b and 100 * least(n, n_b) >= {percent} * greatest(n, n_b) and least(n - pos, n_b - pos_b) >= {need}")
     rest = rest.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = scratch.put(verify(rest, segments, percent), "links")
-    if not more.isEmpty():
+    rest = scratch.put(rest, "rest")
+    if not rest.isEmpty() and not (more := verified(rest)).isEmpty():
         found = connected_components(scratch, links.union(more))
 
     named = classes.join(found.withColumnRenamed("node", "d1"), "d1", "left").withColumn("component", F.coalesce("component", "d1"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -57,6 +58,27 @@ class Scratch:
                 self._delete(path)
 
 
+BITS = 1 << 27
+
+
+def bit_table(keys: DataFrame) -> np.ndarray:
+    """A bitmap of BITS bits (16 MB, whatever the input) in which the bit of every hashed key is set.
+
+    keys has one column of 64-bit hashes. A clear bit means that a key isn't there; a set one may be
+    another key's, so it only saves work ahead of an exact join.
+    """
+    slot = keys.toDF("key").selectExpr(f"pmod(key, {BITS}) as s")
+    words = slot.selectExpr("s div 64 as w", "shiftleft(1L, cast(s % 64 as int)) as b").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(BITS // 64, np.int64)
+    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def may_hold(table: np.ndarray, key: int) -> bool:
+    slot = key % BITS
+    return bool((int(table[slot >> 6]) >> (slot & 63)) & 1)
+
+
 def connected_components(scratch: Scratch, links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Map every node of ``links`` (a, b) to the smallest node of its component: (node, component).
 
