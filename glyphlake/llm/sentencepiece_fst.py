@@ -31,7 +31,7 @@ from .shared import extended
 
 MARK = "▁"
 #: Chunks whose shortest path a Python worker keeps.
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 800_000
 KEPT_PAIRS = 1_000_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -108,8 +108,8 @@ class Transducer:
         self.chunk = re.compile(rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n+" if apart else r"[\s\S]+")
         self.tree: dict = {}
         for text, k in self.ids.items():
-            node = self.tree
-            for c in text:
+            node = self.tree  # of the pieces read backwards, to find those that end somewhere
+            for c in reversed(text):
                 node = node.setdefault(c, {})
             node[""] = k
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -127,20 +127,7 @@ class Transducer:
         return text.replace(" ", MARK) if self.model.escape else text
 
     # lattice ---------------------------------------------------------------------------------------
-    def arcs(self, text: str, at: int):
-        """(end, piece text) of the pieces that start at a position; a lone character where none does."""
-        node, end, single = self.tree, at, False
-        while end < len(text) and (node := node.get(text[end])) is not None:
-            end += 1
-            if "" in node:
-                single |= end == at + 1
-                yield end, text[at:end]
-        if not single:
-            yield at + 1, text[at]
-
     def weight(self, piece: str) -> float:
-        if self.model.kind == BPE:
-            return 1.0
         return -self.scores[piece] if piece in self.scores else self.worst
 
     def shortest(self, text: str) -> list[str]:
@@ -148,28 +135,36 @@ class Transducer:
 
         A state is a position with the piece before it. One state a position is enough: a unigram model
         has no use for the piece, and in a BPE model only one sequence of pieces that stay apart covers
-        a prefix.
+        a prefix. Characters without a piece of their own get an arc to byte fallback.
         """
-        bpe, pairs, together, weight = self.model.kind == BPE, self.pairs, self.together, self.weight
-        reached: list = [None] * (len(text) + 1)
+        bpe, known, size = self.model.kind == BPE, self.pairs.get, len(text)
+        reached: list = [None] * (size + 1)
         reached[0] = (0.0, 0, "")
-        for at in range(len(text)):
-            state = reached[at]
-            if state is None:
-                continue
-            so_far, _, before = state
-            for end, piece in self.arcs(text, at):
+        for end in range(1, size + 1):
+            node, at, starts = self.tree, end, []
+            while at and (node := node.get(text[at - 1])) is not None:
+                at -= 1
+                if "" in node:
+                    starts.append(at)
+            if not starts or starts[0] != end - 1:
+                starts.insert(0, end - 1)
+            best = None
+            for at in reversed(starts):  # the longest piece first
+                if reached[at] is None:
+                    continue
+                so_far, _, before = reached[at]
+                piece = text[at:end]
                 if bpe:
-                    apart = pairs.get((before, piece))
-                    if not (together(before, piece) if apart is None else apart):
-                        continue
-                    cost = so_far + 1.0
-                else:
-                    cost = so_far + weight(piece)
-                best = reached[end]
-                if best is None or cost < best[0]:
-                    reached[end] = (cost, at, piece)
-        at, out = len(text), []
+                    apart = known((before, piece))
+                    if apart is None:
+                        apart = self.together(before, piece)
+                    if apart:
+                        best = (so_far + 1.0, at, piece)
+                        break
+                elif best is None or so_far + self.weight(piece) < best[0]:
+                    best = (so_far + self.weight(piece), at, piece)
+            reached[end] = best
+        at, out = size, []
         while at:
             _, at, piece = reached[at]
             out.append(piece)

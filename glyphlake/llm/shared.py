@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -79,6 +80,22 @@ def may_hold(table: np.ndarray, key: int) -> bool:
     return bool((int(table[slot >> 6]) >> (slot & 63)) & 1)
 
 
+def prefilter(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id may be in ``ids`` (a column doc_id), ahead of a join on it."""
+    columns = docs.columns
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(ids.select(F.xxhash64("doc_id"))))
+
+    def run(batches):
+        words = table.value
+        for batch in batches:
+            slot = batch.column("_slot").to_numpy()
+            keep = (words[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
+            rows = batch.filter(pa.array(keep.astype(bool)))
+            yield pa.RecordBatch.from_arrays([rows.column(c) for c in columns], columns)
+
+    return docs.withColumn("_slot", F.pmod(F.xxhash64("doc_id"), F.lit(BITS))).mapInArrow(run, docs.schema)
+
+
 def connected_components(scratch: Scratch, links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Map every node of ``links`` (a, b) to the smallest node of its component: (node, component).
 

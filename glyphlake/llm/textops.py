@@ -92,13 +92,13 @@ def _last_space(text: bytes, at: int) -> int:
     return min(ends) + 1 if ends else len(text)
 
 
-def word_hashes(texts: list[bytes], seeds: tuple[int, ...] = (1,), lower: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
+def word_hashes(texts: list[bytes], seeds: tuple[int, ...] = (1,), lower: bool = False, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, list[np.ndarray]]:
     """Number of words per text, and for each seed the 64-bit hashes of all words in order.
 
-    lower: A-Z count as a-z.
+    lower: A-Z count as a-z. heads: also the hashes of the words' first so many bytes.
     """
     counts = np.zeros(len(texts), np.int64)
-    out: list[list[np.ndarray]] = [[] for _ in seeds]
+    out: list[list[np.ndarray]] = [[] for _ in (*seeds, *heads)]
     for group in _sections(texts):
         joined = b" ".join(x for _, x in group)
         buf = np.frombuffer(joined, np.uint8)
@@ -111,6 +111,8 @@ def word_hashes(texts: list[bytes], seeds: tuple[int, ...] = (1,), lower: bool =
             counts += np.bincount(np.array([k for k, _ in group])[where], minlength=len(texts))
             for hashes, seed in zip(out, seeds):
                 hashes.append(_hash(buf, starts, ends, seed))
+            for hashes, size in zip(out[len(seeds) :], heads):
+                hashes.append(_hash(buf, starts, np.minimum(ends, starts + size), 1))
     return counts, [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
 
 

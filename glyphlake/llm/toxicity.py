@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A logistic classifier over hashed words learns from confirmed toxic texts and unlabelled texts with the
+A logistic classifier over hashed words and word beginnings learns from confirmed toxic texts and unlabelled texts with the
 risk  prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)),  the class prior being the
 share of toxic rows among the labelled training rows. Where the second part falls below zero the step
 goes against it, so flexible models don't overfit the positives.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import textops
 from .shared import extended
 
-DIMENSIONS = 1 << 18
+DIMENSIONS = 1 << 19
 MAX_POSITIVE = 8000
 MAX_UNLABELLED = 16000
 THRESHOLD = 0.3
@@ -35,11 +35,27 @@ def _blank_marks(text: bytes) -> bytes:
 _MARKS = bytes(b if chr(b).isalpha() and b < 128 or b >= 128 else 32 for b in range(256))
 
 
+#: Bytes of a word's beginning that make a feature of their own, and how often it may count.
+HEAD, TIMES = 6, 3
+#: The first numbers stand for the text's length, in powers of two.
+LENGTHS = 32
+
+
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(number of distinct hashed words of each text, their numbers, text by text)."""
-    counts, (hashes,) = textops.word_hashes([_blank_marks(x) for x in texts], lower=True)
-    key = np.repeat(np.arange(len(texts), dtype=np.int64), counts) * DIMENSIONS + (hashes >> np.uint64(46)).astype(np.int64)
-    key = np.unique(key)
+    """(number of features of each text, their numbers, text by text).
+
+    Features are the distinct words, the beginnings of words met once, twice and three times or more, and
+    the length.
+    """
+    counts, (hashes, heads) = textops.word_hashes([_blank_marks(x) for x in texts], lower=True, heads=(HEAD,))
+    owner = np.repeat(np.arange(len(texts), dtype=np.int64), counts) * DIMENSIONS
+    half = DIMENSIONS // 2
+    word = np.unique(owner + (hashes >> np.uint64(46)).astype(np.int64))
+    head, n = np.unique(owner + (heads >> np.uint64(46)).astype(np.int64), return_counts=True)
+    times = [head[n >= k] for k in range(1, TIMES + 1)]
+    times = [x // DIMENSIONS * DIMENSIONS + half + (textops.mix(x.astype(np.uint64) % np.uint64(DIMENSIONS) + np.uint64(k << 32)) >> np.uint64(46)).astype(np.int64) for k, x in enumerate(times)]
+    length = np.arange(len(texts), dtype=np.int64) * DIMENSIONS + np.minimum(np.log2(counts + 1).astype(np.int64), LENGTHS - 1)
+    key = np.unique(np.concatenate([word, *times, length]))
     return np.bincount(key // DIMENSIONS, minlength=len(texts)), (key % DIMENSIONS).astype(np.int32)
 
 
@@ -88,6 +104,7 @@ class ToxicityModel:
         pooled = (in_p + in_u) / (len(positives) + len(unlabelled))
         error = np.sqrt(np.maximum(pooled * (1 - pooled) * (1 / len(positives) + 1 / len(unlabelled)), 1e-18))
         seen = (np.abs(in_p / len(positives) - in_u / len(unlabelled)) >= least * error) & (in_p + in_u >= 3)
+        seen[:LENGTHS] = True
         n_p, n_u = (np.array([seen[x].sum() for x in rows], int) for rows in (positives, unlabelled))
         p, u = p[seen[p]], u[seen[u]]
         weights, bias = np.zeros(DIMENSIONS), float(np.log(prior / (1 - prior)))

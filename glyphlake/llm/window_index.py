@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .shared import Scratch
+from .shared import Scratch, prefilter
 
 WINDOW = 50
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -189,14 +189,14 @@ class WindowIndex:
         involved = put(found.groupBy("doc_id").agg(F.collect_set("print").alias("shared")).join(stands, "doc_id"), "involved")
 
         source = batch if self.history is None else self.history.unionByName(batch)
-        texts_of = source.join(involved, "doc_id")
+        texts_of = prefilter(source, involved).join(involved, "doc_id")
         windows = put(texts_of.mapInArrow(_windows(self.window), "h1 long, h2 long, doc_id long, pos int"), "windows")
         owners = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
         owners = put(owners.select("h1", "h2", "owner"), "owners")
         marks = windows.join(owners, ["h1", "h2"]).where("owner < doc_id").groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
         marks = put(marks.join(stands, "doc_id"), "marks")
         schema = "doc_id long, digest long, n_removed long, sha string" + (", kept_text string" if keep_text else "")
-        stripped = put(batch.join(marks, "doc_id").mapInArrow(_strip(self.window, keep_text), schema).dropDuplicates(["doc_id", "digest"]), "stripped")
+        stripped = put(prefilter(batch, marks).join(marks, "doc_id").mapInArrow(_strip(self.window, keep_text), schema).dropDuplicates(["doc_id", "digest"]), "stripped")
 
         gone = copies.select("doc_id", "digest", F.col("n_words").alias("n_removed"), F.lit(EMPTY_SHA).alias("sha"))
         if keep_text:
