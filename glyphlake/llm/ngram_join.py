@@ -1,9 +1,10 @@
 """Exact Jaccard self-join of word n-gram sets by vertical partitioning.
 
 All n-grams stand in one global order: the heavy ones (found in many texts) last, the others by hash.
-That order is cut into FRAGMENTS fragments. Candidate pairs share an n-gram of their prefixes, the first
-n - ceil(t n) + 1 n-grams of each set; sets whose similarity reaches t always do. For each candidate pair
-the overlaps of its two segments are counted fragment by fragment, apart from each other, and summed.
+That order is cut into FRAGMENTS fragments. Candidate pairs share SHARED n-grams of their prefixes, the
+first n - ceil(t n) + SHARED n-grams of each set; sets whose similarity reaches t always do. For each
+candidate pair the overlaps of its two segments are counted fragment by fragment, apart from each other,
+and summed.
 
 Large groups never meet pair by pair. Equal sets become one class first. Then every n-gram's texts,
 sorted by size, are compared with the first of them and with the one before; the links found join texts
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .shared import Scratch, bit_table, connected_components, may_hold
+from .shared import Scratch, connected_components, prefilter
 
 WIDTH = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -62,9 +63,13 @@ def digest(grams: np.ndarray) -> int:
     return a - (1 << 64) if a >= 1 << 63 else a
 
 
+#: How many prefix n-grams a candidate pair shares at least, where its overlap needs so many.
+SHARED = 4
+
+
 def prefix_size(n: int, percent: int = PERCENT) -> int:
-    """Two sets that link share one of their first so many n-grams."""
-    return n - -(-n * percent // 100) + 1
+    """Two sets that link share SHARED of their first so many n-grams (or as many as their overlap needs)."""
+    return min(n, n - -(-n * percent // 100) + SHARED)
 
 
 def _batched(batch: pa.RecordBatch, width: int, size: int = 256):
@@ -120,12 +125,12 @@ def _unseen(seen: set, key: int) -> bool:
 
 
 def _prefixes(heavy, width: int, percent: int):
-    """Rows (gram, node, n, pos) of the prefixes, about once for each class and task."""
+    """Rows (gram, node, n) of the prefixes, about once for each class and task."""
 
     def run(batches):
         last, seen = heavy.value, set()
         for batch in batches:
-            out = [[], [], [], []]
+            out = [[], [], []]
             for _, grams in _batched(batch, width):
                 node = digest(grams)
                 if not len(grams) or not _unseen(seen, node):
@@ -138,56 +143,58 @@ def _prefixes(heavy, width: int, percent: int):
                 out[0].append(grams[:size])
                 out[1].append(np.full(size, node, np.int64))
                 out[2].append(np.full(size, len(grams), np.int32))
-                out[3].append(np.arange(size, dtype=np.int32))
             if out[0]:
-                gram, node, n, pos = (np.concatenate(x) for x in out)
+                gram, node, n = (np.concatenate(x) for x in out)
                 for at in range(0, len(gram), 1 << 16):
                     s = slice(at, at + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(gram[s])), pa.array(node[s]), pa.array(n[s]), pa.array(pos[s])], ["gram", "node", "n", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(_signed(gram[s])), pa.array(node[s]), pa.array(n[s])], ["gram", "node", "n"])
 
     return run
 
 
-def _possible(n_a, pos_a, n_b, pos_b, percent):
-    """Size and position filters: the n-grams before the shared one lie outside of the overlap."""
+def _needed(n_a, n_b, percent):
+    """n-grams that the prefixes of two sets must share; 0 where their sizes rule a link out."""
     low, high = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
-    need = -(-percent * (n_a + n_b) // (100 + percent))
-    return (low * 100 >= high * percent) & (np.minimum(n_a - pos_a, n_b - pos_b) >= need)
+    overlap = -(-percent * (n_a + n_b) // (100 + percent))
+    return np.where(low * 100 >= high * percent, np.minimum(overlap, SHARED), 0)
 
 
 def _stars(percent: int):
-    """From rows sorted by gram and size: kind 0, pairs (a, b) to verify; kind 1, rows of grams of several texts."""
+    """From rows sorted by gram and size: kind 0, pairs (a, b), how often met (n) and how often needed (pos); kind 1, rows of grams of several texts (node, gram, n)."""
 
     def run(batches):
         carry = None  # the last gram's first row and last row so far
         for batch in batches:
-            gram, node, n, pos = (batch.column(c).to_numpy() for c in ("gram", "node", "n", "pos"))
+            gram, node, n = (batch.column(c).to_numpy() for c in ("gram", "node", "n"))
             if len(gram):  # a class that several tasks have sent
                 again = np.concatenate([[carry is not None and carry[0] == gram[0] and carry[2][0] == node[0]], (gram[1:] == gram[:-1]) & (node[1:] == node[:-1])])
-                gram, node, n, pos = (x[~again] for x in (gram, node, n, pos))
-            n, pos = n.astype(np.int64), pos.astype(np.int64)
+                gram, node, n = (x[~again] for x in (gram, node, n))
+            n = n.astype(np.int64)
             if not len(gram):
                 continue
             fresh = np.concatenate([[True], gram[1:] != gram[:-1]])
             known = carry is not None and carry[0] == gram[0]
             first = np.maximum.accumulate(np.where(fresh, np.arange(len(gram)), 0))
             before = np.arange(len(gram)) - 1
-            f_node, f_n, f_pos = node[first], n[first], pos[first]
-            b_node, b_n, b_pos = node[before], n[before], pos[before]
+            f_node, f_n = node[first], n[first]
+            b_node, b_n = node[before], n[before]
             use = ~fresh
             shared = use.copy()
             shared[:-1] |= use[1:]
             if known:
                 run_ = first == 0
-                f_node, f_n, f_pos = (np.where(run_, v, x) for v, x in zip(carry[1], (f_node, f_n, f_pos)))
-                b_node, b_n, b_pos = (np.concatenate([[v], x[1:]]) for v, x in zip(carry[2], (b_node, b_n, b_pos)))
+                f_node, f_n = (np.where(run_, v, x) for v, x in zip(carry[1], (f_node, f_n)))
+                b_node, b_n = (np.concatenate([[v], x[1:]]) for v, x in zip(carry[2], (b_node, b_n)))
                 use = use.copy()
                 use[0] = shared[0] = True
             pairs = []
-            for o_node, o_n, o_pos in ((f_node, f_n, f_pos), (b_node, b_n, b_pos)):
-                ok = use & (o_node != node) & _possible(n, pos, o_n, o_pos, percent)
-                pairs.append(np.stack([np.minimum(o_node[ok], node[ok]), np.maximum(o_node[ok], node[ok])], axis=1))
-            found = np.unique(np.concatenate(pairs), axis=0)
+            for o_node, o_n in ((f_node, f_n), (b_node, b_n)):
+                if pairs:  # the first row and the row before may be one
+                    use = use & (o_node != f_node)
+                need = _needed(n, o_n, percent)
+                ok = use & (o_node != node) & (need > 0)
+                pairs.append(np.stack([np.minimum(o_node[ok], node[ok]), np.maximum(o_node[ok], node[ok]), need[ok]], axis=1))
+            found, times = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
             rows = np.flatnonzero(shared)
             extra = carry[2] if known and not carry[3] else None
             k = len(found)
@@ -195,29 +202,28 @@ def _stars(percent: int):
             more = (lambda x, v: np.concatenate([x, [v]]) if extra is not None else x)
             a = np.concatenate([found[:, 0], more(node[rows], extra and extra[0])])
             b = np.concatenate([found[:, 1], more(gram[rows], gram[0])])
-            c = np.concatenate([np.zeros(k, np.int64), more(n[rows], extra and extra[1])]).astype(np.int32)
-            d = np.concatenate([np.zeros(k, np.int64), more(pos[rows], extra and extra[2])]).astype(np.int32)
+            c = np.concatenate([times, more(n[rows], extra and extra[1])]).astype(np.int32)
+            d = np.concatenate([found[:, 2], np.zeros(len(kind) - k, np.int64)]).astype(np.int32)
             if len(kind):
                 yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(c), pa.array(d)], ["kind", "a", "b", "n", "pos"])
             at = int(first[-1])
-            start = carry[1] if known and at == 0 else (int(node[at]), int(n[at]), int(pos[at]))
-            carry = (gram[-1], start, (int(node[-1]), int(n[-1]), int(pos[-1])), bool(shared[-1]))
+            start = carry[1] if known and at == 0 else (int(node[at]), int(n[at]))
+            carry = (gram[-1], start, (int(node[-1]), int(n[-1])), bool(shared[-1]))
 
     return run
 
 
-def _segments(wanted, width: int, fragments: int):
-    """Rows (doc_id, node, n, fragment, grams) of the wanted classes: the sets cut at fixed places of the order."""
+def _segments(width: int, fragments: int):
+    """Rows (doc_id, node, n, fragment, grams): the sets cut at fixed places of the order."""
 
     def run(batches):
         cuts = np.arange(1, fragments, dtype=np.uint64) * np.uint64((1 << 64) // fragments)
-        table = wanted.value
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for k, grams in _batched(batch, width):
-                node = digest(grams)
-                if not len(grams) or not may_hold(table, node):
+                if not len(grams):
                     continue
+                node = digest(grams)
                 ends = np.concatenate([[0], np.searchsorted(grams, cuts), [len(grams)]]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[k]] * fragments, pa.int64()), pa.array(np.full(fragments, node, np.int64)), pa.array(np.full(fragments, len(grams), np.int64)), pa.array(np.arange(fragments, dtype=np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(grams)))],
@@ -228,9 +234,12 @@ def _segments(wanted, width: int, fragments: int):
 
 
 def verify(pairs: DataFrame, segments: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity: partial overlaps by fragment, summed by pair."""
-    left = pairs.join(segments.selectExpr("node as a", "n as n_a", "fragment", "grams as grams_a"), "a")
-    both = left.join(segments.selectExpr("node as b", "n as n_b", "fragment", "grams as grams_b"), ["b", "fragment"])
+    """The pairs (a, b) whose sets reach the similarity: partial overlaps by fragment, summed by pair.
+
+    pairs: a, b and the ids a_doc, b_doc of the texts to take the sets from.
+    """
+    left = pairs.join(segments.selectExpr("node as a", "doc_id as a_doc", "n as n_a", "fragment", "grams as grams_a"), ["a", "a_doc"])
+    both = left.join(segments.selectExpr("node as b", "doc_id as b_doc", "n as n_b", "fragment", "grams as grams_b"), ["b", "b_doc", "fragment"])
     part = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("common"))
     total = part.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("common"))
     return total.where(f"100 * common >= {percent} * (n_a + n_b - common)").select("a", "b")
@@ -250,36 +259,39 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     top = scan.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("m")).where(f"m >= {HEAVY_AT}").orderBy(F.desc("m"), "d1").limit(HEAVY_KEPT)
     heavy = spark.sparkContext.broadcast(np.sort(top.select("d1").toPandas()["d1"].to_numpy(np.int64).view(np.uint64)))
 
-    prefixes = docs.mapInArrow(_prefixes(heavy, width, percent), "gram long, node long, n int, pos int")
+    prefixes = docs.mapInArrow(_prefixes(heavy, width, percent), "gram long, node long, n int")
     stars = prefixes.repartition("gram").sortWithinPartitions("gram", "n", "node").mapInArrow(_stars(percent), "kind byte, a long, b long, n int, pos int")
     stars = scratch.put(stars, "stars")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The linked ones of distinct candidate pairs; only their texts' segments are formed and moved."""
-        met = scratch.put(pairs.select(F.col("a").alias("d1")).union(pairs.select("b")).distinct().join(classes, "d1"), "met")
-        wanted = spark.sparkContext.broadcast(bit_table(met.select("d1")))
-        rows = docs.mapInArrow(_segments(wanted, width, fragments), "doc_id long, node long, n long, fragment int, grams array<long>")
-        rows = rows.join(met.select(F.col("d1").alias("node"), F.col("first").alias("doc_id")), ["node", "doc_id"]).drop("doc_id")
+        first = lambda c: classes.select(F.col("d1").alias(c), F.col("first").alias(f"{c}_doc"))
+        named = scratch.put(pairs.join(first("a"), "a").join(first("b"), "b"), "pairs")
+        met = named.select(F.col("a_doc").alias("doc_id")).union(named.select("b_doc")).distinct()
+        rows = prefilter(docs, met).mapInArrow(_segments(width, fragments), "doc_id long, node long, n long, fragment int, grams array<long>")
         segments = scratch.put(rows, "segments")
-        found = scratch.put(verify(pairs, segments, percent), "links")
-        scratch.drop(segments, met)
-        wanted.unpersist()
+        found = scratch.put(verify(named, segments, percent), "links")
+        scratch.drop(segments, named)
         return found
 
-    pairs = scratch.put(stars.where("kind = 0").select("a", "b").distinct(), "pairs")
-    shared = stars.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("gram"), "n", "pos")
+    met_often = stars.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("times"), F.max("pos").alias("need"))
+    pairs = scratch.put(met_often.where("times >= need").select("a", "b"), "pairs")
+    shared = stars.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("gram"), "n")
 
     links = verified(pairs)
     found = connected_components(scratch, links)
 
-    # what the stars have left apart: texts of different components that share a prefix n-gram
-    labelled = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # what the stars have left apart: texts of different components that share prefix n-grams. Those that
+    # no other text has can't be in an overlap: ``most`` bounds the overlaps of a text from above.
+    counts = shared.groupBy("node").agg(F.count("*").alias("common"))
+    able = shared.join(counts, "node").withColumn("most", F.expr(f"n - (least(n, n - ceil({percent} * n / 100.0D - 1e-9) + {SHARED}) - common)")).where(f"100 * most >= {percent} * n").drop("common")
+    labelled = scratch.put(able.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
     apart = labelled.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
     labelled = scratch.put(labelled.join(apart, "gram"), "labelled")
-    other = labelled.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "component")])
-    need = f"ceil({percent} * (n + n_b) / {100 + percent}.0D - 1e-9)"
-    rest = labelled.join(other, "gram").where(f"node < node_b and component <> component_b and 100 * least(n, n_b) >= {percent} * greatest(n, n_b) and least(n - pos, n_b - pos_b) >= {need}")
-    rest = rest.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    other = labelled.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "most", "component")])
+    overlap = f"ceil({percent} * (n + n_b) / {100 + percent}.0D - 1e-9)"
+    rest = labelled.join(other, "gram").where(f"node < node_b and component <> component_b and 100 * least(n, n_b) >= {percent} * greatest(n, n_b) and least(most, most_b) >= {overlap}")
+    rest = rest.groupBy(F.col("node").alias("a"), F.col("node_b").alias("b"), F.expr(f"least({SHARED}, {overlap})").alias("need")).count().where("count >= need").select("a", "b").join(pairs, ["a", "b"], "left_anti")
     rest = scratch.put(rest, "rest")
     if not rest.isEmpty() and not (more := verified(rest)).isEmpty():
         found = connected_components(scratch, links.union(more))

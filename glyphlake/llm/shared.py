@@ -75,11 +75,6 @@ def bit_table(keys: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def may_hold(table: np.ndarray, key: int) -> bool:
-    slot = key % BITS
-    return bool((int(table[slot >> 6]) >> (slot & 63)) & 1)
-
-
 def prefilter(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id may be in ``ids`` (a column doc_id), ahead of a join on it."""
     columns = docs.columns
