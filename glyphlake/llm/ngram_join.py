@@ -281,17 +281,34 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     links = verified(pairs)
     found = connected_components(scratch, links)
 
-    # what the stars have left apart: texts of different components that share prefix n-grams. Those that
-    # no other text has can't be in an overlap: ``most`` bounds the overlaps of a text from above.
+    # What the stars have left apart: texts of different components that share prefix n-grams. Of the
+    # overlap that a pair needs, at most the n-grams behind the prefix that ends first can be missing from
+    # the shared prefix n-grams, and those are no more than either text shares with any other (``common``).
     counts = shared.groupBy("node").agg(F.count("*").alias("common"))
-    able = shared.join(counts, "node").withColumn("most", F.expr(f"n - (least(n, n - ceil({percent} * n / 100.0D - 1e-9) + {SHARED}) - common)")).where(f"100 * most >= {percent} * n").drop("common")
-    labelled = scratch.put(able.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
-    apart = labelled.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
-    labelled = scratch.put(labelled.join(apart, "gram"), "labelled")
-    other = labelled.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "most", "component")])
-    overlap = f"ceil({percent} * (n + n_b) / {100 + percent}.0D - 1e-9)"
-    rest = labelled.join(other, "gram").where(f"node < node_b and component <> component_b and 100 * least(n, n_b) >= {percent} * greatest(n, n_b) and least(most, most_b) >= {overlap}")
-    rest = rest.groupBy(F.col("node").alias("a"), F.col("node_b").alias("b"), F.expr(f"least({SHARED}, {overlap})").alias("need")).count().where("count >= need").select("a", "b").join(pairs, ["a", "b"], "left_anti")
+    behind = f"greatest(0L, ceil({percent} * n / 100.0D - 1e-9) - {SHARED})"
+    able = scratch.put(shared.join(counts, "node").withColumn("behind", F.expr(behind)), "able")
+
+    def apart(found: DataFrame) -> DataFrame:
+        """The rows of the n-grams that texts of several components share, with the components."""
+        labelled = able.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = labelled.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
+        return scratch.put(labelled.join(several, "gram"), "labelled")
+
+    # once more in stars, around the text of each n-gram that shares most with others
+    labelled = apart(found)
+    centre = labelled.groupBy("gram").agg(F.max_by(F.struct("node", "n"), F.struct("common", "node")).alias("c")).selectExpr("gram", "c.node as node_c", "c.n as n_c")
+    around = labelled.join(centre, "gram").where(f"node <> node_c and 100 * least(n, n_c) >= {percent} * greatest(n, n_c)")
+    around = around.select(F.least("node", "node_c").alias("a"), F.greatest("node", "node_c").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    around = scratch.put(around, "around")
+    links = scratch.put(links.union(verified(around)), "links")
+    pairs = pairs.union(around)
+    found = connected_components(scratch, links)
+
+    labelled = apart(found)
+    other = labelled.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "common", "behind", "component")])
+    need = f"ceil({percent} * (n + n_b) / {100 + percent}.0D - 1e-9) - greatest(behind, behind_b)"
+    rest = labelled.join(other, "gram").where(f"node < node_b and component <> component_b and 100 * least(n, n_b) >= {percent} * greatest(n, n_b) and least(common, common_b) >= {need}")
+    rest = rest.groupBy(F.col("node").alias("a"), F.col("node_b").alias("b"), F.expr(need).alias("need")).count().where("count >= need").select("a", "b").join(pairs, ["a", "b"], "left_anti")
     rest = scratch.put(rest, "rest")
     if not rest.isEmpty() and not (more := verified(rest)).isEmpty():
         found = connected_components(scratch, links.union(more))

@@ -65,13 +65,36 @@ def _grouped(batch: pa.RecordBatch, column: str, size: int = 512):
         yield texts[k : k + size]
 
 
-def feature_table(docs: DataFrame, text: str = "text") -> DataFrame:
+def feature_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """How many texts have each feature; at most DIMENSIONS rows come to the driver."""
+
+    def run(batches):
+        total = np.zeros(DIMENSIONS, np.int64)
+        for batch in batches:
+            for texts in _grouped(batch, text):
+                total += np.bincount(features(texts)[1], minlength=DIMENSIONS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["word", "n"])
+
+    found = docs.select(text).mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(DIMENSIONS, np.int64)
+    out[found["word"].to_numpy(int)] = found["n"].to_numpy(int)
+    return out
+
+
+def feature_table(docs: DataFrame, chosen: np.ndarray, text: str = "text") -> DataFrame:
+    """The chosen features (a boolean by number) of each text."""
+    shared = docs.sparkSession.sparkContext.broadcast(chosen)
+
     def run(batches):
+        chosen = shared.value
         for batch in batches:
             for texts in _grouped(batch, text):
                 counts, words = features(texts)
-                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(words))], ["words"])
+                use = chosen[words]
+                owner = np.repeat(np.arange(len(counts)), counts)[use]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(counts)))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(words[use]))], ["words"])
 
     return docs.select(text).mapInArrow(run, "words array<int>")
 
@@ -93,20 +116,13 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(_sums(self.weights, words, counts) + self.bias, -40, 40)))
 
     @classmethod
-    def fit(cls, positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 300, rate: float = 0.08, decay: float = 1e-4, least: float = 5.0) -> ToxicityModel:
-        """positives, unlabelled: arrays of word numbers. Only words whose shares among the two differ by
-        ``least`` standard errors have a weight; the bias speaks for all others."""
+    def fit(cls, positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 300, rate: float = 0.08, decay: float = 1e-4) -> ToxicityModel:
+        """positives, unlabelled: arrays of feature numbers, a text each."""
         if not positives or not unlabelled:
             return cls(None, 0.0)
         prior = min(max(prior, 1e-4), 0.9)
         p, u = np.concatenate(positives), np.concatenate(unlabelled)
-        in_p, in_u = np.bincount(p, minlength=DIMENSIONS), np.bincount(u, minlength=DIMENSIONS)
-        pooled = (in_p + in_u) / (len(positives) + len(unlabelled))
-        error = np.sqrt(np.maximum(pooled * (1 - pooled) * (1 / len(positives) + 1 / len(unlabelled)), 1e-18))
-        seen = (np.abs(in_p / len(positives) - in_u / len(unlabelled)) >= least * error) & (in_p + in_u >= 3)
-        seen[:LENGTHS] = True
-        n_p, n_u = (np.array([seen[x].sum() for x in rows], int) for rows in (positives, unlabelled))
-        p, u = p[seen[p]], u[seen[u]]
+        n_p, n_u = (np.array([len(x) for x in rows], int) for rows in (positives, unlabelled))
         weights, bias = np.zeros(DIMENSIONS), float(np.log(prior / (1 - prior)))
         m, v, mb, vb = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS), 0.0, 0.0
         sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -127,7 +143,6 @@ class ToxicityModel:
             scale = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             weights -= scale * m / (np.sqrt(v) + 1e-8)
             bias -= scale * mb / (np.sqrt(vb) + 1e-8)
-        weights[~seen] = 0.0
         return cls(weights.astype(np.float32), float(bias))
 
 
@@ -136,15 +151,28 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
 
-    def sample(ids: DataFrame, most: int) -> list[np.ndarray]:
-        chosen = ids.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        table = feature_table(docs.join(F.broadcast(chosen), "doc_id", "left_semi")).toPandas()
-        return [np.asarray(x, np.int32) for x in table["words"]]
+    def sample(ids: DataFrame, most: int) -> DataFrame:
+        chosen = ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        return docs.join(F.broadcast(chosen), "doc_id", "left_semi")
 
-    toxic = known.where("toxic = 1")
-    positives = sample(toxic, max_positive)
+    positives = sample(known.where("toxic = 1"), max_positive)
     unlabelled = sample(docs.where("doc_id is not null").join(known, "doc_id", "left_anti"), max_unlabelled)
-    return ToxicityModel.fit(positives, unlabelled, prior)
+    chosen = different(feature_counts(positives), feature_counts(unlabelled), positives.count(), unlabelled.count())
+    rows = [[np.asarray(x, np.int32) for x in feature_table(t, chosen).toPandas()["words"]] for t in (positives, unlabelled)]
+    return ToxicityModel.fit(*rows, prior)
+
+
+def different(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, least: float = 5.0) -> np.ndarray:
+    """Features whose shares among positives and unlabelled differ by ``least`` standard errors, and the lengths.
+
+    Only these get a weight; the bias speaks for all others.
+    """
+    n_p, n_u = max(n_p, 1), max(n_u, 1)
+    pooled = (in_p + in_u) / (n_p + n_u)
+    error = np.sqrt(np.maximum(pooled * (1 - pooled) * (1 / n_p + 1 / n_u), 1e-18))
+    out = (np.abs(in_p / n_p - in_u / n_u) >= least * error) & (in_p + in_u >= 3)
+    out[:LENGTHS] = True
+    return out
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
