@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import image_queries, table_queries
+
+QUERIES: dict = {**image_queries.QUERIES, **table_queries.QUERIES}
+ORACLES: dict = {**image_queries.ORACLES, **table_queries.ORACLES}
