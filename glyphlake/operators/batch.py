@@ -14,7 +14,7 @@ EXTENSIONS = ("jpg", "jpeg", "png")
 RESERVED = ["CON", "PRN", "AUX", "NUL", *(f"{d}{k}" for d in ("COM", "LPT") for k in range(1, 10))]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def composed(names: pd.Series) -> pd.Series:
     """Unicode NFC; Spark has no such function."""
     return names.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
