@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .shared import Scratch, connected_components, prefilter
+from .shared import Scratch, connected_components, prefilter, small_batches
 
 WIDTH = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 FRAGMENTS = 8
-HEAVY_RUN = 2_000_000
+HEAVY_RUN = 1_000_000
 HEAVY_AT = 24
 HEAVY_KEPT = 1 << 20
 
@@ -247,6 +247,11 @@ def verify(pairs: DataFrame, segments: DataFrame, percent: int = PERCENT) -> Dat
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of a table (doc_id, text)."""
+    with small_batches(docs.sparkSession):
+        return _components(docs, width, percent, fragments)
+
+
+def _components(docs: DataFrame, width: int, percent: int, fragments: int) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select("doc_id", "text")
