@@ -167,7 +167,7 @@ def _compare(rules: Projections):
                 if cuts[k + 1] - cuts[k] < 2:
                     continue
                 vector = flat[ends[cuts[k]] : ends[cuts[k + 1]]].astype(np.float64).reshape(cuts[k + 1] - cuts[k], -1)
-                out = group(*(int(x) for x in keys[cuts[k]]), salt[s], node[s], many[s].astype(np.float64), vector)
+                out = group(*(int(x) for x in keys[cuts[k]]), salt[s], node[s], many[s].astype(np.int64), vector)
                 if out is not None:
                     found.append(out)
             return found, table.slice(cuts[whole])

@@ -241,7 +241,7 @@ def test_pipeline(spark, tmp_path):
     base = [" ".join(f"word{x}" for x in rng.integers(0, 5000, 120)) for _ in range(12)]
     near = base[0].split()
     near[60] = "changed"
-    rows = [(k, t, "en", f"s{k % 3}", len(t)) for k, t in enumerate([*base, base[0], " ".join(near), base[1] + " " + " ".join(f"verb{k}" for k in range(60)), "short", None])]
+    rows = [(k, t, "en", f"s{k % 3}", len(t or "")) for k, t in enumerate([*base, base[0], " ".join(near), base[1] + " " + " ".join(f"verb{k}" for k in range(60)), "short", None])]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     fst = sentencepiece_fst.transducer(sentencepiece_fst.DEFAULT_MODEL)
