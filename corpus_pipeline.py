@@ -3,16 +3,17 @@
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read again as
 the next stage's documents. All stages but the last return the columns of ``documents``.
 
-The mixing stage keeps every document and puts them into the mixed order: the rows are sorted by slot and
-place, and so are the written files. The encoding stage replaces each text by its pieces. SQL can't express
-the encoding, so the whole is tested against brute force instead (tests/llm/test_pipeline.py).
+The mixing stage keeps every document and repeats those of sources below their target, so that the written
+table has the target shares. A written table has no order, so the encoding stage, which replaces each text by
+its pieces, returns each row's slot and place in the mixing schedule too. SQL can't express the encoding, so
+the whole is tested against brute force instead (tests/llm/test_operators.py).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphlake.llm.mixing import pfair_mix
+from glyphlake.llm import mixing
 from glyphlake.llm.ngram_join import one_of_each_group
 from glyphlake.llm.quality import reject_low_quality
 from glyphlake.llm.sentencepiece_fst import DEFAULT_MODEL, encode_column
@@ -36,13 +37,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixing schedule."""
-    return pfair_mix(docs).orderBy("slot", "place").select(*[f"`{c}`" for c in docs.columns])
+    """All documents, those of sources below their target repeated."""
+    return mixing.repeat_to_targets(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts become piece numbers."""
-    return encode_column(docs, DEFAULT_MODEL).selectExpr("doc_id", "lang", "source", "n_chars", "cast(size(ids) as bigint) as n_pieces", "ids")
+    """Texts become piece numbers; each row gets its slot and place in the mixing schedule."""
+    rows = encode_column(docs.select("*", *mixing.row_hashes(docs)), DEFAULT_MODEL)
+    placed = mixing.with_slots(rows, mixing.scheduled(docs))
+    return placed.selectExpr("doc_id", "lang", "source", "n_chars", "cast(size(ids) as bigint) as n_pieces", "ids", "slot", "place")
 
 
 STAGES = [

@@ -16,7 +16,7 @@ the results (block, slot, place) are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -76,6 +76,32 @@ def period_schedule(spark, targets: list[tuple[str | None, int]]) -> DataFrame:
     return chosen.selectExpr("get(sources, c.j) as source", "get(w, c.j) as weight", "c.i - 1 as ordinal", "slot")
 
 
+def _sizes(docs: DataFrame, source: str) -> list[tuple[str | None, int]]:
+    """Rows by source, in the order of the sources' names, null first."""
+    sizes = docs.groupBy(F.col(f"`{source}`").alias("s")).agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(sizes) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    return sorted(((r["s"], r["n"]) for r in sizes), key=lambda x: (x[0] is not None, x[0] or ""))
+
+
+def _ranked(docs: DataFrame, source: str, key: str) -> DataFrame:
+    """(_row, _s, _rank): the rows with their rank in their source, by md5(key)."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{source}`").cast("string").alias("_s"), F.col(f"`{key}`").alias("_k"))
+    rows = rows.withColumn("_h", F.md5(F.coalesce(F.col("_k").cast("string"), F.lit("")))).withColumn("_bucket", F.substring("_h", 1, 3))
+    return spread_rank(rows, ["_s"], "_bucket", ["_h", "_k"], "_rank")
+
+
+def _placed(ranked: DataFrame, targets: list[tuple[str | None, int]], block_rows: int) -> DataFrame:
+    """Add block, slot and place to rows with _s and _rank."""
+    total = sum(w for _, w in targets) or 1
+    ranked = ranked.withColumn("block", F.expr(f"_rank div {block_rows}")).withColumn("place", F.expr(f"_rank % {block_rows}"))
+    if not targets:
+        return ranked.withColumn("slot", F.lit(0).cast("long"))
+    plan = F.broadcast(period_schedule(ranked.sparkSession, targets).withColumnsRenamed({"source": "_t", "slot": "_slot"}))
+    placed = ranked.join(plan, F.col("_s").eqNullSafe(F.col("_t")) & (F.expr("block % weight") == F.col("ordinal")))
+    return placed.withColumn("slot", F.expr(f"(block div weight) * {total}L + _slot"))
+
+
 def pfair_mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: dict | None = None, block_rows: int = BLOCK, period: int = PERIOD) -> DataFrame:
     """The rows with block (of their source, from 0), slot (of the block) and place (in the block).
 
@@ -83,22 +109,76 @@ def pfair_mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weig
     share to less than one block until the first source runs out. Rows of a source are dealt to its
     blocks in the order of md5(key).
     """
-    spark = docs.sparkSession
-    sizes = docs.groupBy(F.col(f"`{source}`").alias("s")).agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    targets = integer_weights(sorted(((r["s"], r["n"]) for r in sizes), key=lambda x: (x[0] is not None, x[0] or "")), weights, period)
+    targets = integer_weights(_sizes(docs, source), weights, period)
     kept = [c for c in docs.columns if c not in ("block", "slot", "place")]
-    total = sum(w for _, w in targets) or 1
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(f"`{source}`").cast("string").alias("_s"), F.col(f"`{key}`").alias("_k"))
-    rows = rows.withColumn("_h", F.md5(F.coalesce(F.col("_k").cast("string"), F.lit("")))).withColumn("_bucket", F.substring("_h", 1, 3))
-    ranked = spread_rank(rows, ["_s"], "_bucket", ["_h", "_k"], "_rank")
-    ranked = ranked.withColumn("block", F.expr(f"_rank div {block_rows}")).withColumn("place", F.expr(f"_rank % {block_rows}"))
-    if not targets:
-        return ranked.select("_row.*", "block", F.lit(0).cast("long").alias("slot"), "place")
-    plan = F.broadcast(period_schedule(spark, targets).withColumnsRenamed({"source": "_t", "slot": "_slot"}))
-    placed = ranked.join(plan, F.col("_s").eqNullSafe(F.col("_t")) & (F.expr("block % weight") == F.col("ordinal")))
-    return placed.withColumn("slot", F.expr(f"(block div weight) * {total}L + _slot")).select("_row.*", "block", "slot", "place")
+    return _placed(_ranked(docs.select(*[f"`{c}`" for c in kept]), source, key), targets, block_rows).select("_row.*", "block", "slot", "place")
+
+
+def row_hashes(docs: DataFrame) -> list[Column]:
+    """128 bits of a whole row, equal for its copies only."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return [F.xxhash64(*columns).alias("_a"), F.xxhash64(F.lit("copy"), *columns).alias("_b")]
+
+
+def _distinct_weights(docs: DataFrame, source: str) -> dict:
+    """Targets as the square root of a source's distinct rows: the same before and after rows are repeated."""
+    return {s: n**0.5 for s, n in _sizes(docs.select(F.col(f"`{source}`"), *row_hashes(docs)).distinct(), source)}
+
+
+def _room(sizes: list[tuple[str | None, int]], targets: list[tuple[str | None, int]], schedule: list, block_rows: int) -> list[tuple[str | None, int, int]]:
+    """(source, rows, room): room is how many rows the schedule takes from a source until every source has been read once."""
+    total = sum(w for _, w in targets)
+    slots: dict = {s: [0] * w for s, w in targets}
+    for r in schedule:
+        slots[r["source"]][r["ordinal"]] = r["slot"]
+    ends = []
+    for s, n in sizes:
+        last = (n - 1) // block_rows
+        ends.append(last // len(slots[s]) * total + slots[s][last % len(slots[s])] + 1)
+    whole, rest = divmod(max(ends), total)
+    return [(s, n, block_rows * (whole * len(slots[s]) + sum(x < rest for x in slots[s]))) for s, n in sizes]
+
+
+def repeat_to_targets(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: dict | None = None, block_rows: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    """The rows, repeated so that every source has its target share of the table to less than one block.
+
+    The schedule runs until each source has been read once; a source that ends before begins again, and
+    all blocks are full. So no row is dropped, and a source's rows are repeated equally often but for one.
+    Copies of a row leave next to each other. ``scheduled`` finds their slots again.
+    """
+    spark = docs.sparkSession
+    sizes = _sizes(docs, source)
+    if not sizes:
+        return docs
+    targets = integer_weights(sizes, _distinct_weights(docs, source) if weights is None else weights, period)
+    room = spark.createDataFrame(_room(sizes, targets, period_schedule(spark, targets).collect(), block_rows), "_t string, _size long, _room long")
+    rows = _ranked(docs, source, key).join(F.broadcast(room), F.col("_s").eqNullSafe(F.col("_t")))
+    copies = rows.withColumn("_copy", F.explode(F.expr("sequence(1L, (_room - _rank + _size - 1) div _size)")))
+    return copies.select("_row.*")
+
+
+def scheduled(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: dict | None = None, block_rows: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    """Slots of a table made by ``repeat_to_targets`` with the same targets: (_a, _b, _slots).
+
+    _a and _b are the ``row_hashes``; _slots holds (slot, place) for each copy of the row. All first
+    copies of a source come before its second ones.
+    """
+    weights = _distinct_weights(docs, source) if weights is None else weights
+    targets = integer_weights(_sizes(docs, source), weights, period)
+    rows = docs.select(F.col(f"`{source}`").cast("string").alias("_s"), F.col(f"`{key}`").alias("_k"), *row_hashes(docs)).groupBy("_s", "_k", "_a", "_b").agg(F.count("*").alias("_n"))
+    rows = rows.withColumn("_pass", F.explode(F.expr("sequence(0L, _n - 1)"))).withColumn("_h", F.md5(F.coalesce(F.col("_k").cast("string"), F.lit(""))))
+    rows = rows.withColumn("_bucket", F.concat(F.lpad(F.col("_pass").cast("string"), 19, "0"), F.substring("_h", 1, 3)))
+    # spread_rank has a column _b of its own
+    ranked = spread_rank(rows.withColumnsRenamed({"_a": "_x", "_b": "_y"}), ["_s"], "_bucket", ["_h", "_k", "_x", "_y"], "_rank")
+    placed = _placed(ranked, targets, block_rows)
+    return placed.groupBy(F.col("_x").alias("_a"), F.col("_y").alias("_b")).agg(F.array_sort(F.collect_list(F.struct("slot", "place"))).alias("_slots"))
+
+
+def with_slots(rows: DataFrame, slots: DataFrame) -> DataFrame:
+    """Rows with _a and _b (from ``row_hashes``) get slot and place in their stead, every copy its own."""
+    order = Window.partitionBy("_a", "_b").orderBy("_a")
+    joined = rows.withColumn("_copy", F.row_number().over(order) - 1).join(slots, ["_a", "_b"]).withColumn("_at", F.expr("get(_slots, _copy)"))
+    return joined.withColumn("slot", F.col("_at.slot")).withColumn("place", F.col("_at.place")).drop("_a", "_b", "_copy", "_slots", "_at")
 
 
 def op3_pfair_mix(spark, sf_dir: str) -> DataFrame:

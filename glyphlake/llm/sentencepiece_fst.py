@@ -265,7 +265,7 @@ def encode_column(docs: DataFrame, model_path: str, text: str = "text", out: str
     """Replace ``text`` by its piece numbers; check: name of a boolean column, whether they decode to the text.
 
     The model file must be readable at model_path on every executor. Columns already named ``out`` or
-    ``check`` are replaced. Rows leave in batches of ``size``.
+    ``check`` are replaced. Rows leave in batches of ``size``. Equal texts in a row are encoded once.
     """
     drop = {text, out, check}
     keep = [c for c in docs.columns if c not in drop]
@@ -277,7 +277,9 @@ def encode_column(docs: DataFrame, model_path: str, text: str = "text", out: str
             for at in range(0, whole.num_rows, size):
                 batch = whole.slice(at, size)
                 texts = batch.column(text).to_pylist()
-                rows = [None if x is None else fst.encode(x) for x in texts]
+                rows = []
+                for k, x in enumerate(texts):
+                    rows.append(rows[-1] if k and x == texts[k - 1] else None if x is None else fst.encode(x))
                 columns = [*(batch.column(c) for c in keep), _lists(rows)]
                 if check:
                     columns.append(pa.array([None if x is None else fst.decode(ids) == x for x, ids in zip(texts, rows)], pa.bool_()))
