@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from glyphlake.operators import batch as B
 from glyphlake.operators import web_audit as A
-from glyphlake.operators.ranking import global_index
+from glyphlake.operators.ranking import global_index, running_sum
 
 METHODS = ("harmonic", "harmonic_texture", "edge_guided", "bilateral", "edge_weighted", "edge_weighted_texture")
 POLICY = "default-src 'self'; script-src 'self' 'sha256-AAAA'; style-src 'self'; style-src-attr 'unsafe-inline'; worker-src 'none'"
@@ -92,11 +92,23 @@ def page_grid(spark, d):
     return _cells(spark, d, 10, 1000, 4).select("p_partkey", "row", "col")
 
 
+def _offsets(cells: DataFrame) -> DataFrame:
+    rows = cells.groupBy("row").agg(F.max("p_size").alias("height"))
+    return running_sum(rows, F.expr("row div 1024"), ["row"], F.col("height") + 8, "y").select("row", "height", "y")
+
+
 def row_offsets(spark, d):
     """Where the rows of a review sheet begin: heights of the rows before, and 8 pixels between."""
-    rows = _cells(spark, d, 10, 1000, 4).groupBy("row").agg(F.max("p_size").alias("height"))
-    before = Window.orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("row", "height", F.coalesce(F.sum(F.col("height") + 8).over(before), F.lit(0)).cast("long").alias("y"))
+    return _offsets(_cells(spark, d, 10, 1000, 4))
+
+
+def page_grid_all(spark, d):
+    """The grid of a sheet without start or limit."""
+    return _cells(spark, d, 0, None, 4).select("p_partkey", "row", "col")
+
+
+def row_offsets_all(spark, d):
+    return _offsets(_cells(spark, d, 0, None, 4))
 
 
 def file_sha256(spark, d):
@@ -208,13 +220,14 @@ _REPORTS = """r as (
 e as (select *, list_filter([case when not verified then 'verify' end, case when coalesce(outside, 1) <> 0 then 'outside' end, case when not flag then 'flag' end,
   case when redetected then 'redetected' end, case when not coalesce(applied, false) then 'check_missing' end, case when imprint then 'imprint' end], lambda x: x is not null) as errors from r)"""
 _INDEXED = "c as (select p_partkey, p_size, row_number() over (order by p_partkey) - 1 as i from part), k as (select p_partkey, p_size, (i - 10) // 4 as row, (i - 10) % 4 as col from c where i >= 10 and i < 1010)"
+_ALL_CELLS = "c as (select p_partkey, p_size, row_number() over (order by p_partkey) - 1 as i from part), k as (select p_partkey, p_size, i // 4 as row, i % 4 as col from c)"
 _SAFE = r"""n as (select doc_id, regexp_replace('in/' || translate(left(text, 24), chr(10) || chr(9), '  ') || '.jpg', '^.*/', '') as name from documents),
 s as (select doc_id, regexp_replace(trim(regexp_replace(nfc_normalize(left(name, length(name) - 4)), '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), ' .'), '\s+', ' ', 'g') as b from n),
 t as (select doc_id, case when b = '' then 'photo' else rtrim(left(b, 100), ' .') end as b from s),
 u as (select doc_id, b, row_number() over (partition by lower(b) order by doc_id) as k from t),
 v as (select doc_id, case when k = 1 then b else b || '_' || k end as stem from u)"""
 
-_ALL = (manifest_counts, failure_messages, manifest_report_join, audit_errors, audit_rollup, report_json, output_names, dedup_first, running_count, page_grid, row_offsets, file_sha256, distinct_hashes, percentile_band, robust_sigma, stride_sample, window_of_eight, sentinel_stop, base64_stream, argmin_method, knn_weighted, inline_scripts, inline_styles, csp_findings, static_boundary, url_host, platform_case)
+_ALL = (manifest_counts, failure_messages, manifest_report_join, audit_errors, audit_rollup, report_json, output_names, dedup_first, running_count, page_grid, row_offsets, page_grid_all, row_offsets_all, file_sha256, distinct_hashes, percentile_band, robust_sigma, stride_sample, window_of_eight, sentinel_stop, base64_stream, argmin_method, knn_weighted, inline_scripts, inline_styles, csp_findings, static_boundary, url_host, platform_case)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
     "manifest_counts": f"with s as (select o_orderpriority as batch, {_STATUS} as status from orders) select batch, count(*) as total, count(*) filter (status = 'succeeded') as succeeded, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'canceled') as canceled from s group by batch",
@@ -230,6 +243,8 @@ select min(c_custkey) as c_custkey, arg_min(path, c_custkey) as path from f wher
     "running_count": "select c_custkey, row_number() over (order by c_custkey) as done from customer",
     "page_grid": f"with {_INDEXED} select p_partkey, row, col from k",
     "row_offsets": f"with {_INDEXED}, h as (select row, max(p_size) as height from k group by row) select row, height, coalesce(sum(height + 8) over (order by row rows between unbounded preceding and 1 preceding), 0)::bigint as y from h",
+    "page_grid_all": f"with {_ALL_CELLS} select p_partkey, row, col from k",
+    "row_offsets_all": f"with {_ALL_CELLS}, h as (select row, max(p_size) as height from k group by row) select row, height, coalesce(sum(height + 8) over (order by row rows between unbounded preceding and 1 preceding), 0)::bigint as y from h",
     "file_sha256": "select doc_id, sha256(text) as sha256, to_base64(unhex(sha256(text))) as integrity from documents",
     "distinct_hashes": "select source, count(distinct sha256(text)) as hashes, count(*) as files from documents group by source",
     "percentile_band": "select event_type, round(quantile_cont(value, 0.005), 6) as low, round(quantile_cont(value, 0.995), 6) as high, round(stddev_pop(value), 6) as std from events group by event_type",

@@ -2,9 +2,11 @@
 
 import glob
 import os
+import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from glyphlake.plans import registry
 from glyphlake.sources import manifests, photos
@@ -53,3 +55,20 @@ def test_manifest_and_stream(spark, tmp_path):
     lines = spark.createDataFrame([("s", 1, "aGk="), ("s", 2, ""), ("s", 3, "?"), ("s", 4, "__END__"), ("s", 5, "aGk=")], "stream string, number int, line string")
     got = manifests.decode_base64_lines(lines).orderBy("number").collect()
     assert [(r["number"], r["valid"]) for r in got] == [(1, True), (3, False)] and bytes(got[0]["bytes"]) == b"hi"
+
+
+def test_running_sum(spark):
+    from glyphlake.operators.ranking import running_sum
+
+    rows = [(k, k * k % 97) for k in range(3000) if k % 5]
+    got = {r["k"]: r["before"] for r in running_sum(spark.createDataFrame(rows, "k long, v int"), F.expr("k div 64"), ["k"], F.col("v")).collect()}
+    assert got == {k: sum(v for _, v in rows[:at]) for at, (k, _) in enumerate(rows)}
+
+
+def test_whole_sheet(spark):
+    parts = spark.read.parquet(f"{SF}/part.parquet").count()
+    assert registry.QUERIES["page_grid_all"](spark, SF).count() == parts
+    assert registry.QUERIES["row_offsets_all"](spark, SF).count() == -(-parts // 4)
+    # only the table of bucket sums may meet in one task
+    plan = registry.QUERIES["row_offsets"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"\(height#\d+ \+ 8\)[^\n]*\], \[row#", plan) and "_bucket" in plan
