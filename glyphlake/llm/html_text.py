@@ -6,7 +6,8 @@ boilerplate container). A decision tree, grown by Gini impurity from the hand-la
 LABELLED, says which blocks are main text.
 
 Defined cases: null and empty pages give an empty text; pages cut off anywhere are read as far as they
-go; unclosed tags end with their container; unknown tags are inline; repeated pages give equal rows.
+go; a head ends where other than its own tags begins; unclosed skipped tags end at the next block-level tag,
+unclosed scripts and styles with their container; unknown tags are inline; repeated pages give equal rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,11 @@ from .shared import extended
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Content that is no text.
-SKIPPED = frozenset("script style noscript template head title svg math iframe object canvas select textarea button audio video".split())
+SKIPPED = frozenset("script style noscript template title svg math iframe object canvas select textarea button audio video".split())
+#: Those whose content has no tags.
+RAW = frozenset("script style noscript title iframe textarea".split())
+#: Tags of a head.
+HEAD_TAGS = frozenset("html head title meta link base script style noscript template".split())
 #: Tags that end a block.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = BLOCKS - frozenset("p hr h1 h2 h3 h4 h5 h6".split())
@@ -37,6 +42,10 @@ BOILER_NAMES = frozenset(
     "sidebar footer cookie cookies consent gdpr notice alert newsletter subscribe subscription comment comments disqus reply replies "
     "share sharing social related recommended widget popup modal login signup pagination pager toolbar search complementary contentinfo".split()
 )
+#: Of these, the ones that hold articles of their own, which are no main text either.
+STRONG_NAMES = frozenset("comment comments disqus reply replies related recommended".split())
+#: Classes that say what a page has or how it stands, such as has-sidebar or nav-open.
+STATE = re.compile(r"^(?:has|with|without|no|is)[-_]|[-_](?:open|opened|closed|active|visible|enabled|disabled)$")
 HEADER_NAMES = frozenset(["header", "masthead", "topbar"])
 MAIN_NAMES = frozenset(["article", "main", "content", "post", "entry", "story"])
 
@@ -77,23 +86,69 @@ class Block:
     main: bool
 
 
-def _marks(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
-    """(boilerplate, main) of a container's start tag."""
+def _marks(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool, bool]:
+    """(boilerplate, boilerplate that an article inside doesn't end, main) of a container's start tag."""
     names: set[str] = set()
+    states: set[str] = set()
     if "=" in attributes:
         for match in ATTRIBUTE.finditer(attributes):
-            names.update(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", match[1] or match[2] or match[3] or "").lower()))
+            for token in re.sub(r"([a-z])([A-Z])", r"\1-\2", match[1] or match[2] or match[3] or "").lower().split():
+                (states if STATE.search(token) else names).update(re.split(r"[^a-z]+", token))
+    main = tag in MAIN_TAGS or bool((names | states) & MAIN_NAMES)
+    if tag in ("html", "body"):
+        return False, False, main
     boiler = tag in BOILER_TAGS or bool(names & BOILER_NAMES) or (not in_main and (tag == "header" or bool(names & HEADER_NAMES)))
-    return boiler, tag in MAIN_TAGS or bool(names & MAIN_NAMES)
+    return boiler, tag in BOILER_TAGS or bool(names & STRONG_NAMES), main
+
+
+BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS | {'head'}))})\b", re.I)
+
+
+def _skip_to(page: str, at: int, tag: str, outer: set[str], beyond: dict[str, int]) -> int:
+    """Where a skipped tag that began before ``at`` ends. outer: open containers; beyond: by tag, up to where it is known not to be closed."""
+    end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at) if at >= beyond.get(tag, 0) else None
+    if end and tag in RAW:
+        return end.end()
+    if end:
+        inside: list[str] = []
+        where = at
+        while where < end.start():
+            match = TOKEN.match(page, where)
+            name, closing = (match[2] or "").lower(), bool(match[1])
+            if name == tag and not closing and tag in ("button", "select"):
+                break
+            if name in CONTAINERS and not closing:
+                inside.append(name)
+            elif name in CONTAINERS and name in inside:
+                while inside.pop() != name:
+                    pass
+            elif name in CONTAINERS and name in outer:
+                break
+            where = match.end()
+            if name in RAW and not closing and (raw := re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, where)):
+                where = raw.end()
+        else:
+            return max(where, end.end())
+        beyond[tag] = where
+        found = BLOCK_TAG.search(page, at, where)
+        return found.start() if found else where
+    if at >= beyond.get(tag, 0):
+        beyond[tag] = len(page)
+    if tag in ("script", "style"):
+        found = re.compile(rf"</(?:{'|'.join(sorted(outer | {'head'}))})\b|<body\b", re.I).search(page, at)
+    else:
+        found = BLOCK_TAG.search(page, at)
+    return found.start() if found else len(page)
 
 
 def blocks(page: str) -> list[Block]:
     """The flat list of text blocks."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []
+    beyond: dict[str, int] = {}
     texts: list[str] = []
     linked: list[str] = []
-    skip, in_link, heading = "", 0, False
+    in_head, in_link, heading = False, 0, False
 
     def flush():
         if texts:
@@ -108,15 +163,12 @@ def blocks(page: str) -> list[Block]:
 
     at, size = 0, len(page)
     while at < size:
-        if skip:
-            end = re.compile(rf"</{skip}\b[^>]*>?", re.I).search(page, at)
-            if not end:
-                break
-            at, skip = end.end(), ""
-            continue
         match = TOKEN.match(page, at)
         at = match.end()
         if match[4] is not None:
+            if in_head and not match[4].strip():
+                continue
+            in_head = False
             texts.append(match[4])
             if in_link:
                 linked.append(match[4] + " ")
@@ -124,9 +176,13 @@ def blocks(page: str) -> list[Block]:
         if match[2] is None:
             continue
         tag, closing = match[2].lower(), bool(match[1])
+        if tag == "head":
+            in_head = not closing
+        elif in_head and tag not in HEAD_TAGS:
+            in_head = False
         if tag in SKIPPED:
             if not closing and not match[3].endswith("/"):
-                skip = tag
+                at = _skip_to(page, at, tag, {x[0] for x in stack}, beyond)
         elif tag == "a":
             in_link = 0 if closing else 1
         elif tag == "br":
@@ -143,9 +199,11 @@ def blocks(page: str) -> list[Block]:
                         while stack.pop()[0] != tag:
                             pass
                 else:
-                    boiler, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                    own_boiler, own_main = _marks(tag, match[3], main)
-                    stack.append((tag, boiler or own_boiler, main or own_main))
+                    boiler, main, strong = stack[-1][1:] if stack else (False, False, False)
+                    own_boiler, own_strong, own_main = _marks(tag, match[3], main)
+                    if tag in MAIN_TAGS and not strong:
+                        boiler = False
+                    stack.append((tag, boiler or own_boiler, main or own_main, strong or own_strong))
             elif tag == "p":
                 heading = False
     flush()

@@ -279,3 +279,24 @@ def test_pipeline_shares(spark, tmp_path):
         counts = [times[r[0]] for r in rows if r[3] == s]
         assert max(counts) - min(counts) <= 1
     assert sorted(times.values())[-1] > 1
+
+
+def test_html_open_tags_and_state_classes():
+    tree = html_text.default_tree()
+    first, second = "word " * 50, "text " * 40
+    article = f"<article><p>{first}</p><p>{second}</p></article>"
+    want = f"{first.strip()}\n{second.strip()}"
+    assert html_text.main_text(f"<html><head><title>t</title><meta charset=utf-8><body>{article}", tree) == want
+    assert html_text.main_text(f"<head><title>t</title><style>p{{}}</style>{article}", tree) == want
+    assert html_text.main_text(f"<head><title>t<body>{article}", tree) == want
+    for tag in ("button", "select", "textarea", "object", "svg", "noscript", "video"):
+        assert html_text.main_text(f"<body><div><{tag}>Go</div>{article}", tree) == want
+        assert html_text.main_text(f"<body><div><{tag}>Go</div>{article}<div><{tag}>Go</{tag}></div>", tree) == want or tag in html_text.RAW
+        assert html_text.main_text(f"<body><{tag}>Go{article}</body>", tree) == want
+    assert html_text.main_text(f"<body><div><script>var a = 1</div>{article}", tree) == want
+    assert html_text.main_text(f"<body><script>var a = '</article></body>'</script>{article}", tree) == want
+    for name in ("has-sidebar", "with-footer", "nav-open"):
+        assert html_text.main_text(f"<body class='{name}'><div class='{name}'>{article}</div></body>", tree) == want
+        assert html_text.main_text(f"<body class='{name}'><div class='{name}'><p>{first}</p><p>{second}</p></div></body>", tree) == want
+    assert html_text.main_text(f"<body><div class='sidebar-wrap'>{article}</div></body>", tree) == want
+    assert html_text.main_text(f"<body>{article}<div class=comments><article><p>{second}</article></div><aside><article>{second}</article></aside></body>", tree) == want
