@@ -268,18 +268,11 @@ def without_repeats(docs: DataFrame, batches: int = 2) -> DataFrame:
     changed = _union(results).where("n_removed > 0 and doc_id is not null")
     changed = index.scratch.put(changed.groupBy("doc_id", "n_words", "digest").agg(F.first("kept_text").alias("kept_text")), "changed")
     index.close(keep=changed)
-    digested = docs
-    joined = digested.join(changed.select("doc_id", "kept_text"), "doc_id", "left")
-    kept = joined.where("kept_text is null or kept_text <> ''")
-    columns = []
-    for c in docs.columns:
-        if c == "text":
-            columns.append(F.coalesce("kept_text", "text").alias("text"))
-        elif c == "n_chars":
-            columns.append(F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
-        else:
-            columns.append(F.col(f"`{c}`"))
-    return kept.select(*columns)
+    changed = changed.select(F.col("doc_id").alias("_id"), F.col("kept_text").alias("_kept"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    joined = rows.join(changed, F.col("_row.doc_id") == F.col("_id"), "left").where("_kept is null or _kept <> ''")
+    columns = {"text": F.coalesce("_kept", F.col("_row.text")), "n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(F.expr("cast(_row.n_chars as bigint)") if "n_chars" in docs.columns else F.lit(None))}
+    return joined.select(*[columns.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 OP10_SQL = r"""
