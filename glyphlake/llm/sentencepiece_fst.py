@@ -1,27 +1,35 @@
 """SentencePiece encoding and decoding as shortest paths of weighted transducers.
 
-Three transducers are compiled from a model file: the normaliser (dummy prefix, white-space escapes), the
-pieces (a prefix tree whose final states emit piece numbers), and byte fallback (arcs for characters that
-no piece covers). Composed with an input they give a lattice; encoding is its shortest path in the
-tropical semiring (min, +).
-
-Weights. In a unigram model a piece weighs minus its log-probability. In a BPE model every piece weighs
-one, and the lattice is also composed with the acceptor of adjacent pieces that the merges of the model
-leave apart: merges inside the pieces of a correct encoding never touch each other, so a sequence is the
-model's encoding exactly if each adjacent pair is, and one path of finite weight remains.
+Three transducers are compiled from a model file. ``Normaliser`` rewrites strings of the character map (read
+from its double array; leftmost, longest first), squeezes and escapes white space and puts the dummy prefix
+in front. ``Pieces`` is a prefix tree whose final states emit a piece's number with its weight. Byte fallback
+has one arc for each character that no piece covers; it emits the bytes' pieces, or the unknown one.
+Composed with an input string, the last two give a lattice: for each position the arcs that end there.
+Encoding is the lattice's shortest path in the tropical semiring (min, +).
+
+Weights. In a unigram model a piece weighs minus its log-probability, and every sequence of pieces is
+accepted. In a BPE model a piece weighs one, and the lattice is composed with ``Adjacent``, the acceptor of
+sequences that the model's merges leave apart: merges inside the pieces of a correct encoding never touch
+each other, so a sequence is the model's encoding exactly if each adjacent pair is its own encoding, and
+one path of finite weight remains for each prefix. The acceptor's arcs are found from the merges when first
+met, and kept.
 
 Words repeat, so shortest paths are kept for whole chunks: no piece joins a character to a following
 word mark or newline (checked when the model is compiled), and so chunks cut there encode on their own.
+What a Python worker keeps is bounded (KEPT_CHUNKS, KEPT_PAIRS), so its memory doesn't grow with the input.
 
 Defined cases: null gives null; an empty text gives no pieces; every other text decodes to itself if the
-model keeps extra white space (a word mark U+2581 in the text decodes to a blank, as in the library);
-repeated rows encode alike; texts are never truncated.
+model keeps extra white space and has no character map (a word mark U+2581 in the text decodes to a blank, as
+in the library); repeated rows encode alike; texts are never truncated; an empty table gives an empty
+result; a chunk without a path of finite weight (a BPE model whose pieces its merges can't reach) gets what
+the merges leave; word and character models are refused when compiled.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from functools import lru_cache
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +37,13 @@ from pyspark.sql import DataFrame
 
 from .shared import extended
 
-MARK = "▁"
-#: Chunks whose shortest path a Python worker keeps.
-KEPT_CHUNKS = 800_000
-KEPT_PAIRS = 1_000_000
+MARK = "\u2581"
+#: What a Python worker keeps: chunks with their shortest paths, and arcs of the acceptor of adjacent pieces.
+KEPT_CHUNKS = 400_000
+KEPT_PAIRS = 500_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+INFINITE = float("inf")
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -70,11 +79,9 @@ def _fields(data: bytes):
 class PieceModel:
     """What a .model file says: pieces (text, score, kind), the algorithm, and the normaliser's settings."""
 
-    def __init__(self, path: str):
+    def __init__(self, data: bytes):
         self.pieces: list[tuple[str, float, int]] = []
-        self.kind, self.fallback, self.prefix, self.squeeze, self.escape, rules = UNIGRAM, False, True, True, True, b""
-        with open(path, "rb") as file:
-            data = file.read()
+        self.kind, self.fallback, self.prefix, self.squeeze, self.escape, self.rules = UNIGRAM, False, True, True, True, b""
         for field, value in _fields(data):
             if field == 1:
                 piece = dict(_fields(value))
@@ -85,133 +92,212 @@ class PieceModel:
                 self.kind, self.fallback = spec.get(3, UNIGRAM), bool(spec.get(35, 0))
             elif field == 3:
                 spec = dict(_fields(value))
-                rules = spec.get(2, b"")
+                self.rules = spec.get(2, b"")
                 self.prefix, self.squeeze, self.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
-        if rules:
-            raise NotImplementedError("models with a character map")
         if self.kind not in (UNIGRAM, BPE):
-            raise NotImplementedError("word and character models")
+            raise ValueError("word and character models have no lattice of pieces")
+
+
+def character_map(data: bytes) -> dict[str, str]:
+    """The rewrites of a precompiled character map: a double array over UTF-8 bytes, then the targets, each ended by a zero."""
+    if not data:
+        return {}
+    size = int.from_bytes(data[:4], "little")
+    units, targets = np.frombuffer(data[4 : 4 + size], "<u4"), data[4 + size :]
+    labels = np.arange(1, 256, dtype=np.uint32)
+    found, stack = {}, [(0, b"")]
+    while stack:
+        at, source = stack.pop()
+        unit = int(units[at])
+        base = at ^ ((unit >> 10) << ((unit & 512) >> 6))
+        if unit >> 8 & 1:
+            start = int(units[base]) & 0x7FFFFFFF
+            found[source.decode("utf-8", "replace")] = targets[start : targets.index(b"\0", start)].decode()
+        places = base ^ labels
+        inside = places < len(units)
+        hit = inside.copy()
+        hit[inside] = (units[places[inside]] & 0x800000FF) == labels[inside]
+        stack += [(int(x), source + bytes([int(c)])) for x, c in zip(places[hit], labels[hit])]
+    return found
+
+
+class Normaliser:
+    """The transducer from raw to normalised strings: rewriting arcs by their source, identity arcs for all else."""
+
+    def __init__(self, model: PieceModel):
+        self.model = model
+        rules = {k: v for k, v in character_map(model.rules).items() if k and k != v}
+        self.single = {ord(k): v for k, v in rules.items() if len(k) == 1}
+        self.tree: dict = {}
+        for source, target in rules.items():
+            node = self.tree
+            for c in source:
+                node = node.setdefault(c, {})
+            node[""] = target
+        self.long = any(len(k) > 1 for k in rules)
+
+    def rewritten(self, text: str) -> str:
+        if not self.long:
+            return text.translate(self.single) if self.single else text
+        out, at = [], 0
+        while at < len(text):
+            node, end, last = self.tree, at, (text[at], at + 1)
+            while end < len(text) and (node := node.get(text[end])) is not None:
+                end += 1
+                if "" in node:
+                    last = (node[""], end)
+            out.append(last[0])
+            at = last[1]
+        return "".join(out)
+
+    def apply(self, text: str) -> str:
+        text = self.rewritten(text)
+        if self.model.squeeze:
+            text = re.sub(" +", " ", text).strip(" ")
+        if not text:
+            return ""
+        if self.model.prefix:
+            text = " " + text
+        return text.replace(" ", MARK) if self.model.escape else text
 
 
-class Transducer:
-    """A compiled model; see the module's text."""
+class Pieces:
+    """The transducer from strings to piece numbers, with byte fallback; the label of a character without a piece is minus its code point."""
 
-    def __init__(self, path: str):
-        model = self.model = PieceModel(path)
+    def __init__(self, model: PieceModel):
         self.ids = {text: k for k, (text, _, kind) in enumerate(model.pieces) if kind in (NORMAL, USER)}
-        self.scores = {text: model.pieces[k][1] for text, k in self.ids.items()}
+        scores = {k: -model.pieces[k][1] for k in self.ids.values()}
+        self.weights = scores if model.kind == UNIGRAM else dict.fromkeys(scores, 1.0)
+        self.fallback_weight = max(scores.values(), default=0.0) + 10.0 if model.kind == UNIGRAM else 1.0
         self.unknown = next((k for k, p in enumerate(model.pieces) if p[2] == UNKNOWN), 0)
         self.bytes = {int(p[0][3:5], 16): k for k, p in enumerate(model.pieces) if p[2] == BYTE}
         self.fallback = model.fallback and len(self.bytes) == 256
-        self.worst = max([-s for s in self.scores.values()], default=0.0) + 10.0
-        apart = all(MARK not in text.lstrip(MARK) and ("\n" not in text) for text in self.ids)
-        self.chunk = re.compile(rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n+" if apart else r"[\s\S]+")
+        self.texts = {k: text for text, k in self.ids.items()}
         self.tree: dict = {}
         for text, k in self.ids.items():
             node = self.tree  # of the pieces read backwards, to find those that end somewhere
             for c in reversed(text):
                 node = node.setdefault(c, {})
             node[""] = k
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.kept = _Chunks(self)
-        self.out = self._outputs()
 
-    # normaliser ------------------------------------------------------------------------------------
-    def normalise(self, text: str) -> str:
-        if self.model.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return ""
-        if self.model.prefix:
-            text = " " + text
-        return text.replace(" ", MARK) if self.model.escape else text
+    def into(self, text: str, end: int) -> list[tuple[int, int]]:
+        """The lattice's arcs that end at a position of the string: (start, label), the shortest first."""
+        node, at, arcs = self.tree, end, []
+        while at and (node := node.get(text[at - 1])) is not None:
+            at -= 1
+            if (label := node.get("")) is not None:
+                arcs.append((at, label))
+        if not arcs or arcs[0][0] != end - 1:
+            arcs.insert(0, (end - 1, -ord(text[end - 1])))
+        return arcs
+
+    def text(self, label: int) -> str:
+        return self.texts[label] if label >= 0 else chr(-label)
+
+    def output(self, labels: list[int]) -> list[int]:
+        """Piece numbers of a path; characters without a piece become bytes, or a run of them one unknown piece."""
+        if min(labels, default=0) >= 0:
+            return labels
+        out: list[int] = []
+        lost = False
+        for label in labels:
+            if label >= 0:
+                out.append(label)
+            elif self.fallback:
+                out += [self.bytes[b] for b in chr(-label).encode()]
+            elif not lost:
+                out.append(self.unknown)
+            lost = label < 0
+        return out
+
+
+class Adjacent:
+    """The acceptor of sequences whose adjacent pieces the merges of a BPE model leave apart; a state is the last label."""
+
+    START = 1 << 30
+
+    def __init__(self, pieces: Pieces, model: PieceModel):
+        self.pieces = pieces
+        self.scores = {text: model.pieces[k][1] for text, k in pieces.ids.items()}
+        self.kept: dict[tuple[int, int], bool] = {}
 
-    # lattice ---------------------------------------------------------------------------------------
-    def weight(self, piece: str) -> float:
-        return -self.scores[piece] if piece in self.scores else self.worst
-
-    def shortest(self, text: str) -> list[str]:
-        """The pieces of the shortest path through the lattice of one chunk.
-
-        A state is a position with the piece before it. One state a position is enough: a unigram model
-        has no use for the piece, and in a BPE model only one sequence of pieces that stay apart covers
-        a prefix. Characters without a piece of their own get an arc to byte fallback.
-        """
-        bpe, known, size = self.model.kind == BPE, self.pairs.get, len(text)
-        reached: list = [None] * (size + 1)
-        reached[0] = (0.0, 0, "")
-        for end in range(1, size + 1):
-            node, at, starts = self.tree, end, []
-            while at and (node := node.get(text[at - 1])) is not None:
-                at -= 1
-                if "" in node:
-                    starts.append(at)
-            if not starts or starts[0] != end - 1:
-                starts.insert(0, end - 1)
-            best = None
-            for at in reversed(starts):  # the longest piece first
-                if reached[at] is None:
-                    continue
-                so_far, _, before = reached[at]
-                piece = text[at:end]
-                if bpe:
-                    apart = known((before, piece))
-                    if apart is None:
-                        apart = self.together(before, piece)
-                    if apart:
-                        best = (so_far + 1.0, at, piece)
-                        break
-                elif best is None or so_far + self.weight(piece) < best[0]:
-                    best = (so_far + self.weight(piece), at, piece)
-            reached[end] = best
-        at, out = size, []
-        while at:
-            _, at, piece = reached[at]
-            out.append(piece)
-        return out[::-1]
-
-    # acceptor of adjacent pieces ---------------------------------------------------------------------
     def merged(self, text: str) -> list[str]:
         """The merges of a BPE model on a short string: best score first, leftmost among equals."""
-        parts, none = list(text), -np.inf
+        parts = list(text)
         score = self.scores.get
-        joins = [score(a + b, none) for a, b in zip(parts, parts[1:])]
-        while joins and (best := max(joins)) > none:
+        joins = [score(a + b, -INFINITE) for a, b in zip(parts, parts[1:])]
+        while joins and (best := max(joins)) > -INFINITE:
             k = joins.index(best)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
             del joins[k]
             if k:
-                joins[k - 1] = score(parts[k - 1] + parts[k], none)
+                joins[k - 1] = score(parts[k - 1] + parts[k], -INFINITE)
             if k < len(joins):
-                joins[k] = score(parts[k] + parts[k + 1], none)
+                joins[k] = score(parts[k] + parts[k + 1], -INFINITE)
         return parts
 
-    def together(self, before: str, piece: str) -> bool:
-        key = (before, piece)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
+    def accepts(self, before: int, label: int) -> bool:
+        if len(self.kept) >= KEPT_PAIRS:
+            self.kept.clear()
+        pair = [self.pieces.text(x) for x in (before, label) if x != self.START]
+        found = self.kept[before, label] = self.merged("".join(pair)) == pair
         return found
 
-    # byte fallback and numbers -----------------------------------------------------------------------
-    def numbers(self, pieces: list[str]) -> list[int]:
-        out: list[int] = []
-        lost = False
-        for piece in pieces:
-            k = self.ids.get(piece)
-            if k is not None:
-                out.append(k)
-            elif self.fallback:
-                out += [self.bytes[b] for b in piece.encode()]
-            elif not lost:
-                out.append(self.unknown)
-            lost = k is None
-        return out
+
+def shortest_path(text: str, pieces: Pieces, adjacent: Adjacent | None) -> list[int] | None:
+    """Labels of the lattice's shortest path in (min, +), None if all weigh infinitely much.
+
+    A state is a position, with the label before it where an acceptor of adjacent pieces is composed; it leaves
+    one label of finite weight for each position, so the first arc that it accepts decides, and longer pieces
+    are tried first.
+    """
+    size = len(text)
+    cost, back, last = [INFINITE] * (size + 1), [0] * (size + 1), [Adjacent.START] * (size + 1)
+    cost[0] = 0.0
+    known = adjacent.kept.get if adjacent else None
+    weight, other = pieces.weights.get, pieces.fallback_weight
+    for end in range(1, size + 1):
+        for at, label in reversed(pieces.into(text, end)):
+            if adjacent:
+                apart = known((last[at], label))
+                if apart is None:
+                    apart = adjacent.accepts(last[at], label)
+                if not apart:
+                    continue
+            total = cost[at] + weight(label, other)
+            if total < cost[end]:
+                cost[end], back[end], last[end] = total, at, label
+                if adjacent:
+                    break
+    if cost[size] == INFINITE and size:
+        return None
+    at, out = size, []
+    while at:
+        out.append(last[at])
+        at = back[at]
+    return out[::-1]
+
+
+class Transducer:
+    """A compiled model: normaliser, pieces and byte fallback, and for BPE the acceptor of adjacent pieces."""
+
+    def __init__(self, data: bytes):
+        model = self.model = PieceModel(data)
+        self.normaliser, self.pieces = Normaliser(model), Pieces(model)
+        self.adjacent = Adjacent(self.pieces, model) if model.kind == BPE else None
+        apart = all(MARK not in text.lstrip(MARK) and "\n" not in text for text in self.pieces.ids)
+        self.chunk = re.compile(rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n+" if apart and self.pieces.fallback else r"[\s\S]+")
+        self.kept = _Chunks(self)
+        self.out = self._outputs()
+
+    def path(self, chunk: str) -> list[int]:
+        labels = shortest_path(chunk, self.pieces, self.adjacent)
+        if labels is None:
+            labels = [self.pieces.ids.get(x, -ord(x[0])) for x in self.adjacent.merged(chunk)]
+        return self.pieces.output(labels)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.kept.__getitem__, self.chunk.findall(self.normalise(text)))), np.int32)
+        return np.frombuffer(b"".join(map(self.kept.__getitem__, self.chunk.findall(self.normaliser.apply(text)))), np.int32)
 
     def _outputs(self) -> list[bytes]:
         out = []
@@ -221,7 +307,7 @@ class Transducer:
             elif kind == BYTE:
                 out.append(bytes([int(text[3:5], 16)]))
             else:
-                out.append(" ⁇ ".encode() if kind == UNKNOWN else b"")
+                out.append(" \u2047 ".encode() if kind == UNKNOWN else b"")
         return out
 
     def decode(self, ids) -> str:
@@ -239,7 +325,7 @@ class _Chunks(dict):
         self.fst = fst
 
     def __missing__(self, chunk: str) -> bytes:
-        found = np.array(self.fst.numbers(self.fst.shortest(chunk)), np.int32).tobytes()
+        found = array("i", self.fst.path(chunk)).tobytes()
         if len(chunk) <= 64:
             if len(self) >= KEPT_CHUNKS:
                 self.clear()
@@ -247,10 +333,22 @@ class _Chunks(dict):
         return found
 
 
-@lru_cache(maxsize=2)
-def transducer(path: str) -> Transducer:
-    """The compiled model, once for each Python worker."""
-    return Transducer(path)
+_COMPILED: dict[bytes, Transducer] = {}
+
+
+def transducer(model: bytes | str) -> Transducer:
+    """The compiled model (a file's bytes, or its path), once for each Python worker."""
+    data = read_model(model) if isinstance(model, str) else model
+    key = hashlib.sha256(data).digest()
+    if key not in _COMPILED:
+        _COMPILED.clear()
+        _COMPILED[key] = Transducer(data)
+    return _COMPILED[key]
+
+
+def read_model(path: str) -> bytes:
+    with open(path, "rb") as file:
+        return file.read()
 
 
 def _lists(rows: list[np.ndarray | None]) -> pa.ListArray:
@@ -264,15 +362,17 @@ def _lists(rows: list[np.ndarray | None]) -> pa.ListArray:
 def encode_column(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids", check: str | None = None, size: int = 256) -> DataFrame:
     """Replace ``text`` by its piece numbers; check: name of a boolean column, whether they decode to the text.
 
-    The model file must be readable at model_path on every executor. Columns already named ``out`` or
-    ``check`` are replaced. Rows leave in batches of ``size``. Equal texts in a row are encoded once.
+    The driver reads the model file and ships it with the job. Columns already named ``out`` or ``check``
+    are replaced. Rows leave in batches of ``size``. Equal texts in a row are encoded once.
     """
     drop = {text, out, check}
     keep = [c for c in docs.columns if c not in drop]
     schema = extended(docs.select(*[f"`{c}`" for c in keep]), f"`{out}` array<int>" + (f", `{check}` boolean" if check else ""))
 
+    shipped = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
+
     def run(batches):
-        fst = transducer(model_path)
+        fst = transducer(shipped.value)
         for whole in batches:
             for at in range(0, whole.num_rows, size):
                 batch = whole.slice(at, size)
@@ -293,8 +393,10 @@ def decode_column(docs: DataFrame, model_path: str, ids: str = "ids", out: str =
     keep = [c for c in docs.columns if c not in (ids, out)]
     schema = extended(docs.select(*[f"`{c}`" for c in keep]), f"`{out}` string")
 
+    shipped = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
+
     def run(batches):
-        fst = transducer(model_path)
+        fst = transducer(shipped.value)
         for batch in batches:
             texts = [None if x is None else fst.decode(x) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], schema.names)
