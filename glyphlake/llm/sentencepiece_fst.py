@@ -39,8 +39,8 @@ from .shared import extended
 
 MARK = "\u2581"
 #: What a Python worker keeps: chunks with their shortest paths, and arcs of the acceptor of adjacent pieces.
-KEPT_CHUNKS = 400_000
-KEPT_PAIRS = 500_000
+KEPT_CHUNKS = 100_000
+KEPT_PAIRS = 200_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 INFINITE = float("inf")
@@ -181,14 +181,18 @@ class Pieces:
             node[""] = k
 
     def into(self, text: str, end: int) -> list[tuple[int, int]]:
-        """The lattice's arcs that end at a position of the string: (start, label), the shortest first."""
-        node, at, arcs = self.tree, end, []
-        while at and (node := node.get(text[at - 1])) is not None:
-            at -= 1
-            if (label := node.get("")) is not None:
-                arcs.append((at, label))
-        if not arcs or arcs[0][0] != end - 1:
-            arcs.insert(0, (end - 1, -ord(text[end - 1])))
+        """The lattice's arcs that end at a position of the string: (start, label), the longest first."""
+        at, node, arcs = end - 1, self.tree.get(text[end - 1]), []
+        label = None if node is None else node.get("")
+        arcs.append((at, -ord(text[at]) if label is None else label))
+        while node is not None and at:
+            node = node.get(text[at - 1])
+            if node is not None:
+                at -= 1
+                label = node.get("")
+                if label is not None:
+                    arcs.append((at, label))
+        arcs.reverse()
         return arcs
 
     def text(self, label: int) -> str:
@@ -214,12 +218,12 @@ class Pieces:
 class Adjacent:
     """The acceptor of sequences whose adjacent pieces the merges of a BPE model leave apart; a state is the last label."""
 
-    START = 1 << 30
+    START, WIDE = 1 << 30, 1 << 22
 
     def __init__(self, pieces: Pieces, model: PieceModel):
         self.pieces = pieces
         self.scores = {text: model.pieces[k][1] for text, k in pieces.ids.items()}
-        self.kept: dict[tuple[int, int], bool] = {}
+        self.kept: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """The merges of a BPE model on a short string: best score first, leftmost among equals."""
@@ -237,10 +241,11 @@ class Adjacent:
         return parts
 
     def accepts(self, before: int, label: int) -> bool:
+        """Whether there is an arc with the label from the state ``before``; kept under before * WIDE + label."""
         if len(self.kept) >= KEPT_PAIRS:
             self.kept.clear()
         pair = [self.pieces.text(x) for x in (before, label) if x != self.START]
-        found = self.kept[before, label] = self.merged("".join(pair)) == pair
+        found = self.kept[before * self.WIDE + label] = self.merged("".join(pair)) == pair
         return found
 
 
@@ -254,21 +259,21 @@ def shortest_path(text: str, pieces: Pieces, adjacent: Adjacent | None) -> list[
     size = len(text)
     cost, back, last = [INFINITE] * (size + 1), [0] * (size + 1), [Adjacent.START] * (size + 1)
     cost[0] = 0.0
-    known = adjacent.kept.get if adjacent else None
-    weight, other = pieces.weights.get, pieces.fallback_weight
-    for end in range(1, size + 1):
-        for at, label in reversed(pieces.into(text, end)):
-            if adjacent:
-                apart = known((last[at], label))
-                if apart is None:
-                    apart = adjacent.accepts(last[at], label)
-                if not apart:
-                    continue
-            total = cost[at] + weight(label, other)
-            if total < cost[end]:
-                cost[end], back[end], last[end] = total, at, label
-                if adjacent:
+    into, weight, other = pieces.into, pieces.weights.get, pieces.fallback_weight
+    if adjacent:
+        known, accepts, wide = adjacent.kept.get, adjacent.accepts, adjacent.WIDE
+        for end in range(1, size + 1):
+            for at, label in into(text, end):
+                apart = known(last[at] * wide + label)
+                if apart or (apart is None and accepts(last[at], label)):
+                    cost[end], back[end], last[end] = cost[at] + weight(label, other), at, label
                     break
+    else:
+        for end in range(1, size + 1):
+            for at, label in into(text, end):
+                total = cost[at] + weight(label, other)
+                if total < cost[end]:
+                    cost[end], back[end], last[end] = total, at, label
     if cost[size] == INFINITE and size:
         return None
     at, out = size, []
@@ -318,16 +323,19 @@ class Transducer:
 
 
 class _Chunks(dict):
-    """Shortest paths by chunk, as packed 32-bit numbers."""
+    """Shortest paths by chunk, as packed 32-bit numbers: those met lately, and those of the round before them."""
 
     def __init__(self, fst: Transducer):
         super().__init__()
-        self.fst = fst
+        self.fst, self.before = fst, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        found = array("i", self.fst.path(chunk)).tobytes()
+        found = self.before.get(chunk)
+        if found is None:
+            found = array("i", self.fst.path(chunk)).tobytes()
         if len(chunk) <= 64:
             if len(self) >= KEPT_CHUNKS:
+                self.before = dict(self)
                 self.clear()
             self[chunk] = found
         return found
@@ -373,6 +381,7 @@ def encode_column(docs: DataFrame, model_path: str, text: str = "text", out: str
 
     def run(batches):
         fst = transducer(shipped.value)
+        pa.default_memory_pool().release_unused()
         for whole in batches:
             for at in range(0, whole.num_rows, size):
                 batch = whole.slice(at, size)
