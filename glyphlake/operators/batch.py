@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .ranking import group_index
+
 EXTENSIONS = ("jpg", "jpeg", "png")
 #: Device names that a file must not have.
 RESERVED = ["CON", "PRN", "AUX", "NUL", *(f"{d}{k}" for d in ("COM", "LPT") for k in range(1, 10))]
@@ -35,14 +37,17 @@ def safe_stem(path: Column, normalise: bool = True) -> Column:
     return F.when(s == "", "photo").otherwise(s)
 
 
-def output_names(files: DataFrame, path: str, order: str, normalise: bool = True) -> DataFrame:
-    """Add stem (unique but for case), output, mask and report paths.
+def output_names(files: DataFrame, path: str, order: str, normalise: bool = True, block: int = 4096) -> DataFrame:
+    """Add stem (unique but for case), output, mask and report paths; ``order`` is a whole number.
 
     In the given order each file takes its safe stem or the first free one of stem_2, stem_3, and so on.
-    Names can only meet where they are equal up to trailing _numbers, so each such family is settled on
-    its own.
+    Where no file's own stem looks like a numbered one of a repeated stem, the number is the file's rank among
+    equals, counted in blocks of ``block`` orders. Only stems that such a name ties together are
+    settled one after the other, family by family.
     """
     schema = StructType([*files.schema.fields, StructField("stem", StringType())])
+    columns = files.columns
+    kept = [f"`{c}`" for c in columns]
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         used: set[str] = set()
@@ -57,10 +62,19 @@ def output_names(files: DataFrame, path: str, order: str, normalise: bool = True
             following[key] = n + 1
             used.add(name.casefold())
             stems.append(name)
-        return pdf.drop(columns=["_base", "_family"]).assign(stem=stems)
-
-    based = files.withColumn("_base", safe_stem(F.col(path), normalise)).withColumn("_family", F.lower(F.regexp_replace("_base", r"(_[0-9]+)+$", "")))
-    named = based.groupBy("_family").applyInPandas(settle, schema)
+        return pdf[columns].assign(stem=stems)
+
+    based = files.withColumn("_base", safe_stem(F.col(path), normalise)).withColumn("_key", F.lower("_base"))
+    family = F.regexp_replace("_key", r"(_[1-9][0-9]*)+$", "").alias("_family")
+    counts = based.groupBy("_key").agg(F.count("*").alias("_n"))
+    children = counts.select(F.col("_key").alias("_child"), F.regexp_extract("_key", r"^(.+)_[1-9][0-9]*$", 1).alias("_key")).where("_key <> ''")
+    ties = children.join(counts, "_key")
+    active = ties.where("_n > 1").select(family).distinct()
+    tied = ties.select("_key").union(ties.select("_child")).distinct().select("_key", family).join(active, "_family", "left_semi")
+
+    single = group_index(based.join(tied, "_key", "left_anti"), ["_key"], F.expr(f"`{order}` div {block}"), [order], "_k")
+    single = single.select(*kept, F.expr("if(_k = 0, _base, concat(_base, '_', _k + 1))").alias("stem"))
+    named = single.unionByName(based.join(tied, "_key").groupBy("_family").applyInPandas(settle, schema))
     return named.withColumns({
         "output": F.concat(F.lit("images/"), "stem", F.lit("_date_removed.png")),
         "mask": F.concat(F.lit("masks/"), "stem", F.lit("_timestamp_mask.png")),
@@ -75,6 +89,72 @@ def accepted_files(files: DataFrame, path: str, order: str, most: int = 500) ->
     return first.orderBy(order).limit(most)
 
 
+def rejected_files(files: DataFrame, path: str, order: str, most: int = 500) -> DataFrame:
+    """One row of counts: offered, unsupported, repeated, over_limit and accepted files."""
+    ok = F.lower(F.regexp_extract(path, r"\.([^.]*)$", 1)).isin(*EXTENSIONS)
+    n = files.agg(F.count("*").alias("offered"), F.count_if(~ok).alias("unsupported"), F.countDistinct(F.when(ok, F.lower(path))).alias("distinct"))
+    return n.selectExpr("offered", "unsupported", "offered - unsupported - distinct as repeated", f"greatest(0L, distinct - {most}) as over_limit", f"least(distinct, {most}L) as accepted")
+
+
+def with_reports(results: DataFrame, reports: DataFrame, key: str = "report") -> DataFrame:
+    """Results with their report's columns; a result without a report stops the job with its name."""
+    found = reports.withColumn("_found", F.lit(True))
+    joined = results.join(found, key, "left")
+    lost = F.concat(F.lit("no report at "), F.coalesce(F.col(key), F.lit("an unnamed path")))
+    return joined.where(F.when(F.col("_found"), F.lit(True)).otherwise(F.raise_error(lost).cast("boolean"))).drop("_found")
+
+
+def outcomes(succeeded: DataFrame, failed: DataFrame, canceled: DataFrame) -> DataFrame:
+    """The rows of all three outcomes with a status; columns that an outcome lacks are null."""
+    parts = [df.withColumn("status", F.lit(name)) for df, name in ((succeeded, "succeeded"), (failed, "failed"), (canceled, "canceled"))]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+
+
+def merged_reports(*parts: Column) -> Column:
+    """Report parts (maps of strings) as one; of a key in several parts the last one's value counts."""
+    without = lambda out, part: F.map_filter(out, lambda k, v: ~F.map_contains_key(part, k))
+    out = parts[0]
+    for part in parts[1:]:
+        out = F.map_concat(without(out, part), part)
+    return out
+
+
+def byte_size(n: Column) -> Column:
+    """A file size as shown: whole KB (at least 1) below a mebibyte, else MB with one digit."""
+    return F.when(n < 1048576, F.format_string("%d KB", F.greatest(F.lit(1), F.rint(n / 1024).cast("long")))).otherwise(F.format_string("%.1f MB", n / 1048576))
+
+
+def run_folder(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd HHmmss")
+
+
+def utc_iso(at: Column) -> Column:
+    """A UTC timestamp in ISO form, in microseconds where there are any; the session's zone must be UTC."""
+    return F.concat(F.regexp_replace(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", ""), F.lit("+00:00"))
+
+
+def is_finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
+def luminance(r: Column, g: Column, b: Column) -> Column:
+    """Relative luminance of a colour of bytes."""
+    linear = lambda c: F.when(c / 255.0 <= 0.04045, c / 255.0 / 12.92).otherwise(F.pow((c / 255.0 + 0.055) / 1.055, 2.4))
+    return 0.2126 * linear(r) + 0.7152 * linear(g) + 0.0722 * linear(b)
+
+
+def contrast_ratio(a: Column, b: Column) -> Column:
+    """Contrast of two luminances, 1 to 21."""
+    return (F.greatest(a, b) + 0.05) / (F.least(a, b) + 0.05)
+
+
+def review_box(x0: Column, y0: Column, x1: Column, y1: Column, width: int, height: int) -> Column:
+    """A glyph row's box with room around it for review, inside the photo: struct of x0, y0, x1, y1 (inclusive)."""
+    wide = F.greatest(F.lit(30), F.rint((x1 - x0 + 1) * 0.08).cast("int"))
+    high = F.greatest(F.lit(24), F.rint((y1 - y0 + 1) * 0.55).cast("int"))
+    return F.struct(F.greatest(F.lit(0), x0 - wide).alias("x0"), F.greatest(F.lit(0), y0 - high).alias("y0"), F.least(F.lit(width - 1), x1 + wide).alias("x1"), F.least(F.lit(height - 1), y1 + high).alias("y1"))
+
+
 def passes_audit() -> Column:
     """The gate of a report: pixels outside exact, date not found again, imprint checked and absent; missing fields don't pass.
 

@@ -16,9 +16,9 @@ def is_orange() -> Column:
     return (r >= 210) & g.between(55, 140) & (b <= 40) & (r - g >= 90) & (g - b >= 35)
 
 
-def in_search_window(height: int, width: int) -> Column:
-    """The lower right part of the photo, where the camera prints its date."""
-    return (F.col("y") >= int(0.68 * height)) & (F.col("x") >= int(0.38 * width))
+def in_search_window(height, width) -> Column:
+    """The lower right part of the photo, where the camera prints its date; sizes are numbers or names of columns."""
+    return F.expr(f"y >= cast(0.68D * {height} as int) and x >= cast(0.38D * {width} as int)")
 
 
 def orange_core(pixels: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ HEIGHT, WIDTH, BACKGROUND = 1152, 864, 112
 GLYPH_LEFT = (500, 517, 549, 566, 598, 615, 632, 649)
 TOP, BOTTOM, GLYPH_WIDTH = 1020, 1045, 12
 ORANGE, BLACK = (250, 95, 5), (4, 4, 4)
+#: Orange things that are no date: top, left and side of a square in the upper part, and of one in the search window.
+SQUARES = ((100, 200, 30), (800, 400, 9))
 
 
 def glyphs(keys: DataFrame) -> DataFrame:
@@ -28,5 +30,7 @@ def scene_pixels(keys: DataFrame) -> DataFrame:
     w = GLYPH_WIDTH
     box = g.selectExpr("photo_id", "x0", "y0", "y1", "explode(sequence(y0 - 4, y1 + 4)) as y").selectExpr("*", f"explode(sequence(x0 - 4, x0 + {w} + 3)) as x")
     box = box.withColumn("orange", F.expr(f"y between y0 and y1 and x between x0 and x0 + {w - 1}"))
-    pixels = box.groupBy("photo_id", "y", "x").agg(F.max("orange").alias("orange"))
+    side = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(l).alias("l"), F.lit(n).alias("n")) for t, l, n in SQUARES])
+    other = keys.where("photo_id % 4 = 1").select("photo_id", F.explode(side).alias("s")).selectExpr("photo_id", "s", "explode(sequence(s.t, s.t + s.n - 1)) as y").selectExpr("photo_id", "y", "explode(sequence(s.l, s.l + s.n - 1)) as x", "true as orange")
+    pixels = box.select("photo_id", "y", "x", "orange").unionByName(other).groupBy("photo_id", "y", "x").agg(F.max("orange").alias("orange"))
     return pixels.select("photo_id", "y", "x", *[F.when(F.col("orange"), o).otherwise(k).cast("int").alias(c) for c, o, k in zip("rgb", ORANGE, BLACK)])

@@ -1,81 +1,124 @@
-"""Text audits of HTML pages: inline content against a security policy, URLs, user agents."""
+"""Text audits of HTML pages: inline content against a security policy, URLs, user agents.
+
+Pages are cut into tags by ``tags``, and rules ask for attributes by their names; policies are map columns,
+so every page can have its own.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCRIPT = r"(?is)<script\b(?![^>]*\bsrc=)([^>]*)>(.*?)</script>"
-STYLE = r"(?is)<style\b([^>]*)>(.*?)</style>"
-DATA_SCRIPT = r"(?i)\btype=(\"|')?(application/json|application/ld\+json|importmap)"
-STYLE_ATTRIBUTE = r"(?i)<[^>]+\sstyle=(\"|')"
+#: An attribute list: quoted values may hold any character.
+_LIST = r"""((?:[^>"']|"[^"]*"|'[^']*')*)"""
+_ATTRIBUTE = r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?"""
+#: Script types that are data and never run (fixed values).
+DATA_TYPES = ["application/json", "application/ld+json", "importmap"]
 
 
-def policy_map(policy: str) -> dict[str, list[str]]:
-    """Directive -> sources; of a directive given twice the last counts."""
-    parts = [p.split() for p in policy.split(";")]
-    return {p[0].lower(): p[1:] for p in parts if p}
+def attributes(text: Column) -> Column:
+    """Names (lower case) and values (without quotes) of an attribute list, in order: an array of structs."""
+    names = F.transform(F.regexp_extract_all(text, F.lit(_ATTRIBUTE), 1), F.lower)
+    values = F.transform(F.regexp_extract_all(text, F.lit(_ATTRIBUTE), 2), lambda v: F.regexp_replace(v, "^[\"']|[\"']$", ""))
+    return F.arrays_zip(names.alias("name"), values.alias("value"))
 
 
-def parse_policy(policy: Column) -> Column:
-    """The same for a column; needs spark.sql.mapKeyDedupPolicy=LAST_WIN where directives repeat."""
-    parts = F.filter(F.transform(F.split(policy, ";"), lambda p: F.split(F.trim(F.regexp_replace(p, r"\s+", " ")), " ")), lambda p: p[0] != "")
-    return F.map_from_entries(F.transform(parts, lambda p: F.struct(F.lower(p[0]).alias("key"), F.slice(p, 2, F.size(p)).alias("value"))))
+def has_attribute(text: Column, name: str) -> Column:
+    return F.exists(attributes(text), lambda a: a["name"] == name)
 
 
-def sources_for(policy: dict[str, list[str]], directive: str, fallback: str) -> list[str]:
-    return policy.get(directive, policy.get(fallback, policy.get("default-src", [])))
+def attribute(text: Column, name: str) -> Column:
+    """The first value of an attribute, null where there is none."""
+    return F.get(F.filter(attributes(text), lambda a: a["name"] == name), F.lit(0))["value"]
 
 
-def inline_blocks(pages: DataFrame, pattern: str, id: str = "page_id", html: str = "html") -> DataFrame:
-    """(id, ordinal, attributes, body) of every inline block."""
-    found = F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), 1).alias("attributes"), F.regexp_extract_all(html, F.lit(pattern), 2).alias("body"))
+def elements(pages: DataFrame, tag: str, id: str = "page_id", html: str = "html") -> DataFrame:
+    """(id, ordinal, attributes, body) of every element of a raw-text tag such as script or style."""
+    pattern = F.lit(rf"(?is)<{tag}(?=[\s/>]){_LIST}>(.*?)</{tag}\s*>")
+    found = F.arrays_zip(F.regexp_extract_all(html, pattern, 1).alias("attributes"), F.regexp_extract_all(html, pattern, 2).alias("body"))
     return pages.select(id, F.posexplode(found).alias("ordinal", "b")).select(id, "ordinal", "b.attributes", "b.body")
 
 
 def inline_scripts(pages: DataFrame, **names) -> DataFrame:
-    return inline_blocks(pages, SCRIPT, **names).where(~F.col("attributes").rlike(DATA_SCRIPT))
+    """Script elements that run what they hold: without a source, and not of a data type."""
+    kind = F.lower(F.trim(F.coalesce(attribute(F.col("attributes"), "type"), F.lit(""))))
+    return elements(pages, "script", **names).where(~has_attribute(F.col("attributes"), "src") & ~kind.isin(DATA_TYPES))
+
+
+def inline_styles(pages: DataFrame, **names) -> DataFrame:
+    return elements(pages, "style", **names)
+
+
+def has_style_attribute(html: Column) -> Column:
+    """Whether any tag has the attribute style."""
+    return F.exists(F.regexp_extract_all(html, F.lit(rf"(?s)<[A-Za-z][^\s/>]*{_LIST}>"), 1), lambda t: has_attribute(t, "style"))
+
+
+def parse_policy(policy: Column) -> Column:
+    """Directive (lower case) -> sources; of a directive given twice the last counts."""
+    words = F.filter(F.transform(F.split(policy, ";"), lambda p: F.split(F.trim(F.regexp_replace(p, r"\s+", " ")), " ")), lambda p: F.get(p, F.lit(0)) != "")
+    name = lambda p: F.lower(F.get(p, F.lit(0)))
+    last = F.filter(words, lambda p, k: ~F.exists(F.slice(words, k + 2, F.size(words)), lambda q: name(q) == name(p)))
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(name(p).alias("key"), F.slice(p, 2, F.size(p)).alias("value"))))
+
+
+def sources_for(policy: Column, *directives: str) -> Column:
+    """Sources of the first directive that the policy map has, else of default-src, else none."""
+    return F.coalesce(*[F.try_element_at(policy, F.lit(d)) for d in (*directives, "default-src")], F.array().cast("array<string>"))
+
+
+def _begins(sources: Column, prefix: str) -> Column:
+    return F.exists(sources, lambda s: F.lower(s).startswith(prefix))
 
 
-def permitted(sources: list[str]) -> Column:
-    """Whether sources allow an inline block with the columns attributes and body.
+def allows_all_inline(sources: Column) -> Column:
+    """'unsafe-inline', which is void next to a hash or a nonce."""
+    strict = _begins(sources, "'sha256-") | _begins(sources, "'sha384-") | _begins(sources, "'sha512-") | _begins(sources, "'nonce-")
+    return F.exists(sources, lambda s: F.lower(s) == "'unsafe-inline'") & ~strict
 
-    'unsafe-inline' is void next to a hash or a nonce. Hashes are compared in SHA-256.
+
+def permitted(sources: Column) -> Column:
+    """Whether sources allow an inline element with the columns attributes and body, by a SHA-256 of its body or a nonce."""
+    digest = F.concat(F.lit("'sha256-"), F.base64(F.unhex(F.sha2("body", 256))), F.lit("'"))
+    hashed = F.exists(sources, lambda s: F.concat(F.lower(F.substring(s, 1, 8)), F.substring(s, 9, 200)) == digest)
+    return allows_all_inline(sources) | hashed | (_begins(sources, "'nonce-") & has_attribute(F.col("attributes"), "nonce"))
+
+
+def findings(pages: DataFrame, id: str = "page_id", html: str = "html", policy: str = "policy") -> DataFrame:
+    """(id, kind, ordinal, preview) of all that each page's policy (a column of text) would block.
+
+    A page without a policy blocks nothing. Elements meet their page's policy in a join on the id.
     """
-    hashes = [s[1:-1] for s in sources if s[:5].lower() == "'sha2" and s[:8].lower() == "'sha256-"]
-    others = any(s[:8].lower() in ("'sha384-", "'sha512-") for s in sources)
-    nonce = any(s[:7].lower() == "'nonce-" for s in sources)
-    if any(s.lower() == "'unsafe-inline'" for s in sources) and not hashes and not others and not nonce:
-        return F.lit(True)
-    integrity = F.concat(F.lit("sha256-"), F.base64(F.unhex(F.sha2("body", 256))))
-    return integrity.isin(hashes) | (F.lit(nonce) & F.col("attributes").rlike(r"(?i)\bnonce="))
-
-
-def findings(pages: DataFrame, policy: str, id: str = "page_id", html: str = "html") -> DataFrame:
-    """(id, kind, ordinal, preview) of all that the policy would block."""
-    rules = policy_map(policy)
-    scripts = inline_scripts(pages, id=id, html=html).where(~permitted(sources_for(rules, "script-src-elem", "script-src")))
-    styles = inline_blocks(pages, STYLE, id, html).where(~permitted(sources_for(rules, "style-src-elem", "style-src")))
-    preview = F.regexp_replace(F.substring("body", 1, 48), r"\s+", " ")
-    out = scripts.select(id, F.lit("script").alias("kind"), "ordinal", preview.alias("preview"))
-    out = out.unionByName(styles.select(id, F.lit("style").alias("kind"), "ordinal", preview.alias("preview")))
-    attribute = sources_for(rules, "style-src-attr", "style-src")
-    if not any(s.lower() == "'unsafe-inline'" for s in attribute):
-        out = out.unionByName(pages.where(F.col(html).rlike(STYLE_ATTRIBUTE)).select(id, F.lit("style_attribute").alias("kind"), F.lit(0).alias("ordinal"), F.lit("").alias("preview")))
-    return out
-
-
-def boundary_errors(policy: str) -> list[str]:
-    """Which directives of a page without network, workers or WebAssembly allow too much."""
-    rules = policy_map(policy)
-    out = []
-    if "'none'" not in sources_for(rules, "connect-src", "default-src"):
-        out.append("connect-src")
-    if "'none'" not in sources_for(rules, "worker-src", "child-src"):
-        out.append("worker-src")
-    if "'wasm-unsafe-eval'" in sources_for(rules, "script-src", "default-src"):
-        out.append("script-src")
-    return out
+    rules = pages.where(F.col(policy).isNotNull()).select(id, parse_policy(F.col(policy)).alias("_p"))
+    preview = F.regexp_replace(F.substring("body", 1, 48), r"\s+", " ").alias("preview")
+
+    def blocked(kind: str, found: DataFrame, *directives: str) -> DataFrame:
+        return found.join(rules, id).where(~permitted(sources_for(F.col("_p"), *directives))).select(id, F.lit(kind).alias("kind"), "ordinal", preview)
+
+    styled = pages.where(F.col(policy).isNotNull() & has_style_attribute(F.col(html)) & ~allows_all_inline(sources_for(parse_policy(F.col(policy)), "style-src-attr", "style-src")))
+    out = blocked("script", inline_scripts(pages, id=id, html=html), "script-src-elem", "script-src")
+    out = out.unionByName(blocked("style", inline_styles(pages, id=id, html=html), "style-src-elem", "style-src"))
+    return out.unionByName(styled.select(id, F.lit("style_attribute").alias("kind"), F.lit(0).alias("ordinal"), F.lit("").alias("preview")))
+
+
+def boundary_errors(policy: Column) -> Column:
+    """Which directives of a page without network, workers or WebAssembly allow too much: an array of names."""
+    p = parse_policy(policy)
+    has = lambda word, *d: F.exists(sources_for(p, *d), lambda s: F.lower(s) == word)
+    rules = [(~has("'none'", "connect-src"), "connect-src"), (~has("'none'", "worker-src", "child-src"), "worker-src"), (has("'wasm-unsafe-eval'", "script-src"), "script-src")]
+    return F.array_compact(F.array(*[F.when(wrong, F.lit(name)) for wrong, name in rules]))
+
+
+def forbidden_tokens(text: Column, tokens: list[str]) -> Column:
+    """The tokens that a text contains, in their order."""
+    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in tokens]))
+
+
+def header_policy(config: Column, header: str = "Content-Security-Policy") -> Column:
+    """The header's value in the first header rule of a hosting configuration (a JSON document) that has it."""
+    rules = F.from_json(config, "headers array<struct<source:string,headers:array<struct<key:string,value:string>>>>")["headers"]
+    values = F.flatten(F.transform(rules, lambda r: F.filter(r["headers"], lambda h: F.lower(h["key"]) == header.lower())))
+    return F.get(values, F.lit(0))["value"]
 
 
 def origin_or_default(domain: Column, default: str) -> Column:

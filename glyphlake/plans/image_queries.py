@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from glyphlake.operators import detect as D
 from glyphlake.operators import pixels as P
 from glyphlake.operators import restore as R
-from glyphlake.operators.components import component_table, label_components
+from glyphlake.operators import process as X
+from glyphlake.operators.components import component_table
 from glyphlake.operators.scenes import BACKGROUND, HEIGHT, WIDTH, glyphs, scene_pixels
 
 H, W = HEIGHT, WIDTH
@@ -36,7 +37,7 @@ def detect_scene(spark, d):
 
 
 def component_stats(spark, d):
-    c = component_table(label_components(_core(spark, d)))
+    c = component_table(D.labelled_orange(_pixels(spark, d), H, W))
     return c.selectExpr("photo_id", "area", "x0", "y0", "x1", "y1", "cy")
 
 
@@ -97,30 +98,64 @@ def rescue_mask_bound(spark, d):
     return mask.groupBy("photo_id").agg(F.count("*").alias("mask")).join(n, "photo_id").selectExpr("photo_id", "mask", "rescue", "rescue <= 3 * mask as within_bound")
 
 
-def _masked(spark, d, methods):
+def _dated(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Pixels of the dated photos, and their masks (photo_id, y, x, radius): the chosen components' pixels, dilated."""
     pixels = _pixels(spark, d)
-    found = D.detect(pixels, H, W).select("photo_id", "radius")
-    dated = pixels.join(found, "photo_id")
-    mask = P.dilate_by_radius(dated.where(P.is_orange()).select(*P.KEY, "radius"), H, W)
-    radius = found.toDF("photo_id", "radius")
-    return R.restore(dated.drop("radius"), mask.toDF(*P.KEY).join(radius, "photo_id"), H, W, BACKGROUND, methods)
+    found, core = D.detect_core(pixels, H, W)
+    radius = found.select("photo_id", "radius")
+    return pixels.join(radius, "photo_id").drop("radius"), P.dilate_by_radius(core, H, W).join(radius, "photo_id")
+
+
+def detected_core(spark, d):
+    """Core and mask of each dated photo; other orange things are in neither."""
+    _, core = D.detect_core(_pixels(spark, d), H, W)
+    mask = P.dilate_by_radius(core, H, W)
+    return _box(P.bounding_box(mask)).withColumnRenamed("pixels", "mask").join(core.groupBy("photo_id").agg(F.count("*").alias("core")), "photo_id")
+
+
+def undated_candidates(spark, d):
+    """What was found in photos without a date, from top to bottom."""
+    return D.diagnostics(_pixels(spark, d), H, W).selectExpr("photo_id", "size(boxes) as candidates", "get(boxes, 0).y0 as y0", "get(boxes, 0).x0 as x0")
 
 
 def harmonic_fill_scene(spark, d):
-    done = _masked(spark, d, ("harmonic",))
-    return done.selectExpr("photo_id", "method", "round(score, 3) as score", "inner_boundary_pixels", "outer_boundary_pixels", "size(ys) as mask_pixels", "error")
+    pixels, mask = _dated(spark, d)
+    done = R.restore(pixels, mask, H, W, BACKGROUND, ("harmonic",), measured=False)
+    return done.selectExpr("photo_id", "method", "size(ys) as mask_pixels", "array_min(rgb) as low", "array_max(rgb) as high", "error")
 
 
 def restore_scene(spark, d):
     """Every scene's reconstruction with the lowest score among all methods."""
-    return R.best_method(_masked(spark, d, R.kernels.METHODS)).selectExpr("photo_id", "method", "round(score, 3) as score", "size(ys) as mask_pixels")
+    return R.best_method(R.restore(*_dated(spark, d), H, W, BACKGROUND, R.kernels.METHODS)).selectExpr("photo_id", "method", "round(score, 3) as score", "size(ys) as mask_pixels")
+
+
+def process_scene(spark, d):
+    """The scenes as PNG files through the whole process: decode, detect, fill, encode, decode again and verify."""
+    done = X.process(X.scene_photos(_pixels(spark, d), _keys(spark, d), H, W, BACKGROUND), "harmonic")
+    flags = [f"cast({c} as boolean) as {c}" for c in ("outside_mask_rgb_exact", "timestamp_sequence_redetected", "timestamp_imprint_detected")]
+    return done.selectExpr("cast(path as bigint) as photo_id", "status", "mask_pixels", "changed_pixels", "remaining_orange_core_pixels", *flags)
+
+
+def golden_pairs(spark, d):
+    """The scenes next to hand-made results: masks painted over, in some with a pixel outside of the mask too, in some not at all."""
+    pixels, keys = _pixels(spark, d), _keys(spark, d)
+    mask = _dated(spark, d)[1].select(*P.KEY, F.lit(True).alias("masked"))
+    pixels, kind = pixels.join(mask, P.KEY, "left"), F.col("photo_id") % 3
+    spot = F.col("photo_id") % 3 == 1
+    painted = pixels.select("photo_id", "y", "x", *[F.when(F.col("masked") & (kind < 2), F.lit(BACKGROUND)).otherwise(F.col(c)).alias(c) for c in "rgb"])
+    dot = keys.where(spot).selectExpr("photo_id", "5 as y", "7 as x", "1 as r", "2 as g", "3 as b")
+    pairs = X.pairs(X.scene_photos(pixels, keys, H, W, BACKGROUND), X.scene_photos(painted.unionByName(dot), keys, H, W, BACKGROUND))
+    return X.evaluate_pairs(pairs).selectExpr("cast(path as bigint) as photo_id", "accepted", "changed_pixels_outside_mask", "remaining_orange_core_pixels", "timestamp_sequence_redetected", "error")
 
 
 _G = """g as (
   select s_suppkey as photo_id, i, [500, 517, 549, 566, 598, 615, 632, 649][i + 1] + s_suppkey % 5 as x0, 1020 + (i + s_suppkey) % 3 as y0,
     case when s_suppkey % 11 = 5 and i = 6 then 1020 + (i + s_suppkey) % 3 + 9 else 1045 - (i * s_suppkey) % 4 end as y1
   from supplier, range(8) t(i) where not (s_suppkey % 7 = 6 and i = 3)),
-core as (select distinct photo_id, y, x from g, lateral (select unnest(range(y0, y1 + 1)) as y), lateral (select unnest(range(x0, x0 + 12)) as x)),
+core as (
+  select distinct photo_id, y, x from g, lateral (select unnest(range(y0, y1 + 1)) as y), lateral (select unnest(range(x0, x0 + 12)) as x)
+  union select s_suppkey, y, x from supplier, range(100, 130) a(y), range(200, 230) b(x) where s_suppkey % 4 = 1
+  union select s_suppkey, y, x from supplier, range(800, 809) a(y), range(400, 409) b(x) where s_suppkey % 4 = 1),
 black as (
   select photo_id, y, x from (select distinct photo_id, y, x from g, lateral (select unnest(range(y0 - 4, y1 + 5)) as y), lateral (select unnest(range(x0 - 4, x0 + 16)) as x))
   anti join core using (photo_id, y, x))"""
@@ -138,11 +173,23 @@ ok as (
   select *, y1 - y0 + 1 as height, (y0 + y1) / 2.0::double as cy from comp
   where area >= 20 and y1 - y0 + 1 between 6.912::double and 74.88::double and x1 - x0 + 1 <= 56.16::double),
 win as (
-  select c.photo_id, a.label as anchor, list({'x0': c.x0, 'x1': c.x1, 'y1': c.y1, 'area': c.area, 'h': c.height, 'cy': c.cy}) over (partition by c.photo_id, a.label order by c.x0, c.label rows between current row and 7 following) as s
+  select c.photo_id, a.label as anchor, list({'x0': c.x0, 'x1': c.x1, 'y0': c.y0, 'y1': c.y1, 'area': c.area, 'h': c.height, 'cy': c.cy}) over (partition by c.photo_id, a.label order by c.x0, c.label rows between current row and 7 following) as s
   from ok c join ok a on a.photo_id = c.photo_id and abs(c.cy - a.cy) <= 0.34::double * greatest(c.height, a.height) and c.height / a.height::double between 0.55::double and 1.8::double),
 seq as (select distinct photo_id, s from win where len(s) = 8)"""
 
-QUERIES = {f.__name__: f for f in (detect_scene, component_stats, sequence_gaps, orange_count, mask_dilate, mask_l1_dilate, erosion_boundary, mask_bbox, changed_outside_mask, remaining_orange, edited_area, rescue_mask_bound, harmonic_fill_scene, restore_scene)}
+_SCORED = f"""m as (
+  select photo_id, s, [s[k + 1].x0 - s[k].x1 - 1 for k in range(1, 8)] as gaps, list_transform(s, lambda c: c.h) as hs, list_transform(s, lambda c: c.cy) as cys,
+    s[8].x1 - s[1].x0 + 1 as span, list_max(list_transform(s, lambda c: c.y1)) as bottom, s[8].x1 as rgt, list_sum(list_transform(s, lambda c: c.area)) as area from seq),
+v as (select *, list_median(hs)::double as mh, list_median([gaps[1], gaps[3], gaps[5], gaps[6], gaps[7]]) as ug, list_min(hs) as lo, list_max(hs) as hi, list_stddev_pop(hs) as sh, list_stddev_pop(cys) as sc, list_max(cys) - list_min(cys) as pc from m),
+w as (
+  select *, 7.0::double * rgt / {W} + 5.0::double * bottom / {H} + 0.25::double * ln(1 + area) + 0.8::double * (gaps[2] + gaps[4]) / (2.0::double * mh) - 4.0::double * sh / mh - 5.0::double * sc / mh - 0.08::double * abs(span / mh - 10.0::double) as score from v
+  where list_min(gaps) >= 0 and lo >= 0.58::double * mh and hi <= 1.42::double * mh and pc <= 0.34::double * mh and span / mh between 5.2::double and 16.5::double and list_max(gaps) <= 2.5::double * mh
+    and least(gaps[2], gaps[4]) >= 0.16::double * mh and least(gaps[2], gaps[4]) >= ug and bottom / {H}.0::double >= 0.78::double and rgt / {W}.0::double >= 0.70::double)"""
+_CHOSEN = """cb as (select photo_id, arg_max(s, score) as s, arg_max(greatest(3, least(14, round_even(0.095::double * mh, 0))), score)::int as radius from w group by photo_id),
+ch as (select photo_id, radius, unnest(s).x0 as x0, unnest(s).x1 as x1, unnest(s).y0 as y0, unnest(s).y1 as y1 from cb),
+cc as (select distinct core.photo_id, y, x, radius from core join ch on ch.photo_id = core.photo_id and x between x0 and x1 and y between y0 and y1),
+cm as (select distinct photo_id, y + dy as y, x + dx as x from cc, range(-14, 15) a(dy), range(-14, 15) b(dx) where dy * dy + dx * dx <= radius * radius)"""
+QUERIES = {f.__name__: f for f in (detect_scene, component_stats, sequence_gaps, orange_count, mask_dilate, mask_l1_dilate, erosion_boundary, mask_bbox, changed_outside_mask, remaining_orange, edited_area, rescue_mask_bound, detected_core, undated_candidates, harmonic_fill_scene, restore_scene, process_scene, golden_pairs)}
 ORACLES = {
     "orange_count": f"with {_G} select photo_id, count(*) as pixels from core group by photo_id",
     "mask_bbox": f"with {_G} {_BOX.format('core')}",
@@ -159,15 +206,23 @@ q as (select photo_id, y + dy as y, x + dx as x from b, range(-1, 2) a(dy), rang
 select photo_id, mask, rescue, rescue <= 3 * mask as within_bound from (select photo_id, count(*) as mask from d3 group by 1) join (select photo_id, count(*) as rescue from q group by 1) using (photo_id)""",
     "component_stats": f"with recursive {_G}, {_LABEL} select photo_id, area::bigint as area, x0::int as x0, y0::int as y0, x1::int as x1, y1::int as y1, (y0 + y1) / 2.0::double as cy from comp",
     "sequence_gaps": f"with recursive {_G}, {_LABEL} select photo_id, (k - 1)::int as k, (s[k + 1].x0 - s[k].x1 - 1)::int as gap from seq, range(1, 8) t(k)",
-    "detect_scene": f"""with recursive {_G}, {_LABEL},
-m as (
-  select photo_id, s, [s[k + 1].x0 - s[k].x1 - 1 for k in range(1, 8)] as gaps, list_transform(s, lambda c: c.h) as hs, list_transform(s, lambda c: c.cy) as cys,
-    s[8].x1 - s[1].x0 + 1 as span, list_max(list_transform(s, lambda c: c.y1)) as bottom, s[8].x1 as rgt, list_sum(list_transform(s, lambda c: c.area)) as area from seq),
-v as (select *, list_median(hs)::double as mh, list_median([gaps[1], gaps[3], gaps[5], gaps[6], gaps[7]]) as ug, list_min(hs) as lo, list_max(hs) as hi, list_stddev_pop(hs) as sh, list_stddev_pop(cys) as sc, list_max(cys) - list_min(cys) as pc from m),
-w as (
-  select *, 7.0::double * rgt / {W} + 5.0::double * bottom / {H} + 0.25::double * ln(1 + area) + 0.8::double * (gaps[2] + gaps[4]) / (2.0::double * mh) - 4.0::double * sh / mh - 5.0::double * sc / mh - 0.08::double * abs(span / mh - 10.0::double) as score from v
-  where list_min(gaps) >= 0 and lo >= 0.58::double * mh and hi <= 1.42::double * mh and pc <= 0.34::double * mh and span / mh between 5.2::double and 16.5::double and list_max(gaps) <= 2.5::double * mh
-    and least(gaps[2], gaps[4]) >= 0.16::double * mh and least(gaps[2], gaps[4]) >= ug and bottom / {H}.0::double >= 0.78::double and rgt / {W}.0::double >= 0.70::double)
+    "detect_scene": f"""with recursive {_G}, {_LABEL}, {_SCORED}
 select photo_id, round(max(score), 6) as score, arg_max(mh, score) as median_h, arg_max(greatest(3, least(14, round_even(0.095::double * mh, 0))), score)::int as radius, arg_max(s[1].x0, score)::int as x0, arg_max(rgt, score)::int as x1
 from w group by photo_id""",
+    "detected_core": f"""with recursive {_G}, {_LABEL}, {_SCORED}, {_CHOSEN}
+select photo_id, count(*) as mask, min(x)::int as x0, min(y)::int as y0, max(x)::int as x1, max(y)::int as y1, any_value(core) as core from cm join (select photo_id, count(*) as core from cc group by photo_id) using (photo_id) group by photo_id""",
+    "process_scene": f"""with recursive {_G}, {_LABEL}, {_SCORED}, {_CHOSEN},
+kn as (select cc.photo_id, count(*) as n from cc group by 1), mn as (select photo_id, count(*) as n from cm group by 1)
+select s_suppkey as photo_id, case when mn.n is null then 'failed' else 'succeeded' end as status, mn.n as mask_pixels, kn.n as changed_pixels, case when mn.n is not null then 0 end::bigint as remaining_orange_core_pixels,
+  case when mn.n is not null then true end as outside_mask_rgb_exact, case when mn.n is not null then false end as timestamp_sequence_redetected, case when mn.n is not null then false end as timestamp_imprint_detected
+from supplier left join mn on mn.photo_id = s_suppkey left join kn on kn.photo_id = s_suppkey""",
+    "golden_pairs": f"""with recursive {_G}, {_LABEL}, {_SCORED}, {_CHOSEN},
+kn as (select cc.photo_id, count(*) as n from cc group by 1)
+select s_suppkey as photo_id, n is not null and s_suppkey % 3 = 0 as accepted, case when n is not null then (s_suppkey % 3 = 1)::bigint end as changed_pixels_outside_mask, case when n is not null then case when s_suppkey % 3 = 2 then n else 0 end end as remaining_orange_core_pixels,
+  n is not null and s_suppkey % 3 = 2 as timestamp_sequence_redetected, case when n is null then 'no date was found' end as error
+from supplier left join kn on kn.photo_id = s_suppkey""",
+    "undated_candidates": f"""with recursive {_G}, {_LABEL}, {_SCORED}
+select photo_id, count(*)::int as candidates, (arg_min(y0, y0 * 10000 + x0))::int as y0, (arg_min(x0, y0 * 10000 + x0))::int as x0 from ok where photo_id not in (select photo_id from w) group by photo_id""",
+    "harmonic_fill_scene": f"""with recursive {_G}, {_LABEL}, {_SCORED}, {_CHOSEN}
+select photo_id, 'harmonic' as method, count(*)::int as mask_pixels, 4 as low, 4 as high, null::varchar as error from cm group by photo_id""",
 }

@@ -8,11 +8,14 @@ from pyspark.sql.window import Window
 
 from glyphlake.operators import batch as B
 from glyphlake.operators import web_audit as A
-from glyphlake.operators.ranking import global_index, running_sum
+from glyphlake.operators.ranking import global_index, group_percentiles, running_sum
 
 METHODS = ("harmonic", "harmonic_texture", "edge_guided", "bilateral", "edge_weighted", "edge_weighted_texture")
 POLICY = "default-src 'self'; script-src 'self' 'sha256-AAAA'; style-src 'self'; style-src-attr 'unsafe-inline'; worker-src 'none'"
 DEFAULT_ORIGIN = "https://fallback.example"
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
+#: Names of a browser's network calls that a page without network must not hold (fixed values).
+NETWORK_CALLS = ["fetch(", "XMLHttpRequest", "sendBeacon", "WebSocket(", "FormData("]
 
 
 def _t(spark, d: str, name: str) -> DataFrame:
@@ -47,9 +50,55 @@ def failure_messages(spark, d):
 
 
 def manifest_report_join(spark, d):
-    """Succeeded results with their report; an unmatched one says so instead of vanishing."""
-    r = _reports(spark, d).select("report", F.lit(True).alias("found"), "verified")
-    return _results(spark, d).where("status = 'succeeded'").join(r, "report", "left").selectExpr("photo_id", "report", "coalesce(found, false) as has_report", "coalesce(verified, false) as verified")
+    """Succeeded results with their report; a missing report stops the job."""
+    joined = B.with_reports(_results(spark, d).where("status = 'succeeded'").drop("photo_id"), _reports(spark, d).select("report", "photo_id", "verified"))
+    return joined.select("photo_id", "report", F.coalesce("verified", F.lit(False)).alias("verified"))
+
+
+def outcome_union(spark, d):
+    """Result rows of the three outcomes in one table, each with the columns that it has."""
+    r = _results(spark, d)
+    of = lambda status, *columns: r.where(F.col("status") == status).select("photo_id", *columns)
+    return B.outcomes(of("succeeded", "report"), of("failed", "message"), of("canceled"))
+
+
+def report_parts(spark, d):
+    """Detection, restoration and check parts of each report merged, later parts winning, and read back from JSON."""
+    r = _reports(spark, d)
+    detection = F.create_map(F.lit("report"), F.col("report"), F.lit("stage"), F.lit("detected"))
+    check = F.create_map(F.lit("verified"), F.col("verified").cast("string"), F.lit("stage"), F.lit("checked"))
+    text = F.to_json(B.merged_reports(detection, check))
+    back = F.from_json(text, "report string, stage string, verified string")
+    return r.select("photo_id", back.alias("b")).select("photo_id", "b.report", "b.stage", F.col("b.verified").cast("boolean").alias("verified"))
+
+
+def file_facts(spark, d):
+    """Documents as files: their size as shown, and whether the number stored for it is finite."""
+    size = F.octet_length("text")
+    return _t(spark, d, "documents").where("text is not null").select("doc_id", B.byte_size(size * F.lit(97)).alias("shown"), B.is_finite(F.col("n_chars").cast("double")).alias("finite"))
+
+
+def event_times(spark, d):
+    """Run folder names and UTC stamps of the events."""
+    return _t(spark, d, "events").select("event_id", B.run_folder(F.col("ts")).alias("folder"), B.utc_iso(F.date_trunc("second", "ts")).alias("stamp"))
+
+
+def part_contrast(spark, d):
+    """Contrast of two colours made of each part's numbers."""
+    byte = lambda e: F.expr(e).cast("int")
+    first, second = B.luminance(byte("p_partkey % 256"), byte("p_size * 5"), byte("p_partkey div 7 % 256")), B.luminance(byte("p_size"), byte("p_partkey div 3 % 256"), byte("200"))
+    return _t(spark, d, "part").select("p_partkey", F.round(B.contrast_ratio(first, second), 6).alias("contrast"))
+
+
+def input_counts(spark, d):
+    """What a file picker would take and refuse of the customers' files."""
+    return B.rejected_files(_customer_files(spark, d), F.col("path"), "c_custkey")
+
+
+def review_boxes(spark, d):
+    """Boxes for review around the words of a page's address, as if they were glyphs."""
+    box = B.review_box(F.expr("cast(page_id * 37 % 900 as int)"), F.expr("cast(page_id * 11 % 600 as int)"), F.expr("cast(page_id * 37 % 900 + length(url) as int)"), F.expr("cast(page_id * 11 % 600 + length(url) % 60 as int)"), 1000, 640)
+    return _t(spark, d, "pages").select("page_id", box.alias("b")).select("page_id", "b.*")
 
 
 def audit_errors(spark, d):
@@ -68,13 +117,16 @@ def report_json(spark, d):
 
 
 def output_names(spark, d):
-    files = _t(spark, d, "documents").selectExpr("doc_id", "concat('in/', translate(substring(text, 1, 24), '\\n\\t', '  '), '.jpg') as path")
+    files = _t(spark, d, "documents").selectExpr("doc_id", "concat('in/', translate(substring_index(text, '\\n', 1), '\\t/', '  '), '.jpg') as path")
     return B.output_names(files, "path", "doc_id").select("doc_id", "stem", "output", "mask", "report")
 
 
+def _customer_files(spark, d) -> DataFrame:
+    return _t(spark, d, "customer").selectExpr("c_custkey", "concat(if(c_custkey % 3 = 0, upper(c_mktsegment), lower(c_mktsegment)), c_nationkey, if(c_custkey % 7 = 0, '.gif', '.jpg')) as path")
+
+
 def dedup_first(spark, d):
-    files = _t(spark, d, "customer").selectExpr("c_custkey", "concat(if(c_custkey % 3 = 0, upper(c_mktsegment), lower(c_mktsegment)), c_nationkey, if(c_custkey % 7 = 0, '.gif', '.jpg')) as path")
-    return B.accepted_files(files, F.col("path"), "c_custkey", most=500)
+    return B.accepted_files(_customer_files(spark, d), F.col("path"), "c_custkey", most=500)
 
 
 def running_count(spark, d):
@@ -120,15 +172,17 @@ def distinct_hashes(spark, d):
 
 
 def percentile_band(spark, d):
-    e = _t(spark, d, "events").groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.005), F.lit(0.995))).alias("p"), F.stddev_pop("value").alias("s"))
-    return e.selectExpr("event_type", "round(p[0], 6) as low", "round(p[1], 6) as high", "round(s, 6) as std")
+    e = _t(spark, d, "events").select("event_type", "value")
+    std = e.groupBy("event_type").agg(F.stddev_pop("value").alias("s"))
+    return group_percentiles(e, "event_type", "value", [0.005, 0.995]).join(std, "event_type").selectExpr("event_type", "round(p0, 6) as low", "round(p1, 6) as high", "round(s, 6) as std")
 
 
 def robust_sigma(spark, d):
     e = _t(spark, d, "events").select("event_type", "value")
-    centre = e.groupBy("event_type").agg(F.percentile("value", F.lit(0.5)).alias("median"))
-    mad = e.join(F.broadcast(centre), "event_type").groupBy("event_type", "median").agg(F.percentile(F.abs(F.col("value") - F.col("median")), F.lit(0.5)).alias("mad"))
-    return mad.selectExpr("event_type", "round(median, 6) as median", "round(greatest(1.4826D * mad, 0.75D), 6) as sigma")
+    centre = group_percentiles(e, "event_type", "value", [0.5]).withColumnRenamed("p0", "median")
+    far = e.join(centre, "event_type").select("event_type", F.abs(F.col("value") - F.col("median")).alias("far"))
+    mad = group_percentiles(far, "event_type", "far", [0.5]).join(centre, "event_type")
+    return mad.selectExpr("event_type", "round(median, 6) as median", "round(greatest(1.4826D * p0, 0.75D), 6) as sigma")
 
 
 def stride_sample(spark, d):
@@ -169,14 +223,18 @@ def argmin_method(spark, d):
 def knn_weighted(spark, d):
     """The 12 nearest of all vectors to every hundredth, and their weighted mean label.
 
-    Queries are dealt to blocks of a hash, and every vector meets one block at a time by an equi-join.
+    The queries are dealt to blocks of about QUERY_BLOCK, and every vector to salts, so that a task compares one
+    salt with one block; it keeps 12 candidates of each query, and only those meet for the final choice.
     """
     v = _t(spark, d, "embeddings").where("embedding is not null").selectExpr("vec_id", "cast(embedding as array<double>) as e", "label")
-    q = v.where("vec_id % 100 = 0").selectExpr("vec_id as q", "e as qe", "pmod(hash(vec_id), 4) as block")
-    blocks = v.withColumn("block", F.explode(F.array(*[F.lit(k) for k in range(4)])))
+    n = v.count()
+    blocks, salts = max(1, n // 100 // QUERY_BLOCK), max(8, n // VECTOR_BLOCK)
+    q = v.where("vec_id % 100 = 0").selectExpr("vec_id as q", "e as qe", f"pmod(hash(vec_id), {blocks}) as block", f"explode(sequence(0, {salts - 1})) as salt")
+    dealt = v.selectExpr("*", f"pmod(xxhash64(vec_id), {salts}) as salt", f"explode(sequence(0, {blocks - 1})) as block")
     d2 = "aggregate(zip_with(qe, e, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x)"
-    near = q.join(blocks, "block").where("q <> vec_id").selectExpr("q", "vec_id", "label", f"round({d2}, 9) as d2")
-    top = near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d2", "vec_id"))).where("rank <= 12")
+    near = q.join(dealt, ["block", "salt"]).where("q <> vec_id").selectExpr("q", "salt", "vec_id", "label", f"round({d2}, 9) as d2")
+    best = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("d2", "vec_id"))).where("rank <= 12")
+    top = best(best(near, "q", "salt").drop("rank"), "q")
     return top.groupBy("q").agg(F.round(F.sum(F.col("label") / (F.col("d2") + 1e-3)) / F.sum(1.0 / (F.col("d2") + 1e-3)), 6).alias("mean_label"), F.min("d2").alias("nearest"))
 
 
@@ -186,18 +244,41 @@ def inline_scripts(spark, d):
 
 
 def inline_styles(spark, d):
-    s = A.inline_blocks(_t(spark, d, "pages").select("page_id", "html"), A.STYLE)
+    s = A.inline_styles(_t(spark, d, "pages").select("page_id", "html"))
     return s.select("page_id", F.col("attributes"), F.sha2("body", 256).alias("sha256"))
 
 
+def _policies(spark, d) -> DataFrame:
+    """The pages with a policy each, made of their address; some have none."""
+    policy = F.expr(f"""case page_id % 4 when 0 then "{POLICY}" when 1 then "script-src 'self' 'unsafe-inline'; style-src 'none'"
+        when 3 then concat("connect-src 'none'; child-src ", url, "; script-src 'wasm-unsafe-eval'") end""")
+    return _t(spark, d, "pages").select("page_id", "html", policy.alias("policy"))
+
+
 def csp_findings(spark, d):
-    f = A.findings(_t(spark, d, "pages").select("page_id", "html"), POLICY)
-    return f.groupBy("page_id", "kind").agg(F.count("*").alias("findings"), F.min("preview").alias("preview"))
+    return A.findings(_policies(spark, d)).groupBy("page_id", "kind").agg(F.count("*").alias("findings"), F.min("preview").alias("preview"))
+
+
+def csp_totals(spark, d):
+    """Findings over all pages by kind, and the pages that have any."""
+    return A.findings(_policies(spark, d)).groupBy("kind").agg(F.count("*").alias("findings"), F.countDistinct("page_id").alias("pages"))
 
 
 def static_boundary(spark, d):
-    wrong = ",".join(A.boundary_errors(POLICY))
-    return _t(spark, d, "pages").select("page_id", F.lit(wrong).alias("errors"))
+    """What each page's policy allows too much."""
+    return _policies(spark, d).where("policy is not null").select("page_id", F.concat_ws(",", A.boundary_errors(F.col("policy"))).alias("errors"))
+
+
+def header_policies(spark, d):
+    """Each page's policy out of a hosting configuration that holds it."""
+    p = _policies(spark, d).where("policy is not null")
+    rule = F.struct(F.lit("/").alias("source"), F.array(F.struct(F.lit("X-Frame").alias("key"), F.lit("no").alias("value")), F.struct(F.lit("content-security-policy").alias("key"), F.col("policy").alias("value"))).alias("headers"))
+    return p.select("page_id", F.to_json(F.struct(F.array(rule).alias("headers"))).alias("config")).select("page_id", A.header_policy(F.col("config")).alias("policy"))
+
+
+def network_calls(spark, d):
+    """The names of network calls in each page."""
+    return _t(spark, d, "pages").select("page_id", F.concat_ws(",", A.forbidden_tokens(F.col("html"), NETWORK_CALLS)).alias("tokens"))
 
 
 def url_host(spark, d):
@@ -207,11 +288,11 @@ def url_host(spark, d):
 
 
 def platform_case(spark, d):
-    agents = F.array(*[F.lit(x) for x in ("Mozilla/5.0 (Windows NT 10.0)", "Mozilla/5.0 (Macintosh)", "Mozilla/5.0 (iPhone; like Mac OS X)", "Mozilla/5.0 (X11; Linux)", "Opera Android")])
-    p = _t(spark, d, "pages").select("page_id", agents[(F.col("page_id") % 5).cast("int")].alias("ua"), F.when(F.col("page_id") % 4 == 0, "Win32").when(F.col("page_id") % 4 == 1, "MacIntel").otherwise("Linux").alias("pf"))
-    return p.select("page_id", A.platform_of(F.col("ua"), F.col("pf")).alias("platform"))
+    """The platform that a page's markup and address would stand for as a user agent and a platform."""
+    return _t(spark, d, "pages").select("page_id", A.platform_of(F.col("html"), F.regexp_replace("url", "^https?://", "")).alias("platform"))
 
 
+POLICY_SQL = POLICY.replace("'", "''")
 _STATUS = "case o_orderstatus when 'F' then 'succeeded' when 'O' then 'failed' else 'canceled' end"
 _REPORTS = """r as (
   select 'r/' || l_orderkey as report, l_orderkey as photo_id, l_quantity > 3 as verified, case when l_returnflag = 'R' then null else (l_quantity % 2)::int end as outside,
@@ -221,19 +302,40 @@ e as (select *, list_filter([case when not verified then 'verify' end, case when
   case when redetected then 'redetected' end, case when not coalesce(applied, false) then 'check_missing' end, case when imprint then 'imprint' end], lambda x: x is not null) as errors from r)"""
 _INDEXED = "c as (select p_partkey, p_size, row_number() over (order by p_partkey) - 1 as i from part), k as (select p_partkey, p_size, (i - 10) // 4 as row, (i - 10) % 4 as col from c where i >= 10 and i < 1010)"
 _ALL_CELLS = "c as (select p_partkey, p_size, row_number() over (order by p_partkey) - 1 as i from part), k as (select p_partkey, p_size, i // 4 as row, i % 4 as col from c)"
-_SAFE = r"""n as (select doc_id, regexp_replace('in/' || translate(left(text, 24), chr(10) || chr(9), '  ') || '.jpg', '^.*/', '') as name from documents),
+_SAFE = r"""n as (select doc_id, regexp_replace('in/' || translate(split_part(text, chr(10), 1), chr(9) || '/', '  ') || '.jpg', '^.*/', '') as name from documents),
 s as (select doc_id, regexp_replace(trim(regexp_replace(nfc_normalize(left(name, length(name) - 4)), '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), ' .'), '\s+', ' ', 'g') as b from n),
 t as (select doc_id, case when b = '' then 'photo' else rtrim(left(b, 100), ' .') end as b from s),
 u as (select doc_id, b, row_number() over (partition by lower(b) order by doc_id) as k from t),
 v as (select doc_id, case when k = 1 then b else b || '_' || k end as stem from u)"""
 
-_ALL = (manifest_counts, failure_messages, manifest_report_join, audit_errors, audit_rollup, report_json, output_names, dedup_first, running_count, page_grid, row_offsets, page_grid_all, row_offsets_all, file_sha256, distinct_hashes, percentile_band, robust_sigma, stride_sample, window_of_eight, sentinel_stop, base64_stream, argmin_method, knn_weighted, inline_scripts, inline_styles, csp_findings, static_boundary, url_host, platform_case)
+_FINDINGS = r"""with a as (
+  select page_id, 'script' as kind, regexp_extract(s, '(?is)<script\b([^>]*)>(.*?)</script>', 2) as b from (select page_id, unnest(regexp_extract_all(html, '(?is)<script\b[^>]*>.*?</script>')) as s from pages)
+    where page_id % 4 in (0, 3) and not regexp_matches(s, '(?is)^<script\b[^>]*\bsrc=') and not regexp_matches(s, '(?is)^<script\b[^>]*\btype=("|'')?(application/json|application/ld\+json|importmap)')
+  union all select page_id, 'style', regexp_extract(s, '(?is)<style\b([^>]*)>(.*?)</style>', 2) from (select page_id, unnest(regexp_extract_all(html, '(?is)<style\b[^>]*>.*?</style>')) as s from pages) where page_id % 4 in (0, 1, 3)
+  union all select page_id, 'style_attribute', '' from pages where page_id % 4 in (1, 3) and regexp_matches(html, '(?i)<[a-z][^>]*\sstyle\s*='))"""
+
+_ALL = (outcome_union, report_parts, file_facts, event_times, part_contrast, input_counts, review_boxes, csp_totals, header_policies, network_calls, manifest_counts, failure_messages, manifest_report_join, audit_errors, audit_rollup, report_json, output_names, dedup_first, running_count, page_grid, row_offsets, page_grid_all, row_offsets_all, file_sha256, distinct_hashes, percentile_band, robust_sigma, stride_sample, window_of_eight, sentinel_stop, base64_stream, argmin_method, knn_weighted, inline_scripts, inline_styles, csp_findings, static_boundary, url_host, platform_case)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
     "manifest_counts": f"with s as (select o_orderpriority as batch, {_STATUS} as status from orders) select batch, count(*) as total, count(*) filter (status = 'succeeded') as succeeded, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'canceled') as canceled from s group by batch",
     "failure_messages": """with m as (select distinct o_orderpriority as batch, 'error ' || (o_orderkey % 4) as message from orders where o_orderstatus = 'O' and o_orderkey % 10 <> 0)
 select batch, count(*)::int as messages, case when count(*) = 1 then min(message) else count(*) || ' different errors' end as shown from m group by batch""",
-    "manifest_report_join": f"with {_REPORTS} select o_orderkey as photo_id, 'r/' || o_orderkey as report, r.report is not null as has_report, coalesce(verified, false) as verified from orders left join r on r.report = 'r/' || o_orderkey where o_orderstatus = 'F'",
+    "manifest_report_join": f"with {_REPORTS} select photo_id, report, coalesce(verified, false) as verified from orders join r on r.report = 'r/' || o_orderkey where o_orderstatus = 'F'",
+    "outcome_union": f"select o_orderkey as photo_id, case when o_orderstatus = 'F' then 'r/' || o_orderkey end as report, case when o_orderstatus = 'O' then case when o_orderkey % 10 = 0 then '  ' else 'error ' || (o_orderkey % 4) end end as message, {_STATUS} as status from orders",
+    "report_parts": f"with {_REPORTS} select photo_id, report, 'checked' as stage, verified from r",
+    "file_facts": "select doc_id, case when n < 1048576 then greatest(1, round_even(n / 1024.0::double, 0)::bigint) || ' KB' else printf('%.1f', n / 1048576.0::double) || ' MB' end as shown, n_chars is not null as finite from (select doc_id, n_chars, octet_length(encode(text)) * 97 as n from documents where text is not null)",
+    "event_times": "select event_id, strftime(ts, '%Y-%m-%d %H%M%S') as folder, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' as stamp from events",
+    "part_contrast": """with c as (select p_partkey, [p_partkey % 256, p_size * 5, p_partkey // 7 % 256] as a, [p_size, p_partkey // 3 % 256, 200] as b from part),
+l as (select p_partkey, list_transform(a, lambda v: case when v / 255.0::double <= 0.04045::double then v / 255.0::double / 12.92::double else pow((v / 255.0::double + 0.055::double) / 1.055::double, 2.4::double) end) as a,
+  list_transform(b, lambda v: case when v / 255.0::double <= 0.04045::double then v / 255.0::double / 12.92::double else pow((v / 255.0::double + 0.055::double) / 1.055::double, 2.4::double) end) as b from c),
+y as (select p_partkey, 0.2126::double * a[1] + 0.7152::double * a[2] + 0.0722::double * a[3] as a, 0.2126::double * b[1] + 0.7152::double * b[2] + 0.0722::double * b[3] as b from l)
+select p_partkey, round((greatest(a, b) + 0.05::double) / (least(a, b) + 0.05::double), 6) as contrast from y""",
+    "input_counts": """with f as (select (case when c_custkey % 3 = 0 then upper(c_mktsegment) else lower(c_mktsegment) end) || c_nationkey || case when c_custkey % 7 = 0 then '.gif' else '.jpg' end as path from customer),
+n as (select count(*) as offered, count(*) filter (path like '%.gif') as unsupported, count(distinct lower(path)) filter (path like '%.jpg') as k from f)
+select offered, unsupported, offered - unsupported - k as repeated, greatest(0, k - 500) as over_limit, least(k, 500) as accepted from n""",
+    "review_boxes": """with b as (select page_id, (page_id * 37 % 900)::int as x0, (page_id * 11 % 600)::int as y0, (page_id * 37 % 900 + length(url))::int as x1, (page_id * 11 % 600 + length(url) % 60)::int as y1 from pages),
+p as (select *, greatest(30, round_even((x1 - x0 + 1) * 0.08::double, 0)::int) as w, greatest(24, round_even((y1 - y0 + 1) * 0.55::double, 0)::int) as h from b)
+select page_id, greatest(0, x0 - w)::int as x0, greatest(0, y0 - h)::int as y0, least(999, x1 + w)::int as x1, least(639, y1 + h)::int as y1 from p""",
     "audit_errors": f"with {_REPORTS} select photo_id, array_to_string(errors, ',') as errors, flag and not redetected and coalesce(applied, false) and not imprint as passed from e",
     "audit_rollup": f"with {_REPORTS} select count(*) as total, count(*) filter (len(errors) = 0) as passed, (select string_agg(model, ',' order by model) from (select distinct model from r)) as models, bool_and(len(errors) = 0) as all_exact from e",
     "report_json": f"""with {_REPORTS} select photo_id, '{{"photo_id":' || photo_id || ',"report":"' || report || '","verified":' || verified || ',"changed_pixels_outside_mask":' || coalesce(outside::varchar, 'null') || '}}' as json from r""",
@@ -264,13 +366,15 @@ select page_id, length(b)::int as length, sha256(b) as sha256 from (select page_
 where not regexp_matches(a, '(?i)\bsrc=') and not regexp_matches(a, '(?i)\btype=("|'')?(application/json|application/ld\+json|importmap)')""",
     "inline_styles": r"""with s as (select page_id, unnest(regexp_extract_all(html, '(?is)<style\b[^>]*>.*?</style>')) as s from pages)
 select page_id, regexp_extract(s, '(?is)<style\b([^>]*)>', 1) as attributes, sha256(regexp_extract(s, '(?is)<style\b([^>]*)>(.*?)</style>', 2)) as sha256 from s""",
-    "csp_findings": r"""with a as (
-  select page_id, 'script' as kind, regexp_extract(s, '(?is)<script\b([^>]*)>(.*?)</script>', 2) as b from (select page_id, unnest(regexp_extract_all(html, '(?is)<script\b[^>]*>.*?</script>')) as s from pages) where not regexp_matches(s, '(?is)^<script\b[^>]*\bsrc=')
-  union all select page_id, 'style', regexp_extract(s, '(?is)<style\b([^>]*)>(.*?)</style>', 2) from (select page_id, unnest(regexp_extract_all(html, '(?is)<style\b[^>]*>.*?</style>')) as s from pages))
-select page_id, kind, count(*) as findings, min(regexp_replace(left(b, 48), '\s+', ' ', 'g')) as preview from a group by 1, 2""",
-    "static_boundary": "select page_id, 'connect-src' as errors from pages",
+    "csp_findings": _FINDINGS + r" select page_id, kind, count(*) as findings, min(regexp_replace(left(b, 48), '\s+', ' ', 'g')) as preview from a group by 1, 2",
+    "csp_totals": _FINDINGS + " select kind, count(*) as findings, count(distinct page_id) as pages from a group by kind",
+    "static_boundary": "select page_id, case page_id % 4 when 0 then 'connect-src' when 1 then 'connect-src,worker-src' else 'worker-src,script-src' end as errors from pages where page_id % 4 <> 2",
+    "header_policies": f"select page_id, case page_id % 4 when 0 then '{POLICY_SQL}' when 1 then 'script-src ''self'' ''unsafe-inline''; style-src ''none''' else 'connect-src ''none''; child-src ' || url || '; script-src ''wasm-unsafe-eval''' end as policy from pages where page_id % 4 <> 2",
+    "network_calls": f"select page_id, array_to_string(list_filter({NETWORK_CALLS}, lambda t: contains(html, t)), ',') as tokens from pages",
     "url_host": r"""with h as (select page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) as host from pages),
 k as (select *, case when page_id % 5 = 0 then host || '/path' when page_id % 7 = 0 then '' else host end as dom from h)
 select page_id, host, case when dom <> '' and not contains(dom, '/') then 'https://' || lower(dom) else 'https://fallback.example' end as origin from k""",
-    "platform_case": "select page_id, case page_id % 5 when 0 then 'windows' when 1 then case when page_id % 4 = 0 then 'windows' else 'macos' end when 3 then case page_id % 4 when 0 then 'windows' when 1 then 'macos' else 'other' end else 'other' end as platform from pages",
+    "platform_case": """with p as (select page_id, lower(html) as ua, lower(regexp_replace(url, '^https?://', '')) as pf from pages)
+select page_id, case when contains(ua, 'iphone') or contains(ua, 'ipad') or contains(ua, 'android') or contains(ua, 'mobile') then 'other' when contains(ua, 'windows') or starts_with(pf, 'win') then 'windows'
+  when contains(ua, 'mac') or starts_with(pf, 'mac') then 'macos' else 'other' end as platform from p""",
 }

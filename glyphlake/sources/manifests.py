@@ -31,3 +31,69 @@ def decode_base64_lines(lines: DataFrame, stream: str = "stream", number: str =
     before = lines.withColumn("_ended", F.max((F.trim(F.col(line)) == end).cast("int")).over(w)).where("_ended = 0").where(F.trim(F.col(line)) != "")
     data = F.try_to_binary(F.trim(F.col(line)), F.lit("base64"))
     return before.select(stream, number, data.alias("bytes"), data.isNotNull().alias("valid"))
+
+
+def read_reports(spark: SparkSession, results: DataFrame, folder: str, schema: str) -> DataFrame:
+    """Results with the reports that lie in a folder as JSON files, by file name; a result without its file stops the job."""
+    from glyphlake.operators.batch import with_reports
+
+    name = lambda c: F.regexp_extract(c, r"([^/]*)$", 1)
+    reports = spark.read.schema(schema).option("multiLine", True).json(folder).withColumn("_name", name(F.input_file_name()))
+    return with_reports(results.withColumn("_name", name(F.col("report"))), reports, "_name").drop("_name")
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_manifest(results: DataFrame, path: str, method: str) -> None:
+    """A batch's manifest: a folder with ``head`` (one document of method, time and counts) and ``results`` (rows in parts).
+
+    Both are written beside the path and moved there at once, so a reader finds a whole manifest or none; an
+    existing one is never overwritten.
+    """
+    from glyphlake.operators.batch import manifest_counts
+
+    spark = results.sparkSession
+    place, files = _files(spark, path)
+    if files.exists(place):
+        raise FileExistsError(path)
+    part = f"{path.rstrip('/')}.part"
+    part_place, _ = _files(spark, part)
+    files.delete(part_place, True)
+    write_results(results, f"{part}/results")
+    rows = spark.read.schema(results.schema).json(f"{part}/results")
+    head = manifest_counts(rows).select(F.current_timestamp().alias("created_at"), F.lit(method).alias("method"), "*")
+    head.coalesce(1).write.option("ignoreNullFields", "false").json(f"{part}/head")
+    if not files.rename(part_place, place):
+        raise FileExistsError(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(head, results) of a manifest that ``write_manifest`` wrote."""
+    return spark.read.schema("created_at timestamp, method string, total long, succeeded long, failed long, canceled long").json(f"{path}/head"), spark.read.schema(RESULT).json(f"{path}/results")
+
+
+def write_audit(reports: DataFrame, path: str) -> bool:
+    """Audit rows with their errors in parts under ``rows``, totals under ``head``; returns whether every report passed."""
+    from glyphlake.operators.batch import audit_errors
+
+    audited = reports.withColumn("errors", audit_errors()).withColumn("status", F.when(F.size("errors") == 0, "passed").otherwise("failed"))
+    audited.write.mode("errorifexists").option("ignoreNullFields", "false").json(f"{path}/rows")
+    rows = reports.sparkSession.read.schema(audited.schema).json(f"{path}/rows")
+    head = rows.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "passed").alias("passed"), F.array_sort(F.collect_set("model_sha256")).alias("model_sha256_values"))
+    head.write.option("ignoreNullFields", "false").json(f"{path}/head")
+    return rows.where("status = 'failed'").isEmpty()
+
+
+def new_run_folder(spark: SparkSession, root: str, name: str) -> str:
+    """Make ``root/name``, or the first free one of ``name 2``, ``name 3`` and so on, and return it."""
+    n = 1
+    while True:
+        path = f"{root.rstrip('/')}/{name}" + (f" {n}" if n > 1 else "")
+        place, files = _files(spark, path)
+        if not files.exists(place):
+            files.mkdirs(place)
+            return path
+        n += 1

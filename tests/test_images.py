@@ -78,7 +78,13 @@ def test_labels_against_flood_fill():
 
 def test_set_operations(spark):
     a = spark.createDataFrame([(1, 5, x) for x in range(10)], "photo_id long, y int, x int")
-    assert pixels.erode(pixels.dilate(a, pixels.SQUARE, 100, 100)).count() == 8 + 0 if False else pixels.dilate(a, disk(1), 100, 100).count() == 32 - 1
+    assert pixels.dilate(a, disk(1), 100, 100).count() == 31
+    assert {(r["y"], r["x"]) for r in pixels.erode(pixels.dilate(a, pixels.SQUARE, 100, 100)).collect()} == {(5, x) for x in range(10)} - {(5, 0)}
+    boxes = pixels.bounding_box(a.where("x > 5"))
+    assert pixels.crop(a, boxes, 2, 100, 100).count() == 6
+    rgb = lambda df, v: df.selectExpr("*", f"{v} as r", f"{v} as g", f"{v} as b")
+    mixed = pixels.composite(rgb(a, 1), rgb(a, 2), a.where("x < 3")).collect()
+    assert sorted((r["x"], r["r"]) for r in mixed) == [(x, 2 if x < 3 else 1) for x in range(10)]
     assert pixels.bounding_box(a).first()[1:] == (10, 0, 5, 9, 5)
     assert pixels.outside(a, a.where("x < 3")).count() == 7 and pixels.within(a, a.where("x < 3")).count() == 3
 
@@ -126,6 +132,72 @@ def test_web_rules(spark):
     got = spark.createDataFrame(domains, "domain string, want string").withColumn("got", web_audit.origin_or_default(F.col("domain"), "d")).collect()
     assert all(r["got"] == r["want"] for r in got)
     page = spark.createDataFrame([(1, "<script>self.push(1)</script><script src='a'></script><style>p{}</style><p style='x'>")], "page_id long, html string")
-    kinds = lambda p: sorted(r["kind"] for r in web_audit.findings(page, p).collect())
+    kinds = lambda p: sorted(r["kind"] for r in web_audit.findings(page.withColumn("policy", F.lit(p))).collect())
     assert kinds("script-src 'self'; style-src 'self'") == ["script", "style", "style_attribute"]
     assert kinds("default-src 'unsafe-inline'") == [] and kinds("script-src 'unsafe-inline' 'nonce-a'; style-src 'unsafe-inline'") == ["script"]
+    assert kinds(None) == []
+    odd = """<SCRIPT data-src='x'>a</SCRIPT><script type="Application/JSON">{}</script><script title="a > b" src=x>b</script><script nonce=n>c</script><p data-style="x">"""
+    one = spark.createDataFrame([(1, odd, "script-src 'nonce-n'; STYLE-SRC 'none'; style-src 'self'")], "page_id long, html string, policy string")
+    assert [r["preview"] for r in web_audit.findings(one).collect()] == ["a"]
+    rules = one.select(web_audit.parse_policy(F.col("policy")).alias("p")).first()["p"]
+    assert rules == {"script-src": ["'nonce-n'"], "style-src": ["'self'"]}
+    bad = one.select(web_audit.boundary_errors(F.lit("default-src 'none'; script-src 'wasm-unsafe-eval'; worker-src x")).alias("e")).first()["e"]
+    assert bad == ["worker-src", "script-src"]
+    assert one.select(web_audit.forbidden_tokens(F.lit("a.fetch(x)"), ["fetch(", "XMLHttpRequest"]).alias("t")).first()["t"] == ["fetch("]
+
+
+def test_mask_holds_only_the_chosen_components(spark):
+    keys = spark.createDataFrame([(77,)], "photo_id long")  # 77 % 4 = 1: two orange squares that are no date
+    found, core = detect.detect_core(scenes.scene_pixels(keys), 1152, 864)
+    assert found.count() == 1
+    places = {(r["y"], r["x"]) for r in core.collect()}
+    assert places and all(y >= 1020 and x >= 500 for y, x in places)
+
+
+def test_small_functions(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c.alias("v")).first()["v"]
+    assert [value(batch.byte_size(F.lit(n))) for n in (1, 1536, 2560, 1048576, 1572864)] == ["1 KB", "2 KB", "2 KB", "1.0 MB", "1.5 MB"]
+    at = F.lit("2024-03-05 06:07:08.5").cast("timestamp")
+    assert value(batch.run_folder(at)) == "2024-03-05 060708" and value(batch.utc_iso(at)) == "2024-03-05T06:07:08.500000+00:00"
+    assert [value(batch.is_finite(F.lit(x))) for x in (1.0, float("nan"), float("inf"), None)] == [True, False, False, False]
+    white, black = batch.luminance(F.lit(255), F.lit(255), F.lit(255)), batch.luminance(F.lit(0), F.lit(0), F.lit(0))
+    assert value(batch.contrast_ratio(white, black)) == pytest.approx(21.0)
+    assert value(batch.merged_reports(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("1")), F.create_map(F.lit("b"), F.lit("2")))) == {"a": "1", "b": "2"}
+
+
+def test_names_of_a_large_family(spark):
+    names = [("photo.jpg", k) for k in range(0, 60, 3)] + [("IMG_0001.jpg", k) for k in (1, 4)] + [(f"IMG_{k:04}.jpg", k + 100) for k in range(2, 40)] + [("photo_3.jpg", 5), ("photo_3_2.jpg", 7)]
+    files = spark.createDataFrame(names, "path string, k long")
+    got = {r["k"]: r["stem"] for r in batch.output_names(files, "path", "k", block=8).collect()}
+    used, want = set(), {}
+    for path, k in sorted(names, key=lambda x: x[1]):
+        base, n = path[:-4], 1
+        while (name := base if n == 1 else f"{base}_{n}") in used:
+            n += 1
+        used.add(name)
+        want[k] = name
+    assert got == want
+
+
+def test_kernels_against_brute_force():
+    rng = np.random.default_rng(4)
+    mask = rng.random((23, 31)) < 0.8
+    clean = np.argwhere(~mask)
+    dist, y, x = K.nearest_outside(mask)
+    for k, p in enumerate(np.argwhere(mask)):
+        d = ((clean - p) ** 2).sum(1)
+        best = min(map(tuple, clean[d == d.min()]))
+        assert dist[k] == pytest.approx(d.min() ** 0.5) and (y[k], x[k]) == best
+    assert (K.erode(mask)[1:-1, 1:-1] == np.lib.stride_tricks.sliding_window_view(mask, (3, 3)).all((2, 3))).all() and not K.erode(mask)[0].any()
+    image, small = rng.random((40, 50, 3)) * 255, np.zeros((40, 50), bool)
+    small[15:22, 20:31] = True
+    want = image.copy()
+    _, ny, nx = K.nearest_outside(small)
+    want[small] = want[ny, nx]
+    for _ in range(3):
+        old = want.copy()
+        for a, b in np.argwhere(small):
+            near = [(old[a + dy, b + dx], 1 if 0 in (dy, dx) else 0.5**0.5) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
+            want[a, b] = sum(v * w for v, w in near) / sum(w for _, w in near)
+    assert np.allclose(K.harmonic(image, small, rounds=3, tolerance=0), want)

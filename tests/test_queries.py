@@ -72,3 +72,54 @@ def test_whole_sheet(spark):
     # only the table of bucket sums may meet in one task
     plan = registry.QUERIES["row_offsets"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"\(height#\d+ \+ 8\)[^\n]*\], \[row#", plan) and "_bucket" in plan
+
+
+def test_manifests_on_disk(spark, tmp_path):
+    rows = spark.createDataFrame([("succeeded", "a"), ("failed", "b"), ("failed", "c")], "status string, source string")
+    manifests.write_manifest(rows, str(tmp_path / "m"), "auto")
+    head, results = manifests.read_manifest(spark, str(tmp_path / "m"))
+    assert head.first()[1:] == ("auto", 3, 1, 2, 0) and results.count() == 3
+    with pytest.raises(FileExistsError):
+        manifests.write_manifest(rows, str(tmp_path / "m"), "auto")
+    assert [manifests.new_run_folder(spark, str(tmp_path), "run")[-5:] for _ in range(3)] == [f"{tmp_path}/run"[-5:], "run 2", "run 3"]
+    (tmp_path / "reports").mkdir()
+    (tmp_path / "reports" / "a.json").write_text('{"verified": true,\n "n": 1}')
+    found = spark.createDataFrame([("a", "x/a.json")], "source string, report string")
+    assert manifests.read_reports(spark, found, str(tmp_path / "reports"), "verified boolean, n int").first()["n"] == 1
+    with pytest.raises(Exception, match="no report"):
+        manifests.read_reports(spark, found.selectExpr("source", "'x/b.json' as report"), str(tmp_path / "reports"), "verified boolean, n int").collect()
+    report = spark.createDataFrame([(True, 0, True, False, True, False, "m")], "verified boolean, changed_pixels_outside_mask int, outside_mask_rgb_exact boolean, timestamp_sequence_redetected boolean, timestamp_imprint_check_applied boolean, timestamp_imprint_detected boolean, model_sha256 string")
+    assert manifests.write_audit(report, str(tmp_path / "audit")) and not manifests.write_audit(report.withColumn("verified", F.lit(False)), str(tmp_path / "audit2"))
+
+
+def test_process_of_files(spark, tmp_path):
+    """PNG files through folder scan, decoding and the whole process: one with a date, one without, one broken."""
+    import numpy as np
+
+    from glyphlake.functions import png
+    from glyphlake.operators import process
+
+    image = np.full((1152, 864, 3), 112, np.uint8)
+    (tmp_path / "plain.png").write_bytes(png.encode(image))
+    for x in (500, 517, 549, 566, 598, 615, 632, 649):
+        image[1016:1050, x - 4 : x + 16] = 4
+    for x in (500, 517, 549, 566, 598, 615, 632, 649):
+        image[1020:1046, x : x + 12] = (250, 95, 5)
+    (tmp_path / "dated.png").write_bytes(png.encode(image))
+    (tmp_path / "broken.png").write_bytes(b"x")
+    rows = {os.path.basename(r["path"]): r for r in process.process(photos.decoded(photos.photo_files(spark, str(tmp_path))), "harmonic").collect()}
+    assert rows["plain.png"]["error"] == "no date was found" and rows["broken.png"]["error"].startswith("ValueError") and rows["broken.png"]["status"] == "failed"
+    done = rows["dated.png"]
+    assert done["status"] == "succeeded" and done["mask_pixels"] == 4318 and done["changed_pixels"] == 2496 and done["changed_pixels_outside_mask"] == 0
+    assert (png.decode(bytes(done["mask_png"]))[..., 0] == 255).sum() == 4318 and (png.decode(bytes(done["png"])) == 112).all(2).sum() > 900_000
+    with pytest.raises(ValueError):
+        process.process(photos.decoded(photos.photo_files(spark, str(tmp_path))), "nonsense")
+
+
+def test_progress_of_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"at": "2024-01-01T00:00:00Z", "status": "succeeded"}\n{"at": "2024-01-01T00:01:00Z", "status": "failed"}\n')
+    stream = spark.readStream.schema("at timestamp, status string").json(str(tmp_path / "in"))
+    query = inbox.progress_counts(stream).writeStream.format("memory").queryName("progress").outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [(r["succeeded"], r["failed"]) for r in spark.table("progress").collect()] == [(1, 1)]
