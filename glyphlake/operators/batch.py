@@ -97,11 +97,10 @@ def rejected_files(files: DataFrame, path: str, order: str, most: int = 500) ->
 
 
 def with_reports(results: DataFrame, reports: DataFrame, key: str = "report") -> DataFrame:
-    """Results with their report's columns; a result without a report stops the job with its name."""
-    found = reports.withColumn("_found", F.lit(True))
-    joined = results.join(found, key, "left")
-    lost = F.concat(F.lit("no report at "), F.coalesce(F.col(key), F.lit("an unnamed path")))
-    return joined.where(F.when(F.col("_found"), F.lit(True)).otherwise(F.raise_error(lost).cast("boolean"))).drop("_found")
+    """Results with their report's columns; reading a column of a report that doesn't exist stops the job with its name."""
+    joined = results.join(reports.withColumn("_found", F.lit(True)), key, "left")
+    lost = F.raise_error(F.concat(F.lit("no report at "), F.coalesce(F.col(key), F.lit("an unnamed path"))))
+    return joined.withColumns({c: F.when(F.col("_found"), F.col(c)).otherwise(lost) for c in reports.columns if c != key}).drop("_found")
 
 
 def outcomes(succeeded: DataFrame, failed: DataFrame, canceled: DataFrame) -> DataFrame:
