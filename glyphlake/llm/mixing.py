@@ -29,17 +29,17 @@ BLOCK = 16
 def spread_rank(df: DataFrame, group: list[str], bucket: str, order: list, out: str) -> DataFrame:
     """Rank from 0 in each group by (bucket, order); tasks hold one bucket of a group, not a group.
 
-    The bucket must not be null; group values may be.
+    The bucket must not be null; group values may be. Rows move once: the ranks inside a bucket and the bucket's
+    start meet on the same keys.
     """
-    sizes = df.groupBy(*group, bucket).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], F.col(bucket).alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inner = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*group, bucket).orderBy(*order)))
-    match = F.col(bucket) == F.col("_b")
-    for k, g in enumerate(group):
-        match = match & F.col(g).eqNullSafe(F.col(f"_g{k}"))
-    joined = inner.join(starts, match)
-    return joined.withColumn(out, (F.col("_start") + F.col("_rn") - 1).cast("long")).drop("_rn", "_b", "_start", *[f"_g{k}" for k in range(len(group))])
+    keys = [f"_g{k}" for k in range(len(group))]
+    df = df.withColumns({k: F.coalesce(F.concat(F.lit("="), F.col(g).cast("string")), F.lit("")) for k, g in zip(keys, group)})
+    sizes = df.groupBy(*keys, bucket).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inner = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order)))
+    joined = inner.join(starts, [*keys, bucket])
+    return joined.withColumn(out, (F.col("_start") + F.col("_rn") - 1).cast("long")).drop("_rn", "_start", *keys)
 
 
 def integer_weights(sizes: list[tuple[str | None, int]], weights: dict | None, period: int) -> list[tuple[str | None, int]]:
@@ -174,11 +174,18 @@ def scheduled(docs: DataFrame, source: str = "source", key: str = "doc_id", weig
     return placed.groupBy(F.col("_x").alias("_a"), F.col("_y").alias("_b")).agg(F.array_sort(F.collect_list(F.struct("slot", "place"))).alias("_slots"))
 
 
-def with_slots(rows: DataFrame, slots: DataFrame) -> DataFrame:
-    """Rows with _a and _b (from ``row_hashes``) get slot and place in their stead, every copy its own."""
-    order = Window.partitionBy("_a", "_b").orderBy("_a")
-    joined = rows.withColumn("_copy", F.row_number().over(order) - 1).join(slots, ["_a", "_b"]).withColumn("_at", F.expr("get(_slots, _copy)"))
-    return joined.withColumn("slot", F.col("_at.slot")).withColumn("place", F.col("_at.place")).drop("_a", "_b", "_copy", "_slots", "_at")
+def distinct_with_slots(docs: DataFrame, slots: DataFrame) -> DataFrame:
+    """Each distinct row of a repeated table once, with the places of all its copies in ``_slots`` (see ``scheduled``).
+
+    Copies that lie next to each other meet before rows move.
+    """
+    once = docs.select("*", *row_hashes(docs)).dropDuplicates(["_a", "_b"])
+    return once.join(slots, ["_a", "_b"]).drop("_a", "_b")
+
+
+def spread_over_slots(rows: DataFrame) -> DataFrame:
+    """A row for each entry of ``_slots``, with slot and place in its stead."""
+    return rows.withColumn("_at", F.explode("_slots")).withColumns({"slot": F.col("_at.slot"), "place": F.col("_at.place")}).drop("_slots", "_at")
 
 
 def op3_pfair_mix(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SECTION = 1 << 20
+SECTION = 1 << 18
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
