@@ -2,8 +2,9 @@
 
 A page becomes a flat list of text blocks, cut at block-level tags. Each block is described by its word
 count and link density, those of its two neighbours, and where it stands (heading, main container,
-boilerplate container). A decision tree, grown by Gini impurity from the hand-labelled blocks of
-LABELLED, says which blocks are main text.
+boilerplate container by its tag, or by its name). A decision tree, grown by Gini impurity from the blocks of
+the labelled pages in ``html_labels``, says which blocks are main text. What is hidden by an attribute
+or an inline style is no text.
 
 Defined cases: null and empty pages give an empty text; pages cut off anywhere are read as far as they
 go; a head ends where other than its own tags begins; unclosed skipped tags end at the next block-level tag,
@@ -20,10 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .html_labels import PAGES
 from .shared import extended
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|([^<]+|<)", re.S)
-ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+HIDDEN = re.compile(r"(?<![\w-])(?:hidden(?!\s*=\s*[\"']?until)(?![\w-])|style\s*=\s*(?:\"[^\"]*|'[^']*|\S*?)display\s*:\s*none|aria-hidden\s*=\s*[\"']?true)", re.I)
+ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Content that is no text.
 SKIPPED = frozenset("script style noscript template title svg math iframe object canvas select textarea button audio video".split())
 #: Those whose content has no tags.
@@ -49,31 +52,10 @@ STATE = re.compile(r"^(?:has|with|without|no|is)[-_]|[-_](?:open|opened|closed|a
 HEADER_NAMES = frozenset(["header", "masthead", "topbar"])
 MAIN_NAMES = frozenset(["article", "main", "content", "post", "entry", "story"])
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "boiler", "main")
-#: The labelled table: FEATURES, then 1 for main text.
-LABELLED = (
-    # an article in its own container
-    (9, 0.0, 6, 1.0, 120, 0.0, 1, 0, 1, 1), (120, 0.0, 9, 0.0, 80, 0.02, 0, 0, 1, 1), (80, 0.02, 120, 0.0, 2, 0.0, 0, 0, 1, 1),
-    (2, 0.0, 80, 0.02, 45, 0.0, 0, 0, 1, 1), (45, 0.0, 2, 0.0, 1, 0.0, 0, 0, 1, 1), (1, 0.0, 45, 0.0, 12, 0.1, 0, 0, 1, 1),
-    (3, 0.0, 1, 0.0, 2, 0.0, 0, 0, 1, 1), (5, 1.0, 60, 0.0, 70, 0.0, 0, 0, 1, 1), (4, 0.0, 10, 0.0, 12, 0.0, 1, 0, 1, 1), (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 1),
-    (14, 0.5, 30, 0.0, 6, 1.0, 0, 0, 1, 1), (220, 0.0, 0, 0.0, 11, 0.0, 0, 0, 1, 1),
-    (2, 0.0, 5, 1.0, 4, 0.0, 0, 0, 1, 1), (6, 0.0, 4, 0.0, 0, 0.0, 0, 0, 1, 1), (9, 0.0, 5, 0.0, 9, 0.0, 0, 0, 1, 1), (3, 1.0, 2, 1.0, 2, 1.0, 0, 0, 1, 1),
-    (4, 0.0, 6, 0.0, 5, 1.0, 1, 0, 1, 1), (1, 1.0, 3, 0.0, 4, 0.0, 0, 0, 1, 1), (7, 0.8, 12, 1.0, 6, 0.0, 0, 0, 1, 1), (5, 0.0, 4, 0.0, 3, 0.0, 0, 0, 1, 1),
-    (12, 0.9, 9, 0.0, 8, 0.0, 0, 0, 1, 1), (2, 0.0, 1, 1.0, 1, 0.0, 1, 0, 1, 1), (30, 0.4, 5, 0.0, 2, 0.6, 0, 0, 1, 1), (6, 0.0, 5, 1.0, 6, 1.0, 0, 0, 1, 1),
-    (8, 0.0, 4, 1.0, 90, 0.0, 1, 0, 1, 1), (5, 0.0, 1, 1.0, 3, 0.0, 0, 0, 1, 1), (55, 0.6, 6, 0.0, 5, 0.0, 0, 0, 1, 1), (3, 0.5, 4, 0.7, 9, 0.0, 0, 0, 1, 1),
-    # boilerplate containers, inside and outside of articles
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0), (1, 1.0, 1, 1.0, 9, 0.0, 0, 1, 0, 0), (12, 0.0, 1, 1.0, 8, 0.0, 0, 1, 0, 0),
-    (9, 0.0, 80, 0.0, 0, 0.0, 0, 1, 0, 0), (40, 0.0, 60, 0.0, 35, 0.0, 0, 1, 1, 0), (3, 0.0, 90, 0.0, 70, 0.0, 1, 1, 1, 0),
-    (65, 0.0, 30, 0.0, 28, 0.0, 0, 1, 0, 0), (6, 0.9, 110, 0.0, 3, 0.0, 0, 1, 1, 0), (150, 0.0, 90, 0.0, 10, 0.0, 0, 1, 0, 0),
-    (25, 0.2, 4, 1.0, 4, 1.0, 0, 1, 0, 0), (5, 0.0, 15, 0.0, 12, 0.0, 1, 1, 0, 0), (18, 0.0, 120, 0.0, 22, 0.0, 0, 1, 1, 0),
-    # pages without an article container
-    (8, 0.0, 4, 1.0, 95, 0.0, 1, 0, 0, 1), (95, 0.0, 8, 0.0, 60, 0.05, 0, 0, 0, 1), (60, 0.05, 95, 0.0, 25, 0.0, 0, 0, 0, 1),
-    (25, 0.0, 60, 0.05, 40, 0.0, 0, 0, 0, 1), (4, 0.0, 40, 0.0, 50, 0.0, 0, 0, 0, 1), (18, 0.1, 30, 0.0, 3, 1.0, 0, 0, 0, 1),
-    (70, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (5, 0.0, 45, 0.0, 33, 0.0, 1, 0, 0, 1), (6, 0.0, 28, 0.0, 44, 0.0, 0, 0, 0, 1),
-    (2, 1.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (4, 1.0, 3, 1.0, 8, 0.0, 0, 0, 0, 0),
-    (20, 0.95, 3, 1.0, 15, 0.9, 0, 0, 0, 0), (12, 0.8, 60, 0.0, 9, 1.0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0),
-    (5, 0.0, 5, 0.0, 3, 0.0, 0, 0, 0, 0), (4, 0.5, 1, 1.0, 0, 0.0, 0, 0, 0, 0), (6, 0.0, 4, 1.0, 5, 0.0, 0, 0, 0, 0), (30, 0.7, 10, 1.0, 12, 1.0, 0, 0, 0, 0),
-)
+#: Containers whose names say what they are; a quotation, a table cell or a list entry is what it is anywhere.
+NAMED = frozenset("div section ul ol dl table center details summary figure header hgroup footer nav aside form dialog fieldset menu main article".split())
+
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "boiler_tag", "boiler_name", "main")
 
 
 @dataclass
@@ -82,23 +64,46 @@ class Block:
     words: int
     links: float
     heading: bool
-    boiler: bool
+    boiler_tag: bool
+    boiler_name: bool
     main: bool
 
 
-def _marks(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool, bool]:
-    """(boilerplate, boilerplate that an article inside doesn't end, main) of a container's start tag."""
+def _parts(token: str) -> set[str]:
+    """The first and the last part of a class, id or role; what stands between them says little."""
+    parts = [x for x in re.split(r"[^a-z]+", token) if x]
+    return {parts[0], parts[-1]} if parts else set()
+
+
+@dataclass(frozen=True)
+class Place:
+    """What the open containers say of a block; strong: boilerplate that an article inside doesn't end."""
+
+    tag: str = ""
+    boiler_tag: bool = False
+    boiler_name: bool = False
+    strong: bool = False
+    main: bool = False
+    hidden: bool = False
+
+
+def _enter(tag: str, attributes: str, outer: Place) -> Place:
+    """The place inside a container's start tag."""
     names: set[str] = set()
     states: set[str] = set()
     if "=" in attributes:
         for match in ATTRIBUTE.finditer(attributes):
             for token in re.sub(r"([a-z])([A-Z])", r"\1-\2", match[1] or match[2] or match[3] or "").lower().split():
-                (states if STATE.search(token) else names).update(re.split(r"[^a-z]+", token))
-    main = tag in MAIN_TAGS or bool((names | states) & MAIN_NAMES)
+                (states if STATE.search(token) else names).update(_parts(token))
+    main = outer.main or tag in MAIN_TAGS or bool((names | states) & MAIN_NAMES)
+    hidden = outer.hidden or HIDDEN.search(attributes) is not None
     if tag in ("html", "body"):
-        return False, False, main
-    boiler = tag in BOILER_TAGS or bool(names & BOILER_NAMES) or (not in_main and (tag == "header" or bool(names & HEADER_NAMES)))
-    return boiler, tag in BOILER_TAGS or bool(names & STRONG_NAMES), main
+        return Place(tag, outer.boiler_tag, outer.boiler_name, outer.strong, main, hidden)
+    reset = tag in MAIN_TAGS and not outer.strong
+    by_tag = tag in BOILER_TAGS or (tag == "header" and not outer.main)
+    by_name = tag in NAMED and bool(names & (BOILER_NAMES if outer.main else BOILER_NAMES | HEADER_NAMES))
+    strong = tag in BOILER_TAGS or (tag in NAMED and bool(names & STRONG_NAMES))
+    return Place(tag, by_tag or (outer.boiler_tag and not reset), by_name or (outer.boiler_name and not reset), outer.strong or strong, main, hidden)
 
 
 BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS | {'head'}))})\b", re.I)
@@ -141,36 +146,51 @@ def _skip_to(page: str, at: int, tag: str, outer: set[str], beyond: dict[str, in
     return found.start() if found else len(page)
 
 
+LINK_TAG = re.compile(r"<(/?)a\b", re.I)
+
+
+def _inline_end(page: str, at: int, tag: str) -> int:
+    """Where an inline element that began before ``at`` ends: behind its end tag, at the next block-level tag at the latest."""
+    edge = BLOCK_TAG.search(page, at)
+    stop, depth = edge.start() if edge else len(page), 1
+    for match in re.compile(rf"<(/?){tag}\b[^>]*>", re.I).finditer(page, at, stop):
+        depth += -1 if match[1] else 1
+        if not depth:
+            return match.end()
+    return stop
+
+
 def blocks(page: str) -> list[Block]:
     """The flat list of text blocks."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []
+    stack: list[Place] = [Place()]
     beyond: dict[str, int] = {}
     texts: list[str] = []
     linked: list[str] = []
-    in_head, in_link, heading = False, 0, False
+    in_head, in_link, heading, hidden = False, False, False, False
+    link_end = 0  # up to where a link reaches whose end tag is the next one
 
     def flush():
         if texts:
             text = " ".join(htmllib.unescape("".join(texts)).split())
-            if text:
+            place = stack[-1]
+            if text and not hidden and not place.hidden:
                 words = text.count(" ") + 1
                 share = len(htmllib.unescape("".join(linked)).split()) / words if linked else 0.0
-                boiler, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                found.append(Block(text, words, min(1.0, share), heading, boiler, main))
+                found.append(Block(text, words, min(1.0, share), heading, place.boiler_tag, place.boiler_name, place.main))
             texts.clear()
             linked.clear()
 
     at, size = 0, len(page)
     while at < size:
         match = TOKEN.match(page, at)
-        at = match.end()
+        begin, at = at, match.end()
         if match[4] is not None:
             if in_head and not match[4].strip():
                 continue
             in_head = False
             texts.append(match[4])
-            if in_link:
+            if in_link or begin < link_end:
                 linked.append(match[4] + " ")
             continue
         if match[2] is None:
@@ -182,30 +202,29 @@ def blocks(page: str) -> list[Block]:
             in_head = False
         if tag in SKIPPED:
             if not closing and not match[3].endswith("/"):
-                at = _skip_to(page, at, tag, {x[0] for x in stack}, beyond)
-        elif tag == "a":
-            in_link = 0 if closing else 1
+                at = _skip_to(page, at, tag, {x.tag for x in stack}, beyond)
         elif tag == "br":
             texts.append(" ")
         elif tag in BLOCKS:
             flush()
-            in_link = 0
-            if tag in HEADINGS:
-                heading = not closing
+            in_link = hidden = False
+            if tag in HEADINGS or tag == "p":
+                heading = tag != "p" and not closing
+                hidden = not closing and HIDDEN.search(match[3]) is not None
             elif tag in CONTAINERS:
                 heading = False
-                if closing:
-                    if any(x[0] == tag for x in stack):
-                        while stack.pop()[0] != tag:
-                            pass
-                else:
-                    boiler, main, strong = stack[-1][1:] if stack else (False, False, False)
-                    own_boiler, own_strong, own_main = _marks(tag, match[3], main)
-                    if tag in MAIN_TAGS and not strong:
-                        boiler = False
-                    stack.append((tag, boiler or own_boiler, main or own_main, strong or own_strong))
-            elif tag == "p":
-                heading = False
+                if not closing:
+                    stack.append(_enter(tag, match[3], stack[-1]))
+                elif any(x.tag == tag for x in stack):
+                    while stack.pop().tag != tag:
+                        pass
+        elif not closing and not match[3].endswith("/") and HIDDEN.search(match[3]):
+            at = _inline_end(page, at, tag)
+        elif tag == "a":
+            end = None if closing else LINK_TAG.search(page, at)
+            if end and end[1]:
+                link_end = end.start()
+            in_link = not closing and not (end and end[1])
     flush()
     return found
 
@@ -215,7 +234,7 @@ def table(found: list[Block]) -> np.ndarray:
     rows = np.zeros((len(found), len(FEATURES)))
     for k, b in enumerate(found):
         before, after = found[k - 1] if k else None, found[k + 1] if k + 1 < len(found) else None
-        rows[k] = (b.words, b.links, before.words if before else 0, before.links if before else 0.0, after.words if after else 0, after.links if after else 0.0, b.heading, b.boiler, b.main)
+        rows[k] = (b.words, b.links, before.words if before else 0, before.links if before else 0.0, after.words if after else 0, after.links if after else 0.0, b.heading, b.boiler_tag, b.boiler_name, b.main)
     return rows
 
 
@@ -267,9 +286,18 @@ class DecisionTree:
         return out >= 0.5
 
 
+def labelled_table(pages=PAGES) -> tuple[np.ndarray, np.ndarray]:
+    """(block x FEATURES, 1 for main text) of labelled pages."""
+    features, labels = [], []
+    for page, main in pages:
+        found = blocks(page)
+        features.append(table(found))
+        labels += [float(b.text in main) for b in found]
+    return np.concatenate(features), np.array(labels)
+
+
 def default_tree() -> DecisionTree:
-    rows = np.array(LABELLED, float)
-    return DecisionTree().fit(rows[:, :-1], rows[:, -1])
+    return DecisionTree(least=2).fit(*labelled_table())
 
 
 def main_text(page: str | None, tree: DecisionTree) -> str:
