@@ -1,11 +1,12 @@
 """Near-duplicate vectors by collision counting on one-dimensional projections.
 
-Every vector has many projections. TABLES groups of the first ones, each projection sorted and halved at
-0, give the cells in which vectors meet; so many groups that a pair at the limit shares a cell with
-probability RECALL. Inside a cell, COUNTED further projections are compared: a pair collides on one where
-the other lies in the window centred on the query, and pairs with fewer collisions than the count that
-RECALL allows for a pair at the limit are dropped. The rest are verified by their cosine in double
-precision. A pair that meets in several cells counts in the first.
+Every vector has many projections. Some of them only divide the work: TABLES groups of a few projections,
+each halved at 0, give the cells in which vectors meet, so many groups that a pair at the limit shares a
+cell with probability RECALL. (Windows over a sorted projection of the whole table would hold over a third
+of all vectors for each query at this limit, so whole sorted projections alone don't scale.) Inside a cell
+COUNTED further projections are sorted, and each query counts the others in the windows centred on it;
+pairs with fewer collisions than the count that RECALL allows for a pair at the limit are dropped. The rest
+are verified by their cosine in double precision. A pair that meets in several cells counts in the first.
 
 The number of cells grows with the vectors so that a cell holds about CELL_ROWS; larger cells are cut
 into blocks, compared block by block in tasks of their own, so no task holds more than two blocks and no
@@ -32,7 +33,7 @@ from .shared import Scratch, connected_components
 LIMIT = 0.95
 RECALL = 0.99999
 COUNTED = 16
-CELL_ROWS = 64
+CELL_ROWS = 256
 BLOCK_ROWS = 1024
 
 
@@ -95,12 +96,26 @@ def _cells(rules: Projections):
     return run
 
 
+def window_counts(queries: np.ndarray, others: np.ndarray, window: float) -> np.ndarray:
+    """On how many projections (columns) each other lies in the window centred on each query: (queries, others).
+
+    Each projection of the others is sorted; a query's window is a stretch of that order, found by bisection
+    and added to the query's counts as a stretch.
+    """
+    count = np.zeros((len(queries), len(others)), np.int8)
+    rows = np.arange(len(queries))
+    for q, o in zip(queries.T, others.T):
+        order = np.argsort(o, kind="stable")
+        edges = np.zeros((len(queries), len(others) + 1), np.int8)
+        edges[rows, np.searchsorted(o[order], q - window, side="left")] += 1
+        edges[rows, np.searchsorted(o[order], q + window, side="right")] -= 1
+        count[:, order] += np.cumsum(edges[:, :-1], axis=1, dtype=np.int8)
+    return count
+
+
 def _collide(rules: Projections, x, px, cx, y, py, cy, table: int) -> np.ndarray:
     """Links of two blocks, as a boolean matrix: counted, verified, and met in no earlier table."""
-    count = np.zeros((len(x), len(y)), np.int8)
-    for k in range(rules.counted):
-        count += np.abs(px[:, k, None] - py[None, :, k]) <= rules.window
-    i, j = np.nonzero(count >= rules.least)
+    i, j = np.nonzero(window_counts(px, py, rules.window) >= rules.least)
     linked = np.zeros((len(x), len(y)), bool)
     for at in range(0, len(i), 100_000):
         a, b = i[at : at + 100_000], j[at : at + 100_000]
