@@ -83,10 +83,11 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, labelled: DataFrame, smoothing: float = 0.5, **options) -> LanguageModel:
-        counts = count_grams(labelled).toPandas()
+        many = labelled.where("lang is not null").select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+        if many > MAX_LANGUAGES:
+            raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        counts = count_grams(labelled).toPandas()  # at most MAX_LANGUAGES x BUCKETS rows
         langs = sorted(counts["lang"].unique())
-        if len(langs) > MAX_LANGUAGES:
-            raise ValueError(f"{len(langs)} languages; at most {MAX_LANGUAGES}")
         table = np.full((len(langs), BUCKETS), smoothing)
         table[counts["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(int), counts["bucket"].to_numpy(int)] += counts["n"].to_numpy()
         return cls(langs, np.log(table / table.sum(1, keepdims=True)).astype(np.float32), **options)
@@ -96,9 +97,10 @@ class LanguageModel:
         held, size = [], 0
         for owner, first, last, grams in _sections(texts):
             found = np.empty((len(self.langs), len(owner)), np.float32)
+            # word by word, so that a word's likelihood doesn't depend on what stands before it
+            bounds = np.stack([first, last], axis=1).ravel()
             for k, logs in enumerate(self.logs):
-                sums = np.concatenate([[0.0], np.cumsum(logs[grams], dtype=np.float64)])
-                found[k] = sums[last] - sums[first]
+                found[k] = np.where(last > first, np.add.reduceat(np.append(logs[grams], np.float32(0)), bounds, dtype=np.float64)[::2], 0.0) if len(owner) else 0.0
             if held and size >= WORDS_AT_ONCE and len(owner) and held[-1][0][-1:] != owner[:1]:
                 yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held], axis=1)
                 held, size = [], 0
@@ -119,20 +121,28 @@ class LanguageModel:
         return out
 
     def _em(self, like: np.ndarray, sizes: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-        """Shares (text x language, zeros stay zero) and log-likelihoods of the texts under them."""
-        begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        for left in range(rounds, -1, -1):
-            parts = [x * np.repeat(share[:, k].astype(np.float32), sizes) for k, x in enumerate(like)]
+        """Shares (text x language, zeros stay zero) and log-likelihoods of the texts under them.
+
+        A text's shares stay once a round moves them by less than 1e-3, whatever texts stand beside it.
+        """
+        share = share.copy()
+        live = np.arange(len(sizes))
+        some, size = like, sizes
+        for _ in range(rounds):
+            begins = np.concatenate([[0], np.cumsum(size)[:-1]])
+            parts = [x * np.repeat(share[live, k].astype(np.float32), size) for k, x in enumerate(some)]
             total = np.maximum(sum(parts), np.float32(1e-30))
-            if not left:
-                return share, np.add.reduceat(np.log(total, dtype=np.float64), begins)
-            new = np.stack([np.add.reduceat(x / total, begins, dtype=np.float64) for x in parts], axis=1) / sizes[:, None]
+            new = np.stack([np.add.reduceat(x / total, begins, dtype=np.float64) for x in parts], axis=1) / size[:, None]
             new /= np.maximum(new.sum(1, keepdims=True), 1e-30)
-            change, share = np.abs(new - share).max(), new
-            if change < 1e-3 and left > 1:
-                parts = [x * np.repeat(share[:, k].astype(np.float32), sizes) for k, x in enumerate(like)]
-                return share, np.add.reduceat(np.log(np.maximum(sum(parts), np.float32(1e-30)), dtype=np.float64), begins)
-        raise AssertionError
+            moving = np.abs(new - share[live]).max(1) >= 1e-3
+            share[live] = new
+            if not moving.any():
+                break
+            if not moving.all():
+                some, size, live = some[:, np.repeat(moving, size)], size[moving], live[moving]
+        begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        mixed = np.maximum(sum(x * np.repeat(share[:, k].astype(np.float32), sizes) for k, x in enumerate(like)), np.float32(1e-30))
+        return share, np.add.reduceat(np.log(mixed, dtype=np.float64), begins)
 
     def _select(self, like: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         many = like.shape[0]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .shared import extended
+from .shared import Scratch, extended
 
 DIMENSIONS = 1 << 19
 MAX_POSITIVE = 8000
@@ -155,10 +155,12 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
         chosen = ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         return docs.join(F.broadcast(chosen), "doc_id", "left_semi")
 
-    positives = sample(known.where("toxic = 1"), max_positive)
-    unlabelled = sample(docs.where("doc_id is not null").join(known, "doc_id", "left_anti"), max_unlabelled)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    positives = scratch.put(sample(known.where("toxic = 1"), max_positive), "positives")
+    unlabelled = scratch.put(sample(docs.where("doc_id is not null").join(known, "doc_id", "left_anti"), max_unlabelled), "unlabelled")
     chosen = different(feature_counts(positives), feature_counts(unlabelled), positives.count(), unlabelled.count())
     rows = [[np.asarray(x, np.int32) for x in feature_table(t, chosen).toPandas()["words"]] for t in (positives, unlabelled)]
+    scratch.close()
     return ToxicityModel.fit(*rows, prior)
 
 
