@@ -25,7 +25,7 @@ from .html_labels import PAGES
 from .shared import extended
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|([^<]+|<)", re.S)
-HIDDEN = re.compile(r"(?<![\w-])(?:hidden(?!\s*=\s*[\"']?until)(?![\w-])|style\s*=\s*(?:\"[^\"]*|'[^']*|\S*?)display\s*:\s*none|aria-hidden\s*=\s*[\"']?true)", re.I)
+ANY_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Content that is no text.
 SKIPPED = frozenset("script style noscript template title svg math iframe object canvas select textarea button audio video".split())
@@ -69,6 +69,18 @@ class Block:
     main: bool
 
 
+def _hides(attributes: str) -> bool:
+    """Whether an element's attributes hide it."""
+    low = attributes.lower()
+    if "hidden" not in low and "display" not in low:
+        return False
+    for name, value in ANY_ATTRIBUTE.findall(low):
+        value = value.strip("\"' ")
+        if (name == "hidden" and value != "until-found") or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
+            return True
+    return False
+
+
 def _parts(token: str) -> set[str]:
     """The first and the last part of a class, id or role; what stands between them says little."""
     parts = [x for x in re.split(r"[^a-z]+", token) if x]
@@ -96,7 +108,7 @@ def _enter(tag: str, attributes: str, outer: Place) -> Place:
             for token in re.sub(r"([a-z])([A-Z])", r"\1-\2", match[1] or match[2] or match[3] or "").lower().split():
                 (states if STATE.search(token) else names).update(_parts(token))
     main = outer.main or tag in MAIN_TAGS or bool((names | states) & MAIN_NAMES)
-    hidden = outer.hidden or HIDDEN.search(attributes) is not None
+    hidden = outer.hidden or _hides(attributes)
     if tag in ("html", "body"):
         return Place(tag, outer.boiler_tag, outer.boiler_name, outer.strong, main, hidden)
     reset = tag in MAIN_TAGS and not outer.strong
@@ -210,7 +222,7 @@ def blocks(page: str) -> list[Block]:
             in_link = hidden = False
             if tag in HEADINGS or tag == "p":
                 heading = tag != "p" and not closing
-                hidden = not closing and HIDDEN.search(match[3]) is not None
+                hidden = not closing and _hides(match[3])
             elif tag in CONTAINERS:
                 heading = False
                 if not closing:
@@ -218,7 +230,7 @@ def blocks(page: str) -> list[Block]:
                 elif any(x.tag == tag for x in stack):
                     while stack.pop().tag != tag:
                         pass
-        elif not closing and not match[3].endswith("/") and HIDDEN.search(match[3]):
+        elif not closing and not match[3].endswith("/") and _hides(match[3]):
             at = _inline_end(page, at, tag)
         elif tag == "a":
             end = None if closing else LINK_TAG.search(page, at)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -19,9 +20,15 @@ def extended(df: DataFrame, ddl: str) -> StructType:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder every executor can reach: spark.checkpoint.dir.
+
+    Where it is unset, a local master gets a temporary folder; on a cluster that would be one machine's own, so
+    it is an error there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="glyphlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -30,8 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Written tables that cut lineage and outlive executors; drop() and close() delete them again."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, name: str, root: str | None = None):
+        self.spark, self.root = spark, (root or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}").rstrip("/")
         self.paths: list[str] = []
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
@@ -42,6 +49,19 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def found(self, name: str) -> list[DataFrame]:
+        """The finished tables of a name that lie in the folder, oldest first."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        place = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}-*/_SUCCESS")
+        out = []
+        for status in sorted(place.getFileSystem(conf).globStatus(place) or [], key=lambda x: x.getModificationTime()):
+            path = status.getPath().getParent().toString()
+            table = self.spark.read.parquet(path)
+            table.scratch_path = path
+            self.paths.append(path)
+            out.append(table)
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             self._delete(table.scratch_path)

@@ -7,7 +7,8 @@ thirteen gets one. A new batch is merge-joined with the runs (and itself) on the
 shared ones are 50-word windows formed, from the new and the old texts, and verified: the first hash finds
 equal windows, a second one of other tables confirms them (128 bits in all). The smallest id that starts a
 window owns it; in every text with a larger id its words go. The batch's fingerprints then become a run,
-and more than ``fanout`` runs are compacted into one.
+and more than ``fanout`` runs are compacted into one. Runs and what is known of each text are immutable tables in
+the index's folder; a later job opens them there.
 
 Equal texts are settled first: all but the one with the smallest id lose everything (if they hold a
 window). Windows common to any number of texts cost a row per text, never a pair.
@@ -67,6 +68,14 @@ def _whole(counts: np.ndarray, total: int, window: int) -> tuple[np.ndarray, np.
     return owner[: total - window + 1] == owner[window - 1 :], owner
 
 
+def _digests(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """64 bits of each text's word sequence."""
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    rank = np.arange(len(words), dtype=np.uint64) - np.repeat(ends[:-1], counts).astype(np.uint64)
+    mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(textops.mix(words ^ textops.mix(rank + np.uint64(1))), dtype=np.uint64)])
+    return ((mixed[ends[1:]] - mixed[ends[:-1]]) ^ counts.astype(np.uint64)).view(np.int64)
+
+
 def _sha(text: bytes) -> str:
     return hashlib.sha256(b" ".join(text.split())).hexdigest()
 
@@ -80,12 +89,8 @@ def _scan(window: int):
             known, numbers = np.array(ids.is_valid()), ids.fill_null(0).to_numpy(zero_copy_only=False)
             for at, texts, counts, (words, _) in _parts(batch):
                 some = ids.slice(at, len(texts))
-                ends = np.concatenate([[0], np.cumsum(counts)])
-                rank = np.arange(len(words), dtype=np.uint64) - np.repeat(ends[:-1], counts).astype(np.uint64)
-                mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(textops.mix(words ^ textops.mix(rank + np.uint64(1))), dtype=np.uint64)])
-                digests = (mixed[ends[1:]] - mixed[ends[:-1]]) ^ counts.astype(np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(texts), np.int8)), some, pa.array(counts), pa.array(digests.view(np.int64)), pa.array([_sha(x) for x in texts])], ["kind", "doc_id", "n", "value", "sha"]
+                    [pa.array(np.zeros(len(texts), np.int8)), some, pa.array(counts), pa.array(_digests(words, counts)), pa.array([_sha(x) for x in texts])], ["kind", "doc_id", "n", "value", "sha"]
                 )
                 inside, owner = _whole(counts, len(words), window)
                 if inside.any():
@@ -100,15 +105,16 @@ def _scan(window: int):
 
 
 def _windows(window: int):
-    """Rows (h1, h2, doc_id, pos) of the windows with a fingerprint in the column ``shared``."""
+    """Rows (h1, h2, doc_id, digest, pos) of the windows with a fingerprint in ``shared``, of texts with the wanted digest."""
 
     def run(batches):
         for batch in batches:
-            ids, shared = batch.column("doc_id").to_numpy(), batch.column("shared")
+            ids, shared, digest = batch.column("doc_id").to_numpy(), batch.column("shared"), batch.column("digest").to_numpy()
             for at, texts, counts, (one, two) in _parts(batch, 64):
                 inside, owner = _whole(counts, len(one), window)
                 if not inside.any():
                     continue
+                inside &= (_digests(one, counts) == digest[at : at + len(counts)])[owner[: len(inside)]]
                 low = _least(one, window)
                 starts = np.cumsum(counts) - counts
                 take = np.zeros(len(low), bool)
@@ -118,10 +124,10 @@ def _windows(window: int):
                         take[s] = np.isin(low[s].view(np.int64), shared[at + k].values.to_numpy())
                 rows = np.flatnonzero(take & inside)
                 h1, h2 = textops.window_hashes(one, window)[rows].view(np.int64), textops.window_hashes(two, window, seed=3)[rows].view(np.int64)
-                doc, pos = ids[at + owner[rows]], (rows - starts[owner[rows]]).astype(np.int32)
+                doc, text, pos = ids[at + owner[rows]], digest[at + owner[rows]], (rows - starts[owner[rows]]).astype(np.int32)
                 for b in range(0, len(rows), 1 << 16):
                     s = slice(b, b + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(h1[s]), pa.array(h2[s]), pa.array(doc[s]), pa.array(pos[s])], ["h1", "h2", "doc_id", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h1[s]), pa.array(h2[s]), pa.array(doc[s]), pa.array(text[s]), pa.array(pos[s])], ["h1", "h2", "doc_id", "digest", "pos"])
 
     return run
 
@@ -131,8 +137,12 @@ def _strip(window: int, keep_text: bool):
 
     def run(batches):
         for batch in batches:
+            texts = textops.blobs(batch.column("text"))
+            counts, (hashes,) = textops.word_hashes(texts)
+            fits = _digests(hashes, counts) == batch.column("digest").to_numpy()
+            batch = batch.filter(pa.array(fits))  # rows may share an id
             removed, shas, kept = [], [], []
-            for text, places in zip(textops.blobs(batch.column("text")), batch.column("places")):
+            for text, places in zip([x for x, fit in zip(texts, fits) if fit], batch.column("places")):
                 words = text.split()
                 gone = np.zeros(len(words) + 1, np.int32)
                 places = places.values.to_numpy()
@@ -154,13 +164,22 @@ def _strip(window: int, keep_text: bool):
 class WindowIndex:
     """add() takes batches of (doc_id, text), in order of their ids, and says what each text loses."""
 
-    def __init__(self, spark, window: int = WINDOW, fanout: int = 8):
+    def __init__(self, spark, window: int = WINDOW, fanout: int = 8, path: str | None = None):
+        """path: a folder for an index that is to outlive the job (see ``open``); else a new one in the shared folder."""
         self.spark, self.window, self.fanout = spark, window, fanout
-        self.scratch = Scratch(spark, "window-index")
+        self.scratch = Scratch(spark, "window-index", path)
         self.runs: list[DataFrame] = []
-        self.texts: DataFrame | None = None
+        self.texts: list[DataFrame] = []
         self.history: DataFrame | None = None
 
+    @classmethod
+    def open(cls, spark, path: str, history: DataFrame, **options) -> WindowIndex:
+        """The index that a former job left at ``path``; history: the (doc_id, text) of all that was added to it."""
+        index = cls(spark, path=path, **options)
+        index.runs, index.texts = index.scratch.found("run"), index.scratch.found("texts")
+        index.history = history.select("doc_id", "text")
+        return index
+
     def add(self, batch: DataFrame, keep_text: bool = False) -> DataFrame:
         """(doc_id, n_words, n_removed, kept_sha256) of the batch; keep_text: also kept_text, null where nothing went.
 
@@ -174,7 +193,7 @@ class WindowIndex:
         run = put(fresh.distinct().repartitionByRange("print", "doc_id").sortWithinPartitions("print", "doc_id"), "run")
 
         # the texts of this batch that stand for their equals; equals with a smaller id may be older
-        all_texts = texts if self.texts is None else self.texts.unionByName(texts)
+        all_texts = _union([*self.texts, texts])
         firsts = put(all_texts.where("doc_id is not null").groupBy("digest", "n_words").agg(F.min("doc_id").alias("first")), "firsts")
         known = texts.join(firsts, ["digest", "n_words"], "left")
         copies = known.where(f"doc_id > first and n_words >= {self.window}")
@@ -190,11 +209,11 @@ class WindowIndex:
 
         source = batch if self.history is None else self.history.unionByName(batch)
         texts_of = prefilter(source, involved).join(involved, "doc_id")
-        windows = put(texts_of.mapInArrow(_windows(self.window), "h1 long, h2 long, doc_id long, pos int"), "windows")
+        windows = put(texts_of.mapInArrow(_windows(self.window), "h1 long, h2 long, doc_id long, digest long, pos int"), "windows")
         owners = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
         owners = put(owners.select("h1", "h2", "owner"), "owners")
-        marks = windows.join(owners, ["h1", "h2"]).where("owner < doc_id").groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
-        marks = put(marks.join(stands, "doc_id"), "marks")
+        marks = windows.join(owners, ["h1", "h2"]).where("owner < doc_id").groupBy("doc_id", "digest").agg(F.collect_set("pos").alias("places"))
+        marks = put(marks, "marks")
         schema = "doc_id long, digest long, n_removed long, sha string" + (", kept_text string" if keep_text else "")
         stripped = put(prefilter(batch, marks).join(marks, "doc_id").mapInArrow(_strip(self.window, keep_text), schema).dropDuplicates(["doc_id", "digest"]), "stripped")
 
@@ -206,19 +225,20 @@ class WindowIndex:
         out = out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("sha", "whole").alias("kept_sha256"), *(["digest", "kept_text"] if keep_text else []))
         result = put(out, "result")
 
-        new_texts = put(all_texts, "texts")
-        self.scratch.drop(firsts, shared, involved, windows, owners, marks, stripped, scan, *([self.texts] if self.texts is not None else []))
-        self.texts, self.history = new_texts, source
+        self.texts.append(put(texts, "texts"))
+        self.scratch.drop(firsts, shared, involved, windows, owners, marks, stripped, scan)
+        self.history = source
         self.runs.append(run)
         if len(self.runs) > self.fanout:
             self.compact()
         return result
 
     def compact(self) -> None:
-        """Merge all runs into one sorted run."""
+        """Merge all runs into one sorted run, and the tables of texts into one."""
         merged = self.scratch.put(_union(self.runs).distinct().repartitionByRange("print", "doc_id").sortWithinPartitions("print", "doc_id"), "run")
-        self.scratch.drop(*self.runs)
-        self.runs = [merged]
+        texts = self.scratch.put(_union(self.texts), "texts")
+        self.scratch.drop(*self.runs, *self.texts)
+        self.runs, self.texts = [merged], [texts]
 
     def close(self, keep: DataFrame | None = None) -> None:
         self.scratch.close(keep)
@@ -252,7 +272,7 @@ def in_batches(docs: DataFrame, batches: int, **options) -> tuple[WindowIndex, l
 
 def op10_window_index(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    index, results = in_batches(docs, 2)
+    index, results = in_batches(docs, 2, fanout=1)  # so the second batch's run is compacted with the first's
     out = index.scratch.put(_union(results), "all")
     index.close(keep=out)
     return out
