@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 KEY = ["photo_id", "y", "x"]
 
@@ -45,17 +46,37 @@ def shifted(pixels: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
     return pixels.select(*KEY, F.explode(rows).alias("o")).select("photo_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
 
 
+def runs(pixels: DataFrame) -> DataFrame:
+    """(photo_id, y, l, r): stretches of neighbouring pixels in a row, bounds inclusive."""
+    place = F.col("x") - F.dense_rank().over(Window.partitionBy("photo_id", "y").orderBy("x"))
+    return pixels.select(*KEY, place.alias("_g")).groupBy("photo_id", "y", "_g").agg(F.min("x").alias("l"), F.max("x").alias("r")).drop("_g")
+
+
+def from_spans(spans: DataFrame, height: int, width: int) -> DataFrame:
+    """The pixels of spans (photo_id, y, l, r) inside the photo, each once: overlapping spans of a row are joined first."""
+    inside = spans.where(F.col("y").between(0, height - 1)).select("photo_id", "y", F.greatest(F.lit(0), "l").alias("l"), F.least(F.lit(width - 1), "r").alias("r")).where("l <= r")
+    row = Window.partitionBy("photo_id", "y").orderBy("l", "r")
+    fresh = F.col("l") > F.coalesce(F.max("r").over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1
+    joined = inside.withColumn("_f", fresh).withColumn("_i", F.sum(F.col("_f").cast("int")).over(row.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = joined.groupBy("photo_id", "y", "_i").agg(F.min("l").alias("l"), F.max("r").alias("r"))
+    return whole.select("photo_id", "y", F.explode(F.sequence("l", "r")).alias("x"))
+
+
 def dilate(pixels: DataFrame, offsets: list[tuple[int, int]], height: int, width: int) -> DataFrame:
-    inside = F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)
-    return shifted(pixels, offsets).where(inside).distinct()
+    """Dilation by offsets whose rows have no holes, as disks, diamonds and squares: stretches grow, not pixels."""
+    rows = {dy: sorted(dx for y, dx in offsets if y == dy) for dy, _ in offsets}
+    if any(dx[-1] - dx[0] + 1 != len(dx) for dx in rows.values()):
+        raise ValueError("offsets with holes in a row")
+    grown = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx[0]).alias("lo"), F.lit(dx[-1]).alias("hi")) for dy, dx in rows.items()])
+    spans = runs(pixels).select("*", F.explode(grown).alias("o")).selectExpr("photo_id", "y + o.dy as y", "l + o.lo as l", "r + o.hi as r")
+    return from_spans(spans, height, width)
 
 
-def dilate_by_radius(core: DataFrame, height: int, width: int, low: int = 3, high: int = 14) -> DataFrame:
-    """Dilate each photo by its own disk; the table has a column radius of whole numbers in [low, high]."""
-    span = f"sequence(-{high}, {high})"
-    rows = core.selectExpr("photo_id", "y", "x", "radius", f"explode({span}) as dy").where("abs(dy) <= radius")
-    rows = rows.selectExpr("*", f"explode({span}) as dx").where("dy * dy + dx * dx <= radius * radius")
-    return rows.selectExpr("photo_id", "y + dy as y", "x + dx as x").where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).distinct()
+def dilate_by_radius(core: DataFrame, height: int, width: int) -> DataFrame:
+    """Dilate each photo by its own disk; the table has a column radius of whole numbers, one per photo."""
+    radius = core.select("photo_id", "radius").groupBy("photo_id").agg(F.first("radius").alias("radius"))
+    spans = runs(core).join(radius, "photo_id").selectExpr("*", "explode(sequence(-radius, radius)) as dy").withColumn("half", F.expr("cast(floor(sqrt(cast(radius * radius - dy * dy as double)) + 1e-9D) as int)"))
+    return from_spans(spans.selectExpr("photo_id", "y + dy as y", "l - half as l", "r + half as r"), height, width)
 
 
 def erode(pixels: DataFrame) -> DataFrame:
@@ -104,6 +125,6 @@ def crop(pixels: DataFrame, boxes: DataFrame, padding: int, height: int, width:
 def rescue_mask(mask: DataFrame, glyph_boxes: DataFrame, radius: int, height: int, width: int) -> DataFrame:
     """Rounded, padded glyph boxes and the mask itself."""
     pad = max(2, int(round(radius * 0.35)))
-    b = glyph_boxes.selectExpr("photo_id", f"explode(sequence(greatest(0, y0 - {pad}), least({height - 1}, y1 + {pad}))) as y", "x0", "x1")
-    b = b.selectExpr("photo_id", "y", f"explode(sequence(greatest(0, x0 - {pad}), least({width - 1}, x1 + {pad}))) as x").distinct()
-    return dilate(b, disk(max(1.0, radius * 0.25)), height, width).unionByName(mask.select(*KEY)).distinct()
+    rows = glyph_boxes.selectExpr("photo_id", f"explode(sequence(y0 - {pad}, y1 + {pad})) as y", f"x0 - {pad} as l", f"x1 + {pad} as r")
+    boxes = dilate(from_spans(rows, height, width), disk(max(1.0, radius * 0.25)), height, width)
+    return boxes.unionByName(mask.select(*KEY)).distinct()
