@@ -8,12 +8,12 @@ from pyspark.sql.window import Window
 
 from glyphlake.operators import batch as B
 from glyphlake.operators import web_audit as A
-from glyphlake.operators.ranking import global_index, group_percentiles, running_sum
+from glyphlake.operators.ranking import global_index, group_index, group_percentiles, running_sum
 
 METHODS = ("harmonic", "harmonic_texture", "edge_guided", "bilateral", "edge_weighted", "edge_weighted_texture")
 POLICY = "default-src 'self'; script-src 'self' 'sha256-AAAA'; style-src 'self'; style-src-attr 'unsafe-inline'; worker-src 'none'"
 DEFAULT_ORIGIN = "https://fallback.example"
-QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
+QUERY_BLOCK, VECTOR_BLOCK, WINDOW_BLOCK = 1024, 8192, 4096
 #: Names of a browser's network calls that a page without network must not hold (fixed values).
 NETWORK_CALLS = ["fetch(", "XMLHttpRequest", "sendBeacon", "WebSocket(", "FormData("]
 
@@ -193,16 +193,19 @@ def stride_sample(spark, d):
 
 
 def window_of_eight(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(0, 7)
-    e = _t(spark, d, "events").select("user_id", "event_id", F.collect_list("value").over(w).alias("v"))
-    return e.where("size(v) = 8").selectExpr("user_id", "event_id", "round(aggregate(v, 0D, (a, x) -> a + x), 6) as total", "round(array_max(v) - array_min(v), 6) as range")
+    """Windows of eight consecutive events of a user; a task holds WINDOW_BLOCK events, and the seven that follow them."""
+    e = group_index(_t(spark, d, "events").select("user_id", "event_id", "ts", "value"), ["user_id"], F.datediff(F.to_date("ts"), F.lit("1970-01-01")), ["ts", "event_id"], "i")
+    e = e.withColumn("block", F.explode(F.expr(f"if(i >= {WINDOW_BLOCK} and i % {WINDOW_BLOCK} < 7, array(i div {WINDOW_BLOCK}, i div {WINDOW_BLOCK} - 1), array(i div {WINDOW_BLOCK}))")))
+    w = Window.partitionBy("user_id", "block").orderBy("i").rowsBetween(0, 7)
+    e = e.select("user_id", "event_id", "i", "block", F.collect_list("value").over(w).alias("v")).where(f"size(v) = 8 and i div {WINDOW_BLOCK} = block")
+    return e.selectExpr("user_id", "event_id", "round(aggregate(v, 0D, (a, x) -> a + x), 6) as total", "round(array_max(v) - array_min(v), 6) as range")
 
 
 def sentinel_stop(spark, d):
     """Each user's events before the first with a value over the limit."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    e = _t(spark, d, "events").select("user_id", "event_id", "ts", F.max((F.col("value") > 95).cast("int")).over(w).alias("stopped"))
-    return e.where("stopped = 0").select("user_id", "event_id")
+    e = _t(spark, d, "events").select("user_id", "event_id", F.struct("ts", "event_id").alias("at"), "value")
+    stops = e.where("value > 95").groupBy("user_id").agg(F.min("at").alias("stop"))
+    return e.join(stops, "user_id", "left").where("stop is null or at < stop").select("user_id", "event_id")
 
 
 def base64_stream(spark, d):

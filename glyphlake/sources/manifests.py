@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 RESULT = "status string, source string, output string, mask string, report string, error string, traceback string, audit_passed boolean"
 MANIFEST = f"created_at timestamp, method string, total int, succeeded int, failed int, canceled int, results array<struct<{', '.join(c.replace(' ', ':', 1) for c in RESULT.split(', ')) }>>"
@@ -27,8 +26,8 @@ def write_results(results: DataFrame, path: str) -> None:
 
 def decode_base64_lines(lines: DataFrame, stream: str = "stream", number: str = "number", line: str = "line", end: str = "__END__") -> DataFrame:
     """(stream, number, bytes, valid) of the lines before each stream's end mark; blank lines are skipped."""
-    w = Window.partitionBy(stream).orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
-    before = lines.withColumn("_ended", F.max((F.trim(F.col(line)) == end).cast("int")).over(w)).where("_ended = 0").where(F.trim(F.col(line)) != "")
+    ends = lines.where(F.trim(F.col(line)) == end).groupBy(stream).agg(F.min(number).alias("_end"))
+    before = lines.join(ends, stream, "left").where(F.col("_end").isNull() | (F.col(number) < F.col("_end"))).where(F.trim(F.col(line)) != "")
     data = F.try_to_binary(F.trim(F.col(line)), F.lit("base64"))
     return before.select(stream, number, data.alias("bytes"), data.isNotNull().alias("valid"))
 
@@ -97,3 +96,10 @@ def new_run_folder(spark: SparkSession, root: str, name: str) -> str:
             files.mkdirs(place)
             return path
         n += 1
+
+
+def whole_streams(decoded: DataFrame, expected: DataFrame, stream: str = "stream") -> DataFrame:
+    """The rows of streams without a broken line whose bytes are as many as expected says (stream, bytes); others are dropped whole."""
+    found = decoded.groupBy(stream).agg(F.sum(F.octet_length("bytes")).alias("_found"), F.bool_and("valid").alias("_valid"))
+    whole = found.join(expected.select(stream, F.col("bytes").alias("_wanted")), stream).where("_valid and _found = _wanted").select(stream)
+    return decoded.join(whole, stream, "left_semi")

@@ -55,6 +55,9 @@ def test_manifest_and_stream(spark, tmp_path):
     lines = spark.createDataFrame([("s", 1, "aGk="), ("s", 2, ""), ("s", 3, "?"), ("s", 4, "__END__"), ("s", 5, "aGk=")], "stream string, number int, line string")
     got = manifests.decode_base64_lines(lines).orderBy("number").collect()
     assert [(r["number"], r["valid"]) for r in got] == [(1, True), (3, False)] and bytes(got[0]["bytes"]) == b"hi"
+    streams = spark.createDataFrame([(s, 1, "aGk=") for s in "abc"] + [("c", 2, "?")], "stream string, number int, line string")
+    expected = spark.createDataFrame([("a", 2), ("b", 3), ("c", 2)], "stream string, bytes long")
+    assert [r["stream"] for r in manifests.whole_streams(manifests.decode_base64_lines(streams), expected).collect()] == ["a"]
 
 
 def test_running_sum(spark):
@@ -112,6 +115,15 @@ def test_process_of_files(spark, tmp_path):
     done = rows["dated.png"]
     assert done["status"] == "succeeded" and done["mask_pixels"] == 4318 and done["changed_pixels"] == 2496 and done["changed_pixels_outside_mask"] == 0
     assert (png.decode(bytes(done["mask_png"]))[..., 0] == 255).sum() == 4318 and (png.decode(bytes(done["png"])) == 112).all(2).sum() > 900_000
+    ready = {os.path.basename(r["path"]): r for r in process.preflight(photos.decoded(photos.photo_files(spark, str(tmp_path)))).collect()}
+    assert ready["dated.png"]["status"] == "detected" and ready["dated.png"]["detector_score"] == pytest.approx(12.149293053339173) and ready["dated.png"]["glyphs"] == 8
+    assert [ready[x]["status"] for x in ("plain.png", "broken.png")] == ["failed", "failed"]
+    with pytest.raises(FileNotFoundError):
+        photos.folder_batch(spark, str(tmp_path))
+    (tmp_path / "b.JPG").write_bytes(b"x")
+    (tmp_path / "a.jpeg").write_bytes(b"x")
+    (tmp_path / "c.Jpg").write_bytes(b"x")
+    assert [os.path.basename(r["path"]) for r in photos.folder_batch(spark, str(tmp_path)).collect()] == ["a.jpeg", "b.JPG"]
     with pytest.raises(ValueError):
         process.process(photos.decoded(photos.photo_files(spark, str(tmp_path))), "nonsense")
 
