@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphlake.llm import html_labels, html_text, language, ngram_join, quality, sentencepiece_fst, shared, textops, toxicity, vector_neardup, window_index
+from glyphlake.llm import html_labels, html_text, language, mixing, ngram_join, quality, sentencepiece_fst, shared, textops, tool_calls, toxicity, vector_neardup, window_index
 from tests.conftest import SF
 
 DOCS = "doc_id long, text string"
@@ -336,3 +336,45 @@ def test_sections_of_long_texts():
     text = (" ".join(f"word{k}" for k in range(150_000))).encode()
     counts, (h,) = textops.word_hashes([text, b"word7"])
     assert counts.tolist() == [150_000, 1] and h[-1] == h[7] and len(set(h[:-1].tolist())) == 150_000 and json.dumps(counts.tolist())
+
+
+# tool calls --------------------------------------------------------------------------------------------
+CALLS = "conv_id long, turn int, call_id string, name string, arguments string, depends_on array<string>"
+RESULTS = "conv_id long, turn int, call_id string, content string"
+
+
+def test_calls_with_double_ids_results_and_no_conversation(spark):
+    ok = '{"query":"q","limit":1}'
+    calls = [(1, 0, "a", "search", ok, None), (1, 0, "a", "search", ok, None), (1, 1, "b", "search", ok, ["a", "a", None]), (None, 0, "n", "search", ok, ["b"]), (2, 0, "z", None, None, [])]
+    results = [(1, 5, "b", "late"), (1, 2, "b", "first"), (1, 2, "b", "second"), (None, 0, "n", "x"), (3, 0, None, None)]
+    got = tool_calls.link_tool_calls(table(spark, calls, CALLS).selectExpr("*", "1 as level", "2 as r", "3 as position"), table(spark, results, RESULTS).selectExpr("*", "4 as status")).collect()
+    by = collections.Counter((r["conv_id"], r["call_id"], r["status"]) for r in got)
+    assert by == collections.Counter([(1, "a", "duplicate_call"), (1, "a", "duplicate_call"), (1, "b", "linked"), (None, "n", "no_id"), (2, "z", "no_result"), (None, "n", "orphan_result"), (3, None, "orphan_result")])
+    b = next(r for r in got if r["call_id"] == "b")
+    assert json.loads(b["canonical"])["result"] == "first" and b["position"] == 2
+
+
+def test_order_of_a_deep_chain_and_a_cycle(spark):
+    calls = [(1, t, f"c{t}", "search", "{}", [f"c{t + 1}"] if t < 7 else []) for t in range(8)] + [(2, 0, "x", "search", "{}", ["y"]), (2, 1, "y", "search", "{}", ["x"]), (2, 2, "free", "search", "{}", []), (2, 3, "behind", "search", "{}", ["y"])]
+    got = {(r["conv_id"], r["call_id"]): r["position"] for r in tool_calls.link_tool_calls(table(spark, calls, CALLS), table(spark, [], RESULTS)).collect()}
+    assert [got[1, f"c{t}"] for t in range(8)] == [7 - t for t in range(8)] and got[2, "free"] == 0 and {got[2, k] for k in ("x", "y", "behind")} == {1, 2, 3}
+
+
+def test_registered_calls_hold_forward_and_cyclic_dependencies(spark):
+    calls, _ = tool_calls.calls_from_turns(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet"))
+    deps = calls.select("conv_id", "turn", F.explode("depends_on").alias("d")).withColumn("on", F.expr("cast(substring_index(d, '-', -1) as int)"))
+    known = deps.join(calls.select("conv_id", F.col("call_id").alias("d")), ["conv_id", "d"], "left_semi")
+    assert known.where("on > turn and conv_id % 10 = 3").count() > 0 and known.where("on > turn and conv_id % 10 = 7").count() > 0
+
+
+# mixing ------------------------------------------------------------------------------------------------
+def test_mixing_of_odd_tables(spark):
+    rows = [(k % 5 if k % 3 else None, "a" if k % 4 else None) for k in range(300)] + [(9, "b")] * 3
+    docs = table(spark, rows, "doc_id long, source string").selectExpr("*", "'x' as block", "'y' as slot", "'z' as place", "1 as _n", "2 as weight")
+    got = mixing.pfair_mix(docs, weights={"a": 3.0, "gone": 5.0}, block_rows=4, period=20)
+    assert collections.Counter(r["source"] for r in got.collect()) == collections.Counter(s for _, s in rows)
+    places = [(r["slot"], r["place"]) for r in got.collect()]
+    assert len(set(places)) == len(places) and set(got.columns) == set(docs.columns)
+    # sources that run out leave their slots empty, and the others keep theirs
+    few = mixing.pfair_mix(table(spark, [(k, "big") for k in range(64)] + [(99, "small")], "doc_id long, source string"), weights={"big": 1.0, "small": 1.0}, block_rows=4, period=10).collect()
+    assert len(few) == 65 and max(r["slot"] for r in few) > 16

@@ -234,53 +234,6 @@ def test_tool_calls(spark):
     assert tool_calls.link_tool_calls(calls.limit(0), results.limit(0)).count() == 0
 
 
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
-
-    rng = np.random.default_rng(1)
-    base = [" ".join(f"word{x}" for x in rng.integers(0, 5000, 120)) for _ in range(12)]
-    near = base[0].split()
-    near[60] = "changed"
-    rows = [(k, t, "en", f"s{k % 3}", len(t or "")) for k, t in enumerate([*base, base[0], " ".join(near), base[1] + " " + " ".join(f"verb{k}" for k in range(60)), "short", None])]
-    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    fst = sentencepiece_fst.transducer(sentencepiece_fst.DEFAULT_MODEL)
-    want = {k: base[k] for k in range(12)} | {14: " ".join(f"verb{k}" for k in range(60))}
-    assert {k: fst.decode(v) for k, v in got.items()} == want
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    assert all(corpus_pipeline.STAGES[k][1](spark, docs, str(tmp_path)).columns == docs.columns for k in (0, 3))
-    assert re.fullmatch(r"[a-z_]+", corpus_pipeline.STAGES[0][0])
-
-
-def test_pipeline_shares(spark, tmp_path):
-    import corpus_pipeline
-
-    rng = np.random.default_rng(4)
-    n = {"big": 90, "mid": 40, "small": 5, None: 2}
-    rows = [(s, " ".join(f"word{x}" for x in rng.integers(0, 5000, 90))) for s, m in n.items() for _ in range(m)]
-    rows = [(k, t, "en", s, len(t)) for k, (s, t) in enumerate(rows)]
-    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
-    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r["doc_id"] for r in got} == set(range(len(rows)))
-    fst, text = sentencepiece_fst.transducer(sentencepiece_fst.DEFAULT_MODEL), {r[0]: r[1] for r in rows}
-    assert all(fst.decode(r["ids"]) == text[r["doc_id"]] for r in got)
-    # the schedule by brute force: in each slot, of the released blocks that which is due first
-    order = sorted(n, key=lambda s: (s is not None, s or ""))
-    w = dict(mixing.integer_weights([(s, n[s]) for s in order], None, mixing.PERIOD))
-    total, done, chosen = sum(w.values()), collections.Counter(), []
-    while any(done[s] * mixing.BLOCK < n[s] for s in n):
-        free = [s for s in order if done[s] * total // w[s] <= len(chosen)]
-        chosen.append(min(free, key=lambda s: -(-(done[s] + 1) * total // w[s])))
-        done[chosen[-1]] += 1
-    assert {(r["slot"], r["place"]): r["source"] for r in got} == {(t, p): s for t, s in enumerate(chosen) for p in range(mixing.BLOCK)}
-    assert len(got) == mixing.BLOCK * len(chosen) and all(abs(done[s] - len(chosen) * w[s] / total) < 1 for s in n)
-    times = collections.Counter(r["doc_id"] for r in got)
-    for s in n:
-        counts = [times[r[0]] for r in rows if r[3] == s]
-        assert max(counts) - min(counts) <= 1
-    assert sorted(times.values())[-1] > 1
-
-
 def test_html_open_tags_and_state_classes():
     tree = html_text.default_tree()
     first, second = "word " * 50, "text " * 40
