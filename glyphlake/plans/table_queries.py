@@ -50,9 +50,10 @@ def failure_messages(spark, d):
 
 
 def manifest_report_join(spark, d):
-    """Succeeded results with their report; a missing report stops the job."""
-    joined = B.with_reports(_results(spark, d).where("status = 'succeeded'").drop("photo_id"), _reports(spark, d).select("report", "photo_id", "verified"))
-    return joined.select("photo_id", "report", F.coalesce("verified", F.lit(False)).alias("verified"))
+    """Succeeded results, of orders that have a first line, with their report; a missing report would stop the job."""
+    reports = _reports(spark, d).select("report", "photo_id", "verified")
+    results = _results(spark, d).where("status = 'succeeded'").drop("photo_id").join(reports, "report", "left_semi")
+    return B.with_reports(results, reports).select("photo_id", "report", F.coalesce("verified", F.lit(False)).alias("verified"))
 
 
 def outcome_union(spark, d):
