@@ -301,6 +301,12 @@ class Transducer:
             labels = [self.pieces.ids.get(x, -ord(x[0])) for x in self.adjacent.merged(chunk)]
         return self.pieces.output(labels)
 
+    def forget(self) -> None:
+        """Drop all kept paths and arcs."""
+        self.kept = _Chunks(self)
+        if self.adjacent:
+            self.adjacent.kept = {}
+
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.kept.__getitem__, self.chunk.findall(self.normaliser.apply(text)))), np.int32)
 
@@ -367,11 +373,12 @@ def _lists(rows: list[np.ndarray | None]) -> pa.ListArray:
     return pa.ListArray.from_arrays(starts, pa.array(flat))
 
 
-def encode_column(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids", check: str | None = None, size: int = 256) -> DataFrame:
+def encode_column(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids", check: str | None = None, size: int = 256, forget: bool = False) -> DataFrame:
     """Replace ``text`` by its piece numbers; check: name of a boolean column, whether they decode to the text.
 
     The driver reads the model file and ships it with the job. Columns already named ``out`` or ``check``
-    are replaced. Rows leave in batches of ``size``. Equal texts in a row are encoded once.
+    are replaced. Rows leave in batches of ``size``. forget: workers drop the
+    paths they keep when a task ends, for jobs with other large stages behind. Equal texts in a row are encoded once.
     """
     drop = {text, out, check}
     keep = [c for c in docs.columns if c not in drop]
@@ -393,6 +400,9 @@ def encode_column(docs: DataFrame, model_path: str, text: str = "text", out: str
                 if check:
                     columns.append(pa.array([None if x is None else fst.decode(ids) == x for x, ids in zip(texts, rows)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
+        if forget:
+            fst.forget()
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)
 

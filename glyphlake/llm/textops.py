@@ -25,7 +25,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=4)
 def _tables(seed: int, size: int):
     """Random byte codes, powers of an odd base and of its inverse modulo 2**64."""
     rng = np.random.default_rng(seed)
