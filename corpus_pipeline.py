@@ -47,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts become piece numbers (null for a null text); each row gets its slot and place in the mixing schedule."""
     once = mixing.distinct_with_slots(docs, mixing.scheduled(docs))
-    placed = mixing.spread_over_slots(encode_column(once, DEFAULT_MODEL))
+    placed = mixing.spread_over_slots(encode_column(once, DEFAULT_MODEL, forget=True))
     return placed.selectExpr("doc_id", "lang", "source", "n_chars", "cast(size(ids) as bigint) as n_pieces", "ids", "slot", "place")
 
 
