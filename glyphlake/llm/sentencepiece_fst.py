@@ -162,7 +162,7 @@ class Normaliser:
 
 
 class Pieces:
-    """The transducer from strings to piece numbers, with byte fallback; the label of a character without a piece is minus its code point."""
+    """The transducer from strings to piece numbers, with byte fallback; the label of a character without a piece is -1 minus its code point."""
 
     def __init__(self, model: PieceModel):
         self.ids = {text: k for k, (text, _, kind) in enumerate(model.pieces) if kind in (NORMAL, USER)}
@@ -184,7 +184,7 @@ class Pieces:
         """The lattice's arcs that end at a position of the string: (start, label), the longest first."""
         at, node, arcs = end - 1, self.tree.get(text[end - 1]), []
         label = None if node is None else node.get("")
-        arcs.append((at, -ord(text[at]) if label is None else label))
+        arcs.append((at, -1 - ord(text[at]) if label is None else label))
         while node is not None and at:
             node = node.get(text[at - 1])
             if node is not None:
@@ -196,7 +196,7 @@ class Pieces:
         return arcs
 
     def text(self, label: int) -> str:
-        return self.texts[label] if label >= 0 else chr(-label)
+        return self.texts[label] if label >= 0 else chr(-1 - label)
 
     def output(self, labels: list[int]) -> list[int]:
         """Piece numbers of a path; characters without a piece become bytes, or a run of them one unknown piece."""
@@ -208,7 +208,7 @@ class Pieces:
             if label >= 0:
                 out.append(label)
             elif self.fallback:
-                out += [self.bytes[b] for b in chr(-label).encode()]
+                out += [self.bytes[b] for b in chr(-1 - label).encode()]
             elif not lost:
                 out.append(self.unknown)
             lost = label < 0
@@ -298,7 +298,7 @@ class Transducer:
     def path(self, chunk: str) -> list[int]:
         labels = shortest_path(chunk, self.pieces, self.adjacent)
         if labels is None:
-            labels = [self.pieces.ids.get(x, -ord(x[0])) for x in self.adjacent.merged(chunk)]
+            labels = [self.pieces.ids.get(x, -1 - ord(x[0])) for x in self.adjacent.merged(chunk)]
         return self.pieces.output(labels)
 
     def forget(self) -> None:
