@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import html_text, language, mixing, ngram_join, quality, sentencepiece_fst, tool_calls, toxicity, vector_neardup, window_index
+from . import html_text, language, mixing, ngram_join, periodic_runs, quality, sentencepiece_fst, tool_calls, toxicity, vector_neardup, window_index
 
 QUERIES = {
     "op1_language_mixture": language.op1_language_mixture,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_quality_cascade": quality.op8_quality_cascade,
     "op9_html_blocks": html_text.op9_html_blocks,
     "op10_window_index": window_index.op10_window_index,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -26,6 +27,7 @@ ORACLES = {
     "op7_tool_links": tool_calls.OP7_SQL,
     "op8_quality_cascade": quality.OP8_SQL,
     "op10_window_index": window_index.OP10_SQL,
+    "op11_periodic_runs": periodic_runs.OP11_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
