@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import html_text, language, mixing, ngram_join, periodic_runs, quality, sentencepiece_fst, tool_calls, toxicity, vector_neardup, window_index
+from . import html_text, language, license_scan, merkle_manifest, mixing, ngram_join, periodic_runs, quality, sentencepiece_fst, tool_calls, toxicity, vector_neardup, window_index
 
 QUERIES = {
     "op1_language_mixture": language.op1_language_mixture,
@@ -18,6 +18,8 @@ QUERIES = {
     "op9_html_blocks": html_text.op9_html_blocks,
     "op10_window_index": window_index.op10_window_index,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_license_scan": license_scan.op12_license_scan,
+    "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -28,6 +30,8 @@ ORACLES = {
     "op8_quality_cascade": quality.OP8_SQL,
     "op10_window_index": window_index.OP10_SQL,
     "op11_periodic_runs": periodic_runs.OP11_SQL,
+    "op12_license_scan": license_scan.OP12_SQL,
+    "op13_merkle_manifest": merkle_manifest.OP13_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
