@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .folders import claim
+
 RESULT = "status string, source string, output string, mask string, report string, error string, traceback string, audit_passed boolean"
 MANIFEST = f"created_at timestamp, method string, total int, succeeded int, failed int, canceled int, results array<struct<{', '.join(c.replace(' ', ':', 1) for c in RESULT.split(', ')) }>>"
 
@@ -89,13 +91,9 @@ def write_audit(reports: DataFrame, path: str) -> bool:
 def new_run_folder(spark: SparkSession, root: str, name: str) -> str:
     """Make ``root/name``, or the first free one of ``name 2``, ``name 3`` and so on, and return it."""
     n = 1
-    while True:
-        path = f"{root.rstrip('/')}/{name}" + (f" {n}" if n > 1 else "")
-        place, files = _files(spark, path)
-        if not files.exists(place):
-            files.mkdirs(place)
-            return path
+    while not claim(spark, path := f"{root.rstrip('/')}/{name}" + (f" {n}" if n > 1 else "")):
         n += 1
+    return path
 
 
 def whole_streams(decoded: DataFrame, expected: DataFrame, stream: str = "stream") -> DataFrame:
