@@ -4,9 +4,13 @@ Every vector has many projections. Some of them only divide the work: TABLES gro
 each halved at 0, give the cells in which vectors meet, so many groups that a pair at the limit shares a
 cell with probability RECALL. (Windows over a sorted projection of the whole table would hold over a third
 of all vectors for each query at this limit, so whole sorted projections alone don't scale.) Inside a cell
-COUNTED further projections are sorted, and each query counts the others in the windows centred on it;
-pairs with fewer collisions than the count that RECALL allows for a pair at the limit are dropped. The rest
-are verified by their cosine in double precision. A pair that meets in several cells counts in the first.
+further projections are sorted, and each query counts the others in the windows centred on it; pairs with fewer
+collisions than the count that RECALL allows for a pair at the limit are dropped.
+
+Two rounds keep the vectors still. In the first only sketches move: COUNTED + FINE projections of a byte each,
+rounded so that no collision is lost. It finds which vectors have a candidate in which cell, which few have. In
+the second those vectors meet in those cells, candidates are counted and verified by their cosine in double
+precision. A pair that meets in several cells counts in the first.
 
 The number of cells grows with the vectors so that a cell holds about CELL_ROWS; larger cells are cut
 into blocks, compared block by block in tasks of their own, so no task holds more than two blocks and no
@@ -33,6 +37,10 @@ from .shared import Scratch, connected_components
 LIMIT = 0.95
 RECALL = 0.99999
 COUNTED = 16
+#: Further projections that the first round counts for pairs that pass the others.
+FINE = 32
+#: Steps of a sketch's byte in one unit of a projection.
+STEPS = 32
 CELL_ROWS = 256
 BLOCK_ROWS = 1024
 
@@ -52,13 +60,23 @@ class Projections:
         distance = math.sqrt(2 - 2 * limit)
         self.window = 2.5 * distance
         p = 2 * _normal(2.5) - 1
-        fewer = lambda n: sum(math.comb(counted, k) * p**k * (1 - p) ** (counted - k) for k in range(n))
-        self.least = max(n for n in range(counted + 1) if fewer(n) <= 1 - recall)
+        fewer = lambda n, of: sum(math.comb(of, k) * p**k * (1 - p) ** (of - k) for k in range(n))
+        calibrated = lambda of: max(n for n in range(of + 1) if fewer(n, of) <= 1 - recall)
+        self.least, self.least_fine = calibrated(counted), calibrated(counted + FINE)
+        #: The window in a sketch's steps, with room for the rounding of both.
+        self.steps = math.floor(self.window * STEPS) + 1
 
     def directions(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Directions of the cells, and of the counted projections (the sketch's first ones)."""
         rng = np.random.default_rng([self.seed, size])
         return rng.standard_normal((size, self.tables * self.bits)), rng.standard_normal((size, self.counted))
 
+    def sketches(self, unit: np.ndarray) -> np.ndarray:
+        """Projections as bytes; far ones are pulled in, which only brings them nearer to each other."""
+        fine = np.random.default_rng([self.seed, unit.shape[1], 1]).standard_normal((unit.shape[1], FINE))
+        values = unit @ np.concatenate([self.directions(unit.shape[1])[1], fine], axis=1)
+        return np.clip(np.rint(values * STEPS), -127, 127).astype(np.int8)
+
     def codes(self, unit: np.ndarray) -> np.ndarray:
         """Cell of each vector in each table."""
         side = (unit @ self.directions(unit.shape[1])[0] >= 0).reshape(len(unit), self.tables, self.bits)
@@ -76,22 +94,22 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _cells(rules: Projections):
-    """Rows (cell, node, many, size, vector): every vector once for each table."""
+    """Rows (cell, node, sketch): the sketch of every vector once for each table."""
 
     def run(batches):
         for batch in batches:
             sizes = np.diff(batch.column("vector").offsets.to_numpy())
             for size in np.unique(sizes):
-                for at in range(0, batch.num_rows, 512):
-                    rows = at + np.flatnonzero(sizes[at : at + 512] == size)
+                for at in range(0, batch.num_rows, 2048):
+                    rows = at + np.flatnonzero(sizes[at : at + 2048] == size)
                     if not len(rows):
                         continue
                     part = batch.take(pa.array(rows))
-                    codes = rules.codes(_unit(_matrix(part.column("vector"))))
-                    cell = ((np.int64(size) << 32) + np.arange(rules.tables, dtype=np.int64)) * (1 << 24) + codes
-                    again = np.repeat(np.arange(len(rows)), rules.tables)
-                    wide = part.take(pa.array(again))
-                    yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), wide.column("node"), wide.column("many"), wide.column("vector")], ["cell", "node", "many", "vector"])
+                    unit = _unit(_matrix(part.column("vector")))
+                    cell = ((np.int64(size) << 32) + np.arange(rules.tables, dtype=np.int64)) * (1 << 24) + rules.codes(unit)
+                    sketch = np.repeat(rules.sketches(unit), rules.tables, axis=0)
+                    packed = pa.Array.from_buffers(pa.binary(sketch.shape[1]), len(sketch), [None, pa.py_buffer(np.ascontiguousarray(sketch))])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), pa.array(np.repeat(part.column("node").to_numpy(), rules.tables)), packed.cast(pa.binary())], ["cell", "node", "sketch"])
 
     return run
 
@@ -99,20 +117,82 @@ def _cells(rules: Projections):
 def window_counts(queries: np.ndarray, others: np.ndarray, window: float) -> np.ndarray:
     """On how many projections (columns) each other lies in the window centred on each query: (queries, others).
 
-    Each projection of the others is sorted; a query's window is a stretch of that order, found by bisection
-    and added to the query's counts as a stretch.
+    Each projection of the others is sorted; a query's window is a stretch of that order, found by bisection,
+    and holds the others whose place in the order is in the stretch.
     """
     count = np.zeros((len(queries), len(others)), np.int8)
-    rows = np.arange(len(queries))
+    place = np.empty(len(others), np.uint16 if len(others) < 1 << 15 else np.uint32)
     for q, o in zip(queries.T, others.T):
         order = np.argsort(o, kind="stable")
-        edges = np.zeros((len(queries), len(others) + 1), np.int8)
-        edges[rows, np.searchsorted(o[order], q - window, side="left")] += 1
-        edges[rows, np.searchsorted(o[order], q + window, side="right")] -= 1
-        count[:, order] += np.cumsum(edges[:, :-1], axis=1, dtype=np.int8)
+        place[order] = np.arange(len(o), dtype=place.dtype)
+        begin = np.searchsorted(o[order], q - window, side="left").astype(place.dtype)
+        size = np.searchsorted(o[order], q + window, side="right").astype(place.dtype) - begin
+        # places before the stretch wrap around to numbers beyond any size
+        count += (place[None, :] - begin[:, None]) < size[:, None]
     return count
 
 
+def _grouped(batches, names: list[str]):
+    """Tables sorted by (cell, left, right) as (key, salt, node, further columns) of each group of two rows or more."""
+
+    def groups(table: pa.Table, last: bool):
+        keys = np.stack([table.column(c).to_numpy() for c in ("cell", "left", "right")], axis=1)
+        cuts = np.concatenate([[0], 1 + np.flatnonzero((keys[1:] != keys[:-1]).any(1)), [len(keys)]])
+        whole = len(cuts) - 1 if last else len(cuts) - 2
+        columns = {c: table.column(c).combine_chunks() for c in names}
+        found = [(tuple(int(x) for x in keys[cuts[k]]), {c: x.slice(cuts[k], cuts[k + 1] - cuts[k]) for c, x in columns.items()}) for k in range(whole) if cuts[k + 1] - cuts[k] > 1]
+        return found, table.slice(cuts[whole])
+
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None and rest.num_rows else table
+        if table.num_rows:
+            found, rest = groups(table, False)
+            yield from found
+    if rest is not None and rest.num_rows:
+        yield from groups(rest.combine_chunks(), True)[0]
+
+
+def _candidates(rules: Projections):
+    """From sketches sorted by (cell, left, right): (cell, node) of those with a candidate in the cell."""
+
+    def marked(x: np.ndarray, y: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
+        rough = window_counts(x[:, : rules.counted], y[:, : rules.counted], rules.steps)
+        i, j = np.nonzero(rough >= rules.least)
+        if own:
+            i, j = i[i < j], j[i < j]
+        for at in range(rules.counted, x.shape[1], 8):
+            if not len(i):
+                break
+            near = (np.abs(x[i, at : at + 8] - y[j, at : at + 8]) <= rules.steps).sum(1)
+            # what can still be reached with the projections to come
+            rough[i, j] += near.astype(np.int8)
+            good = rough[i, j] >= rules.least_fine - max(0, x.shape[1] - at - 8)
+            i, j = i[good], j[good]
+        return np.unique(i), np.unique(j)
+
+    def run(batches):
+        cells, nodes, waiting = [], [], 0
+        for (cell, left, right), columns in _grouped(batches, ["salt", "node", "sketch"]):
+            salt, node = columns["salt"].to_numpy(), columns["node"].to_numpy()
+            sketch = np.frombuffer(b"".join(columns["sketch"].to_pylist()), np.int8).reshape(len(node), -1).astype(np.int16)
+            one, two = np.flatnonzero(salt == left), np.flatnonzero(salt == right)
+            i, j = marked(sketch[one], sketch[two], left == right)
+            hit = np.unique(np.concatenate([one[i], two[j]]))
+            if len(hit):
+                cells.append(np.full(len(hit), cell))
+                nodes.append(node[hit])
+                waiting += len(hit)
+            if waiting > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(np.concatenate(nodes))], ["cell", "node"])
+                cells, nodes, waiting = [], [], 0
+        if waiting:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(np.concatenate(nodes))], ["cell", "node"])
+
+    return run
+
+
 def _collide(rules: Projections, x, px, cx, y, py, cy, table: int) -> np.ndarray:
     """Links of two blocks, as a boolean matrix: counted, verified, and met in no earlier table."""
     i, j = np.nonzero(window_counts(px, py, rules.window) >= rules.least)
@@ -164,53 +244,33 @@ def _compare(rules: Projections):
         return node[rows], n[rows], label[rows]
 
     def run(batches):
-        def split(table: pa.Table, last: bool):
-            """Finished groups of a sorted table, and what may go on in the next batch."""
-            if not table.num_rows:
-                return [], table
-            keys = np.stack([table.column(c).to_numpy() for c in ("cell", "left", "right")], axis=1)
-            cuts = np.concatenate([[0], 1 + np.flatnonzero((keys[1:] != keys[:-1]).any(1)), [len(keys)]])
-            whole = len(cuts) - 1 if last else len(cuts) - 2
-            vectors = table.column("vector").combine_chunks()
-            vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
-            ends = vectors.offsets.to_numpy()
-            flat = vectors.values.to_numpy(zero_copy_only=False)
-            salt, node, many = (table.column(c).to_numpy() for c in ("salt", "node", "many"))
-            found = []
-            for k in range(whole):
-                s = slice(cuts[k], cuts[k + 1])
-                if cuts[k + 1] - cuts[k] < 2:
-                    continue
-                vector = flat[ends[cuts[k]] : ends[cuts[k + 1]]].astype(np.float64).reshape(cuts[k + 1] - cuts[k], -1)
-                out = group(*(int(x) for x in keys[cuts[k]]), salt[s], node[s], many[s].astype(np.int64), vector)
-                if out is not None:
-                    found.append(out)
-            return found, table.slice(cuts[whole])
-
-        def rows(found):
-            node, n, root = (np.concatenate(x) for x in zip(*found))
-            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(n.astype(np.int64)), pa.array(root)], ["node", "links", "root"])
-
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None and rest.num_rows else table
-            found, rest = split(table, False)
-            if found:
-                yield rows(found)
-        if rest is not None and rest.num_rows:
-            found, _ = split(rest.combine_chunks(), True)
-            if found:
-                yield rows(found)
+        for key, columns in _grouped(batches, ["salt", "node", "many", "vector"]):
+            salt, node, many = (columns[c].to_numpy() for c in ("salt", "node", "many"))
+            found = group(*key, salt, node, many.astype(np.int64), _matrix(columns["vector"]))
+            if found is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1].astype(np.int64)), pa.array(found[2])], ["node", "links", "root"])
 
     return run
 
 
+def _dealt(scratch: Scratch, rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows (cell, node, ...) in groups (cell, left, right) that meet in one task, sorted by them; salt is a row's own block.
+
+    Cells of more than BLOCK_ROWS rows are cut into blocks, each of which meets each.
+    """
+    large = scratch.put(rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS).select("cell", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks")), "large")
+    met = rows.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    met = met.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")))
+    turns = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("salt")).alias("left"), F.greatest(k, F.col("salt")).alias("right")))
+    met = met.withColumn("t", F.explode(turns)).select("cell", "t.left", "t.right", "salt", "node", *columns)
+    return met.repartition("cell", "left", "right").sortWithinPartitions("cell", "left", "right")
+
+
 def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", limit: float = LIMIT, recall: float = RECALL) -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neardup")
-    v, kind = F.col(f"`{vector}`"), vectors.schema[vector].dataType.simpleString()
+    v = F.col(f"`{vector}`")
     good = v.isNotNull() & F.expr(f"size(`{vector}`) > 0") & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(f"`{id}`").alias("id"), F.when(good, v).alias("vector"))
     rows = rows.withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")))
@@ -219,12 +279,11 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
     classes = scratch.put(classes, "classes")
     rules = Projections(classes.count(), limit, recall)
 
-    cells = scratch.put(classes.select("node", "many", "vector").mapInArrow(_cells(rules), f"cell long, node long, many long, vector {kind}"), "cells")
-    full = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS))
-    met = cells.join(full.select("cell", "blocks"), "cell").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")))
-    turns = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("salt")).alias("left"), F.greatest(k, F.col("salt")).alias("right")))
-    met = met.withColumn("t", F.explode(turns)).select("cell", "t.left", "t.right", "salt", "node", "many", "vector")
-    compared = met.repartition("cell", "left", "right").sortWithinPartitions("cell", "left", "right").mapInArrow(_compare(rules), "node long, links long, root long")
+    cells = scratch.put(classes.select("node", "vector").mapInArrow(_cells(rules), "cell long, node long, sketch binary"), "cells")
+    near = scratch.put(_dealt(scratch, cells, "sketch").mapInArrow(_candidates(rules), "cell long, node long").distinct(), "candidates")
+    met = scratch.put(near.join(classes.select("node", "many", "vector"), "node"), "met")
+    scratch.drop(cells, near)
+    compared = _dealt(scratch, met, "many", "vector").mapInArrow(_compare(rules), "node long, links long, root long")
     compared = scratch.put(compared, "compared")
     found = connected_components(scratch, compared.selectExpr("node as a", "root as b"))
 
