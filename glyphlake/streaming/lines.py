@@ -30,7 +30,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 END = "__END__"
 OUT = "stream string, number long, offset long, bytes binary, status string, total long, lines long"
-STATE = "next long, bytes long, lines long, expected long, status string"
+STATE = "next long, bytes long, lines long, expected long, status string, waiting long"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -48,7 +48,8 @@ class LineStreams(StatefulProcessor):
         self.early = handle.getMapState("early", "number long", "line string, expected long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at, size, lines, expected, status = self.state.get() if self.state.exists() else (0, 0, 0, None, None)
+        # waiting: how many early lines there are, so that streams in order never ask for one
+        at, size, lines, expected, status, waiting = self.state.get() if self.state.exists() else (0, 0, 0, None, None, 0)
         if status:
             return
         out: list[tuple] = []
@@ -58,6 +59,7 @@ class LineStreams(StatefulProcessor):
                 new = ("" if pd.isna(line) else line, None if pd.isna(wanted) else int(wanted))
                 if number > at and not status and not self.early.containsKey((number,)):
                     self.early.updateValue((number,), new)
+                    waiting += 1
                 while number == at and new and not status:
                     text, wanted = new[0].strip(), new[1]
                     expected = wanted if wanted is not None else expected
@@ -69,16 +71,18 @@ class LineStreams(StatefulProcessor):
                         out.append((key[0], at, size, data, None, None, None))
                         size, lines = size + len(data), lines + 1
                     at, new = at + 1, None
-                    if not status and self.early.containsKey((at,)):
+                    if waiting and not status and self.early.containsKey((at,)):
                         number, new = at, self.early.getValue((at,))
                         self.early.removeKey((at,))
+                        waiting -= 1
                 if len(out) >= 1000:
                     yield self._frame(out)
                     out = []
         if status:
             out.append((key[0], at - 1, size, None, status, size, lines))
-            self.early.clear()
-        self.state.update((at, size, lines, expected, status))
+            if waiting:
+                self.early.clear()
+        self.state.update((at, size, lines, expected, status, waiting))
         if out:
             yield self._frame(out)
 
