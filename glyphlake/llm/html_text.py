@@ -1,28 +1,33 @@
 """Main text of web pages: flat text blocks, classified by a small decision tree.
 
 A page becomes a flat list of text blocks, cut at block-level tags. Each block is described by its word
-count and link density, those of its two neighbours, and where it stands (heading, main container,
-boilerplate container by its tag, or by its name). A decision tree, grown by Gini impurity from the blocks of
-the labelled pages in ``html_labels``, says which blocks are main text. What is hidden by an attribute
-or an inline style is no text.
+count and link density, those of its two neighbours, and where it stands (heading, main container, before or
+behind the page's main container, boilerplate by a tag, or by a name). A decision tree, grown by Gini impurity from
+the blocks of the labelled pages in ``html_labels``, says which blocks are main text. What is hidden by an
+attribute or an inline style is no text. A class, id or role marks boilerplate on any element, but only as a whole:
+all of its parts must be such names or words of layout (``cookie-notice``, ``related-posts``, not ``related-work``).
 
 Defined cases: null and empty pages give an empty text; pages cut off anywhere are read as far as they
 go; a head ends where other than its own tags begins; unclosed skipped tags end at the next block-level tag,
-unclosed scripts and styles with their container; unknown tags are inline; repeated pages give equal rows.
+unclosed scripts and styles with their container; unknown tags are inline; repeated pages give equal rows. Further
+columns pass through under any name; one named like the result, whatever its case, is replaced. Time is linear in the
+page's length.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .html_labels import PAGES
-from .shared import extended
+from .html_labels import labelled_pages
+from .shared import mapped_rows
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|([^<]+|<)", re.S)
 ANY_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
@@ -45,6 +50,14 @@ BOILER_NAMES = frozenset(
     "sidebar footer cookie cookies consent gdpr notice alert newsletter subscribe subscription comment comments disqus reply replies "
     "share sharing social related recommended widget popup modal login signup pagination pager toolbar search complementary contentinfo".split()
 )
+#: Parts that say where or how something stands, beside which a name keeps its meaning.
+LAYOUT_NAMES = frozenset(
+    "site page main global primary secondary top bottom left right center middle upper lower first last sticky fixed mobile desktop wrap wrapper container inner outer box bar "
+    "block area section region row col column grid panel module group list item items link links button buttons icon icons header head title body text content form field unit slot zone "
+    "post posts article articles story stories entry blog media news signup thread small large big new".split()
+)
+#: Those that mark a part of a line too.
+INLINE_NAMES = frozenset("ad ads adbox advert adverts advertisement advertising sponsor sponsored promo cookie cookies".split())
 #: Of these, the ones that hold articles of their own, which are no main text either.
 STRONG_NAMES = frozenset("comment comments disqus reply replies related recommended".split())
 #: Classes that say what a page has or how it stands, such as has-sidebar or nav-open.
@@ -52,10 +65,7 @@ STATE = re.compile(r"^(?:has|with|without|no|is)[-_]|[-_](?:open|opened|closed|a
 HEADER_NAMES = frozenset(["header", "masthead", "topbar"])
 MAIN_NAMES = frozenset(["article", "main", "content", "post", "entry", "story"])
 
-#: Containers whose names say what they are; a quotation, a table cell or a list entry is what it is anywhere.
-NAMED = frozenset("div section ul ol dl table center details summary figure header hgroup footer nav aside form dialog fieldset menu main article".split())
-
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "boiler_tag", "boiler_name", "main")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "boiler_tag", "boiler_name", "main", "ahead", "behind")
 
 
 @dataclass
@@ -76,22 +86,34 @@ def _hides(attributes: str) -> bool:
         return False
     for name, value in ANY_ATTRIBUTE.findall(low):
         value = value.strip("\"' ")
-        if (name == "hidden" and value != "until-found") or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
+        if (name == "hidden" and value != "until-found") or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", value)):
             return True
     return False
 
 
-def _parts(token: str) -> set[str]:
-    """The first and the last part of a class, id or role; what stands between them says little."""
-    parts = [x for x in re.split(r"[^a-z]+", token) if x]
-    return {parts[0], parts[-1]} if parts else set()
+def _names(attributes: str) -> tuple[set[str], set[str]]:
+    """The names that an element's class, id and role stand for, and all parts of them.
+
+    A value stands for the boilerplate names in it if its other parts only say where or how something stands.
+    """
+    told: set[str] = set()
+    parts: set[str] = set()
+    if "=" in attributes:
+        for match in ATTRIBUTE.finditer(attributes):
+            for token in re.sub(r"([a-z])([A-Z])", r"\1-\2", match[1] or match[2] or match[3] or "").lower().split():
+                some = {x for x in re.split(r"[^a-z]+", token) if x}
+                parts |= some
+                if not STATE.search(token) and some <= BOILER_NAMES | HEADER_NAMES | LAYOUT_NAMES:
+                    told |= some & (BOILER_NAMES | HEADER_NAMES)
+                    if len(some) == 1:
+                        told |= some
+    return told, parts
 
 
 @dataclass(frozen=True)
 class Place:
-    """What the open containers say of a block; strong: boilerplate that an article inside doesn't end."""
+    """What the open elements say of a block; strong: boilerplate that an article inside doesn't end."""
 
-    tag: str = ""
     boiler_tag: bool = False
     boiler_name: bool = False
     strong: bool = False
@@ -100,29 +122,28 @@ class Place:
 
 
 def _enter(tag: str, attributes: str, outer: Place) -> Place:
-    """The place inside a container's start tag."""
-    names: set[str] = set()
-    states: set[str] = set()
-    if "=" in attributes:
-        for match in ATTRIBUTE.finditer(attributes):
-            for token in re.sub(r"([a-z])([A-Z])", r"\1-\2", match[1] or match[2] or match[3] or "").lower().split():
-                (states if STATE.search(token) else names).update(_parts(token))
-    main = outer.main or tag in MAIN_TAGS or bool((names | states) & MAIN_NAMES)
+    """The place inside an element's start tag."""
+    if tag not in BOILER_TAGS and tag not in MAIN_TAGS and tag != "header" and not attributes:
+        return outer
+    names, parts = _names(attributes)
+    if tag == "blockquote":
+        names = names - {"alert"}  # a loud quotation is one
+    main = outer.main or tag in MAIN_TAGS or bool(parts & MAIN_NAMES and not names & BOILER_NAMES)
     hidden = outer.hidden or _hides(attributes)
     if tag in ("html", "body"):
-        return Place(tag, outer.boiler_tag, outer.boiler_name, outer.strong, main, hidden)
+        return Place(outer.boiler_tag, outer.boiler_name, outer.strong, outer.main or "main" in names, hidden)
     reset = tag in MAIN_TAGS and not outer.strong
     by_tag = tag in BOILER_TAGS or (tag == "header" and not outer.main)
-    by_name = tag in NAMED and bool(names & (BOILER_NAMES if outer.main else BOILER_NAMES | HEADER_NAMES))
-    strong = tag in BOILER_TAGS or (tag in NAMED and bool(names & STRONG_NAMES))
-    return Place(tag, by_tag or (outer.boiler_tag and not reset), by_name or (outer.boiler_name and not reset), outer.strong or strong, main, hidden)
+    by_name = bool(names & (BOILER_NAMES if outer.main else BOILER_NAMES | HEADER_NAMES))
+    strong = tag in BOILER_TAGS or bool(names & STRONG_NAMES)
+    return Place(by_tag or (outer.boiler_tag and not reset), by_name or (outer.boiler_name and not reset), outer.strong or strong, main, hidden)
 
 
 BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS | {'head'}))})\b", re.I)
 
 
 def _skip_to(page: str, at: int, tag: str, outer: set[str], beyond: dict[str, int]) -> int:
-    """Where a skipped tag that began before ``at`` ends. outer: open containers; beyond: by tag, up to where it is known not to be closed."""
+    """Where a skipped tag that began before ``at`` ends. outer: tags of open containers; beyond: by tag, up to where it is known not to be closed."""
     end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at) if at >= beyond.get(tag, 0) else None
     if end and tag in RAW:
         return end.end()
@@ -175,18 +196,20 @@ def _inline_end(page: str, at: int, tag: str) -> int:
 def blocks(page: str) -> list[Block]:
     """The flat list of text blocks."""
     found: list[Block] = []
-    stack: list[Place] = [Place()]
+    stack: list[tuple[str, Place]] = [("", Place())]
+    open_tags: Counter[str] = Counter()
     beyond: dict[str, int] = {}
     texts: list[str] = []
     linked: list[str] = []
-    in_head, in_link, heading, hidden = False, False, False, False
+    in_head, in_link, heading = False, False, False
+    own: Place | None = None  # of the open paragraph or heading
     link_end = 0  # up to where a link reaches whose end tag is the next one
 
     def flush():
         if texts:
             text = " ".join(htmllib.unescape("".join(texts)).split())
-            place = stack[-1]
-            if text and not hidden and not place.hidden:
+            place = own or stack[-1][1]
+            if text and not place.hidden:
                 words = text.count(" ") + 1
                 share = len(htmllib.unescape("".join(linked)).split()) / words if linked else 0.0
                 found.append(Block(text, words, min(1.0, share), heading, place.boiler_tag, place.boiler_name, place.main))
@@ -214,23 +237,25 @@ def blocks(page: str) -> list[Block]:
             in_head = False
         if tag in SKIPPED:
             if not closing and not match[3].endswith("/"):
-                at = _skip_to(page, at, tag, {x.tag for x in stack}, beyond)
+                at = _skip_to(page, at, tag, set(+open_tags), beyond)
         elif tag == "br":
             texts.append(" ")
         elif tag in BLOCKS:
             flush()
-            in_link = hidden = False
+            in_link, own = False, None
             if tag in HEADINGS or tag == "p":
                 heading = tag != "p" and not closing
-                hidden = not closing and _hides(match[3])
+                own = None if closing else _enter(tag, match[3], stack[-1][1])
             elif tag in CONTAINERS:
                 heading = False
                 if not closing:
-                    stack.append(_enter(tag, match[3], stack[-1]))
-                elif any(x.tag == tag for x in stack):
-                    while stack.pop().tag != tag:
-                        pass
-        elif not closing and not match[3].endswith("/") and _hides(match[3]):
+                    stack.append((tag, _enter(tag, match[3], stack[-1][1])))
+                    open_tags[tag] += 1
+                elif open_tags[tag]:
+                    while (gone := stack.pop()[0]) != tag:
+                        open_tags[gone] -= 1
+                    open_tags[tag] -= 1
+        elif not closing and not match[3].endswith("/") and match[3] and (_hides(match[3]) or _names(match[3])[0] & INLINE_NAMES):
             at = _inline_end(page, at, tag)
         elif tag == "a":
             end = None if closing else LINK_TAG.search(page, at)
@@ -244,9 +269,12 @@ def blocks(page: str) -> list[Block]:
 def table(found: list[Block]) -> np.ndarray:
     """Block x FEATURES."""
     rows = np.zeros((len(found), len(FEATURES)))
+    inside = [k for k, b in enumerate(found) if b.main and not b.boiler_tag and not b.boiler_name]
+    first = inside[0] if inside else len(found)
     for k, b in enumerate(found):
         before, after = found[k - 1] if k else None, found[k + 1] if k + 1 < len(found) else None
-        rows[k] = (b.words, b.links, before.words if before else 0, before.links if before else 0.0, after.words if after else 0, after.links if after else 0.0, b.heading, b.boiler_tag, b.boiler_name, b.main)
+        near = (before.words if before else 0, before.links if before else 0.0, after.words if after else 0, after.links if after else 0.0)
+        rows[k] = (b.words, b.links, *near, b.heading, b.boiler_tag, b.boiler_name, b.main, bool(inside) and k < first, k > first and not b.main)
     return rows
 
 
@@ -298,7 +326,7 @@ class DecisionTree:
         return out >= 0.5
 
 
-def labelled_table(pages=PAGES) -> tuple[np.ndarray, np.ndarray]:
+def labelled_table(pages) -> tuple[np.ndarray, np.ndarray]:
     """(block x FEATURES, 1 for main text) of labelled pages."""
     features, labels = [], []
     for page, main in pages:
@@ -308,8 +336,9 @@ def labelled_table(pages=PAGES) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(features), np.array(labels)
 
 
+@lru_cache(maxsize=1)
 def default_tree() -> DecisionTree:
-    return DecisionTree(least=2).fit(*labelled_table())
+    return DecisionTree(least=4).fit(*labelled_table(labelled_pages()))
 
 
 def main_text(page: str | None, tree: DecisionTree) -> str:
@@ -322,15 +351,14 @@ def main_text(page: str | None, tree: DecisionTree) -> str:
 def extract_main_text(pages: DataFrame, html: str = "html", out: str = "text", tree: DecisionTree | None = None) -> DataFrame:
     """The rows with the main text in place of the page; a column already named ``out`` is replaced."""
     tree = tree or default_tree()
-    keep = [c for c in pages.columns if c not in (html, out)]
-    schema = extended(pages.select(*[f"`{c}`" for c in keep]), f"`{out}` string")
+    keep = [c for c in pages.columns if c.lower() not in (html.lower(), out.lower())]
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(x.as_py(), tree) for x in batch.column(html)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, out])
+            texts = [main_text(x.as_py(), tree) for x in batch.column("_in")]
+            yield batch.drop_columns(["_in"]).append_column("_out", pa.array(texts, pa.string()))
 
-    return pages.mapInArrow(run, schema)
+    return mapped_rows(pages, keep, f"`{html}`", run, "_out string", [out])
 
 
 def op9_html_blocks(spark, sf_dir: str) -> DataFrame:

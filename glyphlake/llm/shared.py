@@ -19,6 +19,17 @@ def extended(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def mapped_rows(df: DataFrame, keep: list[str], column: str, run, made: str, names: list[str]) -> DataFrame:
+    """Columns ``keep`` as they are and those that ``run`` makes of ``column`` (an expression), named ``names``.
+
+    run gets Arrow batches of the kept columns, under names of their own whatever they are called (with dots, say),
+    and ``_in``; it gives the kept ones and the columns of ``made``.
+    """
+    plain = [f"_{k}" for k in range(len(keep))]
+    rows = df.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(keep, plain)], F.expr(column).alias("_in"))
+    return rows.mapInArrow(run, extended(rows.drop("_in"), made)).toDF(*keep, *names)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir.
 

@@ -132,6 +132,30 @@ def window_counts(queries: np.ndarray, others: np.ndarray, window: float) -> np.
     return count
 
 
+def sketch_counts(queries: np.ndarray, others: np.ndarray, steps: int) -> np.ndarray:
+    """``window_counts`` of sketches, all projections sorted at once; a byte's place is looked up, not searched."""
+    width = others.shape[1]
+    columns = np.arange(width)
+    order = np.argsort(others, axis=0, kind="stable")
+    kind = np.uint16 if len(others) < 1 << 15 else np.uint32
+    place = np.empty(others.shape, kind)
+    np.put_along_axis(place, order, np.arange(len(others), dtype=kind)[:, None], axis=0)
+    # below[c, v + 384]: how many others have less than v in column c
+    values = np.bincount((others.astype(np.int64) + 385 + columns * 1024).ravel(), minlength=width * 1024).reshape(width, 1024)
+    below = np.cumsum(values, axis=1)
+    at = queries.astype(np.int64) + 384
+    begin = below[columns, at - steps].astype(kind)
+    size = below[columns, at + steps + 1].astype(kind) - begin
+    count = np.zeros((len(queries), len(others)), np.int8)
+    apart, hit = np.empty(count.shape, kind), np.empty(count.shape, bool)
+    place, begin, size = (np.ascontiguousarray(x.T) for x in (place, begin, size))
+    for c in range(width):
+        np.subtract(place[c][None, :], begin[c][:, None], out=apart)
+        np.less(apart, size[c][:, None], out=hit)
+        np.add(count, hit.view(np.int8), out=count)
+    return count
+
+
 def _grouped(batches, names: list[str]):
     """Tables sorted by (cell, left, right) as (key, salt, node, further columns) of each group of two rows or more."""
 
@@ -158,25 +182,30 @@ def _candidates(rules: Projections):
     """From sketches sorted by (cell, left, right): (cell, node) of those with a candidate in the cell."""
 
     def marked(x: np.ndarray, y: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
-        rough = window_counts(x[:, : rules.counted], y[:, : rules.counted], rules.steps)
-        i, j = np.nonzero(rough >= rules.least)
+        rough = sketch_counts(x[:, : rules.counted], y[:, : rules.counted], rules.steps)
+        enough = rough >= rules.least
         if own:
-            i, j = i[i < j], j[i < j]
+            enough = np.triu(enough, 1)
+        pairs = np.flatnonzero(enough)
+        i, j = np.divmod(pairs, enough.shape[1])
+        count = rough.ravel()[pairs]
         for at in range(rules.counted, x.shape[1], 8):
             if not len(i):
                 break
-            near = (np.abs(x[i, at : at + 8] - y[j, at : at + 8]) <= rules.steps).sum(1)
-            # what can still be reached with the projections to come
-            rough[i, j] += near.astype(np.int8)
-            good = rough[i, j] >= rules.least_fine - max(0, x.shape[1] - at - 8)
-            i, j = i[good], j[good]
+            near = np.abs(x[:, at : at + 8].take(i, axis=0) - y[:, at : at + 8].take(j, axis=0)) <= rules.steps
+            count = count + near.sum(1, dtype=np.int8)
+            good = count >= rules.least_fine - max(0, x.shape[1] - at - 8)  # what can still be reached
+            i, j, count = i[good], j[good], count[good]
         return np.unique(i), np.unique(j)
 
     def run(batches):
         cells, nodes, waiting = [], [], 0
         for (cell, left, right), columns in _grouped(batches, ["salt", "node", "sketch"]):
             salt, node = columns["salt"].to_numpy(), columns["node"].to_numpy()
-            sketch = np.frombuffer(b"".join(columns["sketch"].to_pylist()), np.int8).reshape(len(node), -1).astype(np.int16)
+            packed = columns["sketch"]
+            ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset :]
+            width = rules.counted + FINE
+            sketch = np.frombuffer(packed.buffers()[2], np.int8)[ends[0] : ends[0] + len(node) * width].reshape(len(node), width).astype(np.int16)
             one, two = np.flatnonzero(salt == left), np.flatnonzero(salt == right)
             i, j = marked(sketch[one], sketch[two], left == right)
             hit = np.unique(np.concatenate([one[i], two[j]]))

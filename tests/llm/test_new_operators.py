@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphlake.llm import license_scan, merkle_manifest, periodic_runs, queries
+from glyphlake.llm import html_labels, html_text, license_scan, merkle_manifest, periodic_runs, queries, vector_neardup
 from tests.conftest import SF
 
 DOCS = "doc_id long, text string, source string, lang string, n_chars long"
@@ -258,3 +258,63 @@ def test_folding_finds_a_change(spark):
     tree = merkle_manifest.merkle_manifest(docs.withColumn("other", merkle_manifest.leaf_digest(text=F.lower("text"))), ("other",))
     got = tree.select((merkle_manifest.fold(F.col("leaf"), F.col("path")) == F.col("root")).alias("same"), (merkle_manifest.fold(F.col("other"), F.col("path")) == F.col("root")).alias("changed")).collect()
     assert all(r["same"] for r in got) and not any(r["changed"] for r in got) and len(got) == 50
+
+
+# main text -----------------------------------------------------------------------------------------------
+LONG = "The river rose by two metres in a single night and the lower town was cut off from the road until the army brought boats."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<article><h1>News</h1><p>{LONG}</p><p>Finis.</p></article>", ["News", LONG, "Finis."]),
+        ("<article><p>Gone.</p></article>", ["Gone."]),
+        (f"<main><p>{LONG}</p><table><tr><td>42</td></tr></table></main>", [LONG, "42"]),
+        (f"<article><p class='advert'>Buy</p><p>{LONG}</p><ul><li class=ad>Buy two</li><li>Two dead</li></ul><p id='cookie-notice'>We use cookies</p></article>", [LONG, "Two dead"]),
+        (f"<article><blockquote class='site-notice'>Closed today</blockquote><p>{LONG} <span class=ad>Buy!</span>Done.</p></article>", [f"{LONG} Done."]),
+        (f"<article><section class='related-work'><p>{LONG}</p></section><div class='share-price'><p>Up again.</p></div><div class=footnote>1</div></article>", [LONG, "Up again.", "1"]),
+        (f"<article><p style='visibility: hidden'>no</p><p>{LONG}</p></article><section><h2>You say</h2><p>{LONG} Never.</p><p>me too</p></section>", [LONG]),
+        (f"<header><h1>The Daily</h1></header><h1>River</h1><article><p>{LONG}</p></article>", ["River", LONG]),
+    ],
+)
+def test_main_text_of_contract_cases(page, want):
+    assert html_text.main_text(f"<body>{page}</body>", html_text.default_tree()).split("\n") == want
+
+
+def test_main_text_of_unseen_labelled_pages():
+    tree = html_text.default_tree()
+    x, y = html_text.labelled_table(html_labels.labelled_pages(200, seed=7)[len(html_labels.PAGES) :])
+    found = tree.predict(x)
+    assert 2 * (found & (y > 0)).sum() / (found.sum() + y.sum()) > 0.97
+    inside = (x[:, html_text.FEATURES.index("main")] > 0) & (x[:, html_text.FEATURES.index("boiler_tag")] + x[:, html_text.FEATURES.index("boiler_name")] == 0)
+    assert found[inside].all()  # no block of the article goes for its length
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<div></ul>", "<p class=x>", "<div><button>", "<a href=x>", "<div hidden><select>"])
+def test_time_grows_with_the_page(piece):
+    import time
+
+    tree, size = html_text.default_tree(), 300_000 // len(piece)
+    start = time.perf_counter()
+    html_text.main_text(piece * size, tree)
+    assert time.perf_counter() - start < 3
+
+
+def test_main_text_with_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, f"<article><p>{LONG}</p></article>", "x", 2)], "page_id long, html string, TEXT string, `a.b` int")
+    out = html_text.extract_main_text(pages)
+    assert out.columns == ["page_id", "a.b", "text"] and out.collect()[0] == (1, 2, LONG)
+
+
+# vectors -------------------------------------------------------------------------------------------------
+def test_sketches_lose_no_collision():
+    rng = np.random.default_rng(3)
+    rules = vector_neardup.Projections(5000)
+    x = vector_neardup._unit(rng.standard_normal((300, 32)))
+    y = vector_neardup._unit(x[:200] + 0.05 * rng.standard_normal((200, 32)))
+    fine, rough = vector_neardup.window_counts(x @ rules.directions(32)[1], y @ rules.directions(32)[1], rules.window), None
+    a, b = (rules.sketches(v).astype(np.int16) for v in (x, y))
+    rough = vector_neardup.sketch_counts(a[:, : rules.counted], b[:, : rules.counted], rules.steps)
+    assert (rough >= fine).all() and (rough == vector_neardup.window_counts(a[:, : rules.counted], b[:, : rules.counted], rules.steps)).all()
+    brute = (np.abs(a[:, None, : rules.counted] - b[None, :, : rules.counted]) <= rules.steps).sum(2)
+    assert (rough == brute).all()
