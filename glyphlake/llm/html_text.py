@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .html_labels import labelled_pages
-from .shared import mapped_rows
+from .shared import mapped_rows, without
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|([^<]+|<)", re.S)
 ANY_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
@@ -351,14 +351,13 @@ def main_text(page: str | None, tree: DecisionTree) -> str:
 def extract_main_text(pages: DataFrame, html: str = "html", out: str = "text", tree: DecisionTree | None = None) -> DataFrame:
     """The rows with the main text in place of the page; a column already named ``out`` is replaced."""
     tree = tree or default_tree()
-    keep = [c for c in pages.columns if c.lower() not in (html.lower(), out.lower())]
 
-    def run(batches):
+    def run(batches, kept):
         for batch in batches:
             texts = [main_text(x.as_py(), tree) for x in batch.column("_in")]
-            yield batch.drop_columns(["_in"]).append_column("_out", pa.array(texts, pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "_out"])
 
-    return mapped_rows(pages, keep, f"`{html}`", run, "_out string", [out])
+    return mapped_rows(pages, without(pages, html, out), html, run, "_out string", [out])
 
 
 def op9_html_blocks(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .shared import extended
+from .shared import mapped_rows, without
 
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 512
@@ -180,13 +180,12 @@ def language_mixture(docs: DataFrame, model: LanguageModel, text: str = "text")
     """
     names = ["lang_pred", "score", "languages", "proportions"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop(*names)
-    schema = extended(kept, "lang_pred string, score double, languages array<string>, proportions array<double>")
+    made = [f"_{n}" for n in names]
 
-    def run(batches):
+    def run(batches, kept):
         model = shared.value
         for batch in batches:
-            texts = textops.blobs(batch.column(text))
+            texts = textops.blobs(batch.column("_in"))
             share = model.proportions(texts)
             pred, score, sets, parts = [], [], [], []
             for x, row in zip(texts, share):
@@ -197,9 +196,10 @@ def language_mixture(docs: DataFrame, model: LanguageModel, text: str = "text")
                 best = int(row.argmax())
                 pred.append(model.langs[best]), score.append(min(1.0, float(row[best])))
                 sets.append([model.langs[k] for k in used]), parts.append([float(row[k]) for k in used])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64()))], [*batch.schema.names, *names])
+            found = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *found], [*kept, *made])
 
-    return kept.mapInArrow(run, schema)
+    return mapped_rows(docs, without(docs, *names), text, run, "_lang_pred string, _score double, _languages array<string>, _proportions array<double>", names)
 
 
 def op1_language_mixture(spark, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import without
+
 #: More sources than this are refused: the schedule of one period is a table of their weights' sum.
 MAX_SOURCES = 10_000
 PERIOD = 1000
@@ -50,6 +52,7 @@ def integer_weights(sizes: list[tuple[str | None, int]], weights: dict | None, p
     """
     if not sizes:
         return []
+    weights = {None if s is None else str(s): w for s, w in weights.items()} if weights is not None else None
     wanted = [max(0.0, float(weights.get(s, 0.0))) if weights is not None else float(n) ** 0.5 for s, n in sizes]
     spare = max(0, period - len(sizes))
     total = sum(wanted) or 1.0
@@ -78,7 +81,7 @@ def period_schedule(spark, targets: list[tuple[str | None, int]]) -> DataFrame:
 
 def _sizes(docs: DataFrame, source: str) -> list[tuple[str | None, int]]:
     """Rows by source, in the order of the sources' names, null first."""
-    sizes = docs.groupBy(F.col(f"`{source}`").alias("s")).agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
+    sizes = docs.groupBy(F.col(f"`{source}`").cast("string").alias("s")).agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(sizes) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     return sorted(((r["s"], r["n"]) for r in sizes), key=lambda x: (x[0] is not None, x[0] or ""))
@@ -110,7 +113,7 @@ def pfair_mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weig
     blocks in the order of md5(key).
     """
     targets = integer_weights(_sizes(docs, source), weights, period)
-    kept = [c for c in docs.columns if c not in ("block", "slot", "place")]
+    kept = without(docs, "block", "slot", "place")
     return _placed(_ranked(docs.select(*[f"`{c}`" for c in kept]), source, key), targets, block_rows).select("_row.*", "block", "slot", "place")
 
 

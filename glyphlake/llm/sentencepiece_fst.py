@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import extended
+from .shared import mapped_rows, without
 
 MARK = "\u2581"
 #: What a Python worker keeps: chunks with their shortest paths, and arcs of the acceptor of adjacent pieces.
@@ -380,47 +380,41 @@ def encode_column(docs: DataFrame, model_path: str, text: str = "text", out: str
     are replaced. Rows leave in batches of ``size``. forget: workers drop the
     paths they keep when a task ends, for jobs with other large stages behind. Equal texts in a row are encoded once.
     """
-    drop = {text, out, check}
-    keep = [c for c in docs.columns if c not in drop]
-    schema = extended(docs.select(*[f"`{c}`" for c in keep]), f"`{out}` array<int>" + (f", `{check}` boolean" if check else ""))
-
     shipped = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
 
-    def run(batches):
+    def run(batches, kept):
         fst = transducer(shipped.value)
         pa.default_memory_pool().release_unused()
         for whole in batches:
             for at in range(0, whole.num_rows, size):
                 batch = whole.slice(at, size)
-                texts = batch.column(text).to_pylist()
+                texts = batch.column("_in").to_pylist()
                 rows = []
                 for k, x in enumerate(texts):
                     rows.append(rows[-1] if k and x == texts[k - 1] else None if x is None else fst.encode(x))
-                columns = [*(batch.column(c) for c in keep), _lists(rows)]
+                columns = [*(batch.column(c) for c in kept), _lists(rows)]
                 if check:
                     columns.append(pa.array([None if x is None else fst.decode(ids) == x for x, ids in zip(texts, rows)], pa.bool_()))
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
+                yield pa.RecordBatch.from_arrays(columns, [*kept, "_ids", *(["_check"] if check else [])])
         if forget:
             fst.forget()
             pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(run, schema)
+    names = [out, *([check] if check else [])]
+    return mapped_rows(docs, without(docs, text, *names), text, run, "_ids array<int>" + (", _check boolean" if check else ""), names)
 
 
 def decode_column(docs: DataFrame, model_path: str, ids: str = "ids", out: str = "text") -> DataFrame:
     """Replace piece numbers by the text they stand for; null gives null."""
-    keep = [c for c in docs.columns if c not in (ids, out)]
-    schema = extended(docs.select(*[f"`{c}`" for c in keep]), f"`{out}` string")
-
     shipped = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
 
-    def run(batches):
+    def run(batches, kept):
         fst = transducer(shipped.value)
         for batch in batches:
-            texts = [None if x is None else fst.decode(x) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], schema.names)
+            texts = [None if x is None else fst.decode(x) for x in batch.column("_in").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "_text"])
 
-    return docs.mapInArrow(run, schema)
+    return mapped_rows(docs, without(docs, ids, out), ids, run, "_text string", [out])
 
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"

@@ -20,14 +20,20 @@ def extended(df: DataFrame, ddl: str) -> StructType:
 
 
 def mapped_rows(df: DataFrame, keep: list[str], column: str, run, made: str, names: list[str]) -> DataFrame:
-    """Columns ``keep`` as they are and those that ``run`` makes of ``column`` (an expression), named ``names``.
+    """Columns ``keep`` as they are and those that ``run`` makes of ``column``, named ``names``.
 
-    run gets Arrow batches of the kept columns, under names of their own whatever they are called (with dots, say),
-    and ``_in``; it gives the kept ones and the columns of ``made``.
+    run(batches, kept) gets Arrow batches whose columns have names of their own, whatever they are called (with
+    dots, say): ``column`` is ``_in``, and those to keep are named in ``kept``. It gives the kept ones and those of ``made``.
     """
-    plain = [f"_{k}" for k in range(len(keep))]
-    rows = df.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(keep, plain)], F.expr(column).alias("_in"))
-    return rows.mapInArrow(run, extended(rows.drop("_in"), made)).toDF(*keep, *names)
+    kept = ["_in" if c == column else f"_{k}" for k, c in enumerate(keep)]
+    rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept)], *([] if column in keep else [F.col(f"`{column}`").alias("_in")]))
+    return rows.mapInArrow(lambda batches: run(batches, kept), extended(rows.select(*kept), made)).toDF(*keep, *names)
+
+
+def without(df: DataFrame, *names: str) -> list[str]:
+    """The columns but those named so, whatever their case."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -8,7 +8,8 @@ goes against it, so flexible models don't overfit the positives.
 The classifier is fitted on bounded samples, MAX_POSITIVE and MAX_UNLABELLED texts chosen by a hash of
 their id; scoring covers every text. Defined cases: null and empty texts have no words and get the bias
 alone; without positives the score is 0 everywhere; rows without a label are unlabelled; an id labelled
-twice counts as toxic if any of its rows is; repeated rows are scored alike.
+twice counts as toxic if any of its rows is; repeated rows are scored alike; of an id on several rows one text
+(the greatest) is learned from.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .shared import Scratch, extended
+from .shared import Scratch, mapped_rows, without
 
 DIMENSIONS = 1 << 19
 MAX_POSITIVE = 8000
@@ -105,6 +106,24 @@ def _sums(weights: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndar
     return sums[ends] - sums[ends - counts]
 
 
+def risk(yp: np.ndarray, yu: np.ndarray, prior: float) -> tuple[float, float]:
+    """(positive, negative) parts of the risk of scores of positive and unlabelled texts; the loss is a score's distance from its label.
+
+    The negative part, the unlabelled texts' loss as clean ones less what the toxic among them add, is below 0
+    only where the model is too sure of the positives it was shown. A bounded loss keeps one such text from
+    outweighing all others.
+    """
+    return prior * float((1 - yp).mean()), float(yu.mean() - prior * yp.mean())
+
+
+def slopes(yp: np.ndarray, yu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """What to follow down, by each text's logit: the gradient of the risk, or away from a negative part below 0."""
+    dp, du = prior * yp * (1 - yp) / len(yp), yu * (1 - yu) / len(yu)
+    if risk(yp, yu, prior)[1] >= 0:
+        return -2 * dp, du
+    return dp, -du
+
+
 class ToxicityModel:
     def __init__(self, weights: np.ndarray | None, bias: float):
         self.weights, self.bias = weights, bias
@@ -116,8 +135,8 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(_sums(self.weights, words, counts) + self.bias, -40, 40)))
 
     @classmethod
-    def fit(cls, positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 300, rate: float = 0.08, decay: float = 1e-4) -> ToxicityModel:
-        """positives, unlabelled: arrays of feature numbers, a text each."""
+    def fit(cls, positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 300, rate: float = 0.08, decay: float = 1e-5) -> ToxicityModel:
+        """positives, unlabelled: arrays of feature numbers, a text each. Follows ``slopes`` with Adam's steps."""
         if not positives or not unlabelled:
             return cls(None, 0.0)
         prior = min(max(prior, 1e-4), 0.9)
@@ -128,14 +147,7 @@ class ToxicityModel:
         sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         for step in range(1, rounds + 1):
             yp, yu = sigmoid(_sums(weights, p, n_p) + bias), sigmoid(_sums(weights, u, n_u) + bias)
-            negative = -np.log1p(-np.minimum(yu, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(yp, 1 - 1e-12)).mean()
-            # gradients by the score of each text: of the positive part, then of the negative part
-            gp = -prior * (1 - yp) / len(yp)
-            bp, bu = -prior * yp / len(yp), yu / len(yu)
-            if negative >= 0:
-                gp, gu = gp + bp, bu
-            else:
-                gp, gu = -bp, -bu
+            gp, gu = slopes(yp, yu, prior)
             grad = np.bincount(p, np.repeat(gp, n_p), DIMENSIONS) + np.bincount(u, np.repeat(gu, n_u), DIMENSIONS) + decay * weights
             slope = gp.sum() + gu.sum()
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
@@ -153,7 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
 
     def sample(ids: DataFrame, most: int) -> DataFrame:
         chosen = ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        return docs.join(F.broadcast(chosen), "doc_id", "left_semi")
+        # one text for each id, however many rows have it, so that no more than ``most`` come to the driver
+        return docs.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
 
     scratch = Scratch(docs.sparkSession, "toxicity")
     positives = scratch.put(sample(known.where("toxic = 1"), max_positive), "positives")
@@ -179,16 +192,15 @@ def different(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, least: flo
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows with score and predicted; columns of the input with these names are replaced."""
-    kept = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def run(batches, kept):
         model = shared.value
         for batch in batches:
-            score = np.concatenate([model.score(texts) for texts in _grouped(batch, text)] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            score = np.concatenate([model.score(texts) for texts in _grouped(batch, "_in")] or [np.zeros(0)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*kept, "_score", "_predicted"])
 
-    return kept.mapInArrow(run, extended(kept, "score double, predicted int"))
+    return mapped_rows(docs, without(docs, "score", "predicted"), text, run, "_score double, _predicted int", ["score", "predicted"])
 
 
 def op6_toxicity_pu(spark, sf_dir: str) -> DataFrame:

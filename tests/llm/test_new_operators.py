@@ -1,6 +1,7 @@
 """Periodic runs, license scans and Merkle manifests: brute-force twins, odd tables, planted cases."""
 
 import hashlib
+import os
 import zlib
 
 import duckdb
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphlake.llm import html_labels, html_text, license_scan, merkle_manifest, periodic_runs, queries, vector_neardup
+from glyphlake.llm import html_labels, html_text, language, license_scan, merkle_manifest, mixing, periodic_runs, queries, sentencepiece_fst, toxicity, vector_neardup
 from tests.conftest import SF
 
 DOCS = "doc_id long, text string, source string, lang string, n_chars long"
@@ -318,3 +319,73 @@ def test_sketches_lose_no_collision():
     assert (rough >= fine).all() and (rough == vector_neardup.window_counts(a[:, : rules.counted], b[:, : rules.counted], rules.steps)).all()
     brute = (np.abs(a[:, None, : rules.counted] - b[None, :, : rules.counted]) <= rules.steps).sum(2)
     assert (rough == brute).all()
+
+
+# toxicity ------------------------------------------------------------------------------------------------
+def test_risk_and_slopes_against_a_plain_version():
+    rng = np.random.default_rng(1)
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for shift in (-2.0, 3.0):
+        zp, zu, prior = rng.normal(2, 1, 30), rng.normal(-3 if shift > 0 else 0, 1, 50), 0.3
+        negative = lambda a, b: sum(sigmoid(b)) / 50 - prior * sum(sigmoid(a)) / 30
+        positive = lambda a: prior * sum(1 - sigmoid(a)) / 30
+        got = toxicity.risk(sigmoid(zp), sigmoid(zu), prior)
+        assert np.allclose(got, (positive(zp), negative(zp, zu)))
+        goal = (lambda a, b: positive(a) + negative(a, b)) if got[1] >= 0 else (lambda a, b: -negative(a, b))
+        assert (got[1] < 0) == (shift > 0)
+        gp, gu = toxicity.slopes(sigmoid(zp), sigmoid(zu), prior)
+        step = 1e-6
+        for k in (0, 7):
+            e = np.zeros(30)
+            e[k] = step
+            assert abs((goal(zp + e, zu) - goal(zp - e, zu)) / (2 * step) - gp[k]) < 1e-7
+            e = np.zeros(50)
+            e[k] = step
+            assert abs((goal(zp, zu + e) - goal(zp, zu - e)) / (2 * step) - gu[k]) < 1e-7
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    found = toxicity.op6_toxicity_pu(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in found}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.01 * n[0, 0]
+
+
+def test_toxicity_bounds_its_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"bad words {k}") for k in range(50)] + [(k, "good words here") for k in range(10, 40)] + [(2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    sizes = []
+    fit = toxicity.ToxicityModel.fit.__func__
+    monkeypatch.setattr(toxicity.ToxicityModel, "fit", classmethod(lambda cls, p, u, prior: sizes.append((len(p), len(u))) or fit(cls, p, u, prior)))
+    toxicity.train(docs, labels, max_positive=3, max_unlabelled=20)
+    assert sizes == [(1, 20)]
+    model = toxicity.train(docs, labels.limit(0))
+    assert [r["score"] for r in toxicity.score_toxicity(docs.limit(2), model).collect()] == [0.0, 0.0]
+
+
+def test_toxicity_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "x", 2, 3)], "doc_id long, text string, SCORE int, `a.b` int")
+    out = toxicity.score_toxicity(docs, toxicity.ToxicityModel(None, 0.0))
+    assert out.columns == ["doc_id", "text", "a.b", "score", "predicted"] and out.first()["a.b"] == 3
+
+
+# columns -------------------------------------------------------------------------------------------------
+def test_clashing_and_dotted_columns(spark):
+    docs = spark.createDataFrame([(1, "the night the day", "en", 5, 6, 7, 8)], "doc_id long, text string, lang string, SLOT int, IDS int, Score int, `a.b` int")
+    mixed = mixing.pfair_mix(docs.withColumn("source", F.lit("s")))
+    assert [c for c in mixed.columns if c.lower() == "slot"] == ["slot"] and mixed.first()["slot"] == 0 and mixed.first()["a.b"] == 8
+    model = language.LanguageModel.fit(docs.select("text", "lang"))
+    found = language.language_mixture(docs, model)
+    assert [c for c in found.columns if c.lower() == "score"] == ["score"] and found.first()["lang_pred"] == "en" and found.first()["a.b"] == 8
+    if os.path.exists(sentencepiece_fst.DEFAULT_MODEL):
+        pieces = sentencepiece_fst.encode_column(docs, sentencepiece_fst.DEFAULT_MODEL)
+        assert [c for c in pieces.columns if c.lower() == "ids"] == ["ids"] and pieces.first()["a.b"] == 8
+        assert sentencepiece_fst.decode_column(pieces.withColumn("TEXT", F.lit(1)), sentencepiece_fst.DEFAULT_MODEL).first()["text"] == "the night the day"
+
+
+def test_sources_of_whole_numbers(spark):
+    docs = spark.range(90).selectExpr("id as doc_id", "cast(if(id < 60, 3, 4) as int) as source")
+    rows = mixing.repeat_to_targets(docs, weights={3: 1, 4: 1}, block_rows=4, period=10).groupBy("source").count().collect()
+    n = {r["source"]: r["count"] for r in rows}
+    assert n[3] >= 60 and abs(n[3] - n[4]) < 8
+    assert mixing.pfair_mix(docs, weights={3: 1, 4: 1}, block_rows=4, period=10).count() == 90
