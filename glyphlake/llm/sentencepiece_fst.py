@@ -40,6 +40,8 @@ from .shared import mapped_rows, without
 MARK = "\u2581"
 #: What a Python worker keeps: chunks with their shortest paths, and arcs of the acceptor of adjacent pieces.
 KEPT_CHUNKS = 100_000
+#: As many where nothing else of the job needs the memory.
+MANY_CHUNKS = 300_000
 KEPT_PAIRS = 200_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -173,26 +175,34 @@ class Pieces:
         self.bytes = {int(p[0][3:5], 16): k for k, p in enumerate(model.pieces) if p[2] == BYTE}
         self.fallback = model.fallback and len(self.bytes) == 256
         self.texts = {k: text for text, k in self.ids.items()}
+        # pieces read backwards, to find those that end somewhere: character -> [label or None, further characters or None]
         self.tree: dict = {}
         for text, k in self.ids.items():
-            node = self.tree  # of the pieces read backwards, to find those that end somewhere
+            below, node = self.tree, None
             for c in reversed(text):
-                node = node.setdefault(c, {})
-            node[""] = k
-
-    def into(self, text: str, end: int) -> list[tuple[int, int]]:
-        """The lattice's arcs that end at a position of the string: (start, label), the longest first."""
-        at, node, arcs = end - 1, self.tree.get(text[end - 1]), []
-        label = None if node is None else node.get("")
-        arcs.append((at, -1 - ord(text[at]) if label is None else label))
-        while node is not None and at:
-            node = node.get(text[at - 1])
-            if node is not None:
-                at -= 1
-                label = node.get("")
-                if label is not None:
-                    arcs.append((at, label))
-        arcs.reverse()
+                if node is not None:
+                    if node[1] is None:
+                        node[1] = {}
+                    below = node[1]
+                node = below.setdefault(c, [None, None])
+            node[0] = k
+
+    def into(self, text: str, end: int) -> list[int]:
+        """The lattice's arcs that end at a position of the string, as start, label, start, label and so on, the shortest first."""
+        at = end - 1
+        node = self.tree.get(text[at])
+        if node is None:
+            return [at, -1 - ord(text[at])]
+        label, below = node
+        arcs = [at, -1 - ord(text[at]) if label is None else label]
+        while below is not None and at:
+            node = below.get(text[at - 1])
+            if node is None:
+                break
+            at -= 1
+            label, below = node
+            if label is not None:
+                arcs += (at, label)
         return arcs
 
     def text(self, label: int) -> str:
@@ -261,16 +271,40 @@ def shortest_path(text: str, pieces: Pieces, adjacent: Adjacent | None) -> list[
     cost[0] = 0.0
     into, weight, other = pieces.into, pieces.weights.get, pieces.fallback_weight
     if adjacent:
-        known, accepts, wide = adjacent.kept.get, adjacent.accepts, adjacent.WIDE
-        for end in range(1, size + 1):
-            for at, label in into(text, end):
-                apart = known(last[at] * wide + label)
-                if apart or (apart is None and accepts(last[at], label)):
-                    cost[end], back[end], last[end] = cost[at] + weight(label, other), at, label
+        known, accepts, wide, tree = adjacent.kept.get, adjacent.accepts, adjacent.WIDE, pieces.tree
+        for end, c in enumerate(text, 1):
+            # as ``into``, in place: this is where the time goes
+            at = end - 1
+            node = tree.get(c)
+            if node is None:
+                label, below = -1 - ord(c), None
+            else:
+                label, below = node
+                if label is None:
+                    label = -1 - ord(c)
+            arcs = [at, label]
+            while below is not None and at:
+                node = below.get(text[at - 1])
+                if node is None:
+                    break
+                at -= 1
+                label, below = node
+                if label is not None:
+                    arcs += (at, label)
+            while arcs:
+                label, at = arcs.pop(), arcs.pop()
+                before = last[at]
+                apart = known(before * wide + label)
+                if apart is None:
+                    apart = accepts(before, label)
+                if apart:
+                    cost[end], back[end], last[end] = cost[at] + 1.0, at, label
                     break
     else:
         for end in range(1, size + 1):
-            for at, label in into(text, end):
+            arcs = into(text, end)
+            while arcs:
+                label, at = arcs.pop(), arcs.pop()
                 total = cost[at] + weight(label, other)
                 if total < cost[end]:
                     cost[end], back[end], last[end] = total, at, label
@@ -292,6 +326,7 @@ class Transducer:
         self.adjacent = Adjacent(self.pieces, model) if model.kind == BPE else None
         apart = all(MARK not in text.lstrip(MARK) and "\n" not in text for text in self.pieces.ids)
         self.chunk = re.compile(rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n+" if apart and self.pieces.fallback else r"[\s\S]+")
+        self.most = KEPT_CHUNKS
         self.kept = _Chunks(self)
         self.out = self._outputs()
 
@@ -340,7 +375,7 @@ class _Chunks(dict):
         if found is None:
             found = array("i", self.fst.path(chunk)).tobytes()
         if len(chunk) <= 64:
-            if len(self) >= KEPT_CHUNKS:
+            if len(self) >= self.fst.most:
                 self.before = dict(self)
                 self.clear()
             self[chunk] = found
@@ -384,6 +419,7 @@ def encode_column(docs: DataFrame, model_path: str, text: str = "text", out: str
 
     def run(batches, kept):
         fst = transducer(shipped.value)
+        fst.most = KEPT_CHUNKS if forget else MANY_CHUNKS
         pa.default_memory_pool().release_unused()
         for whole in batches:
             for at in range(0, whole.num_rows, size):
