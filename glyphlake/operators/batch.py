@@ -7,9 +7,9 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType
 
-from .ranking import group_index
+from .free_numbers import free_numbers
 
 EXTENSIONS = ("jpg", "jpeg", "png")
 #: Device names that a file must not have.
@@ -40,41 +40,14 @@ def safe_stem(path: Column, normalise: bool = True) -> Column:
 def output_names(files: DataFrame, path: str, order: str, normalise: bool = True, block: int = 4096) -> DataFrame:
     """Add stem (unique but for case), output, mask and report paths; ``order`` is a whole number.
 
-    In the given order each file takes its safe stem or the first free one of stem_2, stem_3, and so on.
-    Where no file's own stem looks like a numbered one of a repeated stem, the number is the file's rank among
-    equals, counted in blocks of ``block`` orders. Only stems that such a name ties together are
-    settled one after the other, family by family.
+    In the given order each file takes its safe stem or the first free one of stem_2, stem_3, and so on (see
+    ``free_numbers``). Ranks are counted in blocks of ``block`` orders.
     """
-    schema = StructType([*files.schema.fields, StructField("stem", StringType())])
     columns = files.columns
-    kept = [f"`{c}`" for c in columns]
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[str] = set()
-        following: dict[str, int] = {}
-        stems = []
-        pdf = pdf.sort_values(order, kind="stable")
-        for base in pdf["_base"]:
-            key = base.casefold()
-            n = following.get(key, 1)
-            while (name := base if n == 1 else f"{base}_{n}").casefold() in used:
-                n += 1
-            following[key] = n + 1
-            used.add(name.casefold())
-            stems.append(name)
-        return pdf[columns].assign(stem=stems)
-
-    based = files.withColumn("_base", safe_stem(F.col(path), normalise)).withColumn("_key", F.lower("_base"))
-    family = F.regexp_replace("_key", r"(_[1-9][0-9]*)+$", "").alias("_family")
-    counts = based.groupBy("_key").agg(F.count("*").alias("_n"))
-    children = counts.select(F.col("_key").alias("_child"), F.regexp_extract("_key", r"^(.+)_[1-9][0-9]*$", 1).alias("_key")).where("_key <> ''")
-    ties = children.join(counts, "_key")
-    active = ties.where("_n > 1").select(family).distinct()
-    tied = ties.select("_key").union(ties.select("_child")).distinct().select("_key", family).join(active, "_family", "left_semi")
-
-    single = group_index(based.join(tied, "_key", "left_anti"), ["_key"], F.expr(f"`{order}` div {block}"), [order], "_k")
-    single = single.select(*kept, F.expr("if(_k = 0, _base, concat(_base, '_', _k + 1))").alias("stem"))
-    named = single.unionByName(based.join(tied, "_key").groupBy("_family").applyInPandas(settle, schema))
+    based = files.withColumn("_base", safe_stem(F.col(path), normalise)).withColumns({"key": F.lower("_base"), "at": F.col(order).cast("long")})
+    rows = based.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "_base", "key", "at")
+    numbers = free_numbers(rows.select(F.col("key").alias("key"), F.col("at").alias("at")), block)
+    named = rows.join(numbers, ["key", "at"]).select("_row.*", F.expr("if(number = 1, _base, concat(_base, '_', number))").alias("stem"))
     return named.withColumns({
         "output": F.concat(F.lit("images/"), "stem", F.lit("_date_removed.png")),
         "mask": F.concat(F.lit("masks/"), "stem", F.lit("_timestamp_mask.png")),

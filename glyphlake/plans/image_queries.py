@@ -10,6 +10,7 @@ from glyphlake.operators import pixels as P
 from glyphlake.operators import restore as R
 from glyphlake.operators import process as X
 from glyphlake.operators.components import component_table
+from glyphlake.operators import tiles as T
 from glyphlake.operators.scenes import BACKGROUND, HEIGHT, WIDTH, glyphs, scene_pixels
 
 H, W = HEIGHT, WIDTH
@@ -31,6 +32,17 @@ def _box(df: DataFrame) -> DataFrame:
     return df.selectExpr("photo_id", "pixels", "x0", "y0", "x1", "y1")
 
 
+def tile_components(spark, d):
+    """Components over the borders of tiles of 64 pixels: a diagonal and a ring that touch four tiles each, and dots."""
+    k = _keys(spark, d)
+    at = lambda n, y, x: k.selectExpr("photo_id", f"explode(sequence(0, {n} - 1)) as i").selectExpr("photo_id", f"cast({y} as int) as y", f"cast({x} as int) as x")
+    line = at(30, "50 + i + photo_id % 3", "50 + i")
+    ring = at(80, "118 + case i div 20 when 0 then 0 when 1 then i % 20 when 2 then 20 else i % 20 end", "118 + photo_id % 5 + case i div 20 when 0 then i % 20 when 1 then 20 when 2 then i % 20 else 0 end")
+    dots = at(12, "200 + 3 * i", "(photo_id % 7) + 11 * i")
+    c = T.tiled_component_table(line.unionByName(ring).unionByName(dots), 64)
+    return c.selectExpr("photo_id", "label", "area", "x0", "y0", "x1", "y1")
+
+
 def detect_scene(spark, d):
     found = D.detect(_pixels(spark, d), H, W)
     return found.selectExpr("photo_id", "round(score, 6) as score", "median_h", "radius", "get(s, 0).x0 as x0", "get(s, 7).x1 as x1")
@@ -189,8 +201,18 @@ _CHOSEN = """cb as (select photo_id, arg_max(s, score) as s, arg_max(greatest(3,
 ch as (select photo_id, radius, unnest(s).x0 as x0, unnest(s).x1 as x1, unnest(s).y0 as y0, unnest(s).y1 as y1 from cb),
 cc as (select distinct core.photo_id, y, x, radius from core join ch on ch.photo_id = core.photo_id and x between x0 and x1 and y between y0 and y1),
 cm as (select distinct photo_id, y + dy as y, x + dx as x from cc, range(-14, 15) a(dy), range(-14, 15) b(dx) where dy * dy + dx * dx <= radius * radius)"""
-QUERIES = {f.__name__: f for f in (detect_scene, component_stats, sequence_gaps, orange_count, mask_dilate, mask_l1_dilate, erosion_boundary, mask_bbox, changed_outside_mask, remaining_orange, edited_area, rescue_mask_bound, detected_core, undated_candidates, harmonic_fill_scene, restore_scene, process_scene, golden_pairs)}
+QUERIES = {f.__name__: f for f in (detect_scene, tile_components, component_stats, sequence_gaps, orange_count, mask_dilate, mask_l1_dilate, erosion_boundary, mask_bbox, changed_outside_mask, remaining_orange, edited_area, rescue_mask_bound, detected_core, undated_candidates, harmonic_fill_scene, restore_scene, process_scene, golden_pairs)}
 ORACLES = {
+    "tile_components": """with recursive k as (select s_suppkey as p from supplier),
+px as (
+  select p, 50 + i + p % 3 as y, 50 + i as x from k, range(0, 30) r(i)
+  union select p, 118 + case i // 20 when 0 then 0 when 1 then i % 20 when 2 then 20 else i % 20 end, 118 + p % 5 + case i // 20 when 0 then i % 20 when 1 then 20 when 2 then i % 20 else 0 end from k, range(0, 80) r(i)
+  union select p, 200 + 3 * i, p % 7 + 11 * i from k, range(0, 12) r(i)),
+c(p, y, x, root) as (
+  select p, y, x, y * 1000 + x from px
+  union select q.p, q.y, q.x, c.root from c join px q on c.p = q.p and abs(c.y - q.y) <= 1 and abs(c.x - q.x) <= 1 and c.root < q.y * 1000 + q.x),
+m as (select p, y, x, min(root) as root from c group by p, y, x)
+select p as photo_id, dense_rank() over (partition by p order by root)::bigint as label, count(*) as area, min(x)::int as x0, min(y)::int as y0, max(x)::int as x1, max(y)::int as y1 from m group by p, root""",
     "orange_count": f"with {_G} select photo_id, count(*) as pixels from core group by photo_id",
     "mask_bbox": f"with {_G} {_BOX.format('core')}",
     "mask_dilate": f"with {_G}, {_DISK} {_BOX.format('d3')}",
