@@ -8,12 +8,13 @@ from pyspark.sql.window import Window
 
 from glyphlake.operators import batch as B
 from glyphlake.operators import web_audit as A
+from glyphlake.operators.nearest import nearest
 from glyphlake.operators.ranking import global_index, group_index, group_percentiles, running_sum
 
 METHODS = ("harmonic", "harmonic_texture", "edge_guided", "bilateral", "edge_weighted", "edge_weighted_texture")
 POLICY = "default-src 'self'; script-src 'self' 'sha256-AAAA'; style-src 'self'; style-src-attr 'unsafe-inline'; worker-src 'none'"
 DEFAULT_ORIGIN = "https://fallback.example"
-QUERY_BLOCK, VECTOR_BLOCK, WINDOW_BLOCK = 1024, 8192, 4096
+WINDOW_BLOCK = 4096
 #: Names of a browser's network calls that a page without network must not hold (fixed values).
 NETWORK_CALLS = ["fetch(", "XMLHttpRequest", "sendBeacon", "WebSocket(", "FormData("]
 
@@ -225,23 +226,18 @@ def argmin_method(spark, d):
 
 
 def knn_weighted(spark, d):
-    """The 12 nearest of all vectors to every hundredth, and their weighted mean label.
-
-    The queries are dealt to blocks of about QUERY_BLOCK, and every vector to salts, so that a task compares one
-    salt with one block; it keeps 12 candidates of each query, and only those meet for the final choice.
-    """
-    v = _t(spark, d, "embeddings").where("embedding is not null").selectExpr("vec_id", "cast(embedding as array<double>) as e", "label")
-    n = v.count()
-    blocks, salts = max(1, n // 100 // QUERY_BLOCK), max(8, n // VECTOR_BLOCK)
-    q = v.where("vec_id % 100 = 0").selectExpr("vec_id as q", "e as qe", f"pmod(hash(vec_id), {blocks}) as block", f"explode(sequence(0, {salts - 1})) as salt")
-    dealt = v.selectExpr("*", f"pmod(xxhash64(vec_id), {salts}) as salt", f"explode(sequence(0, {blocks - 1})) as block")
-    d2 = "aggregate(zip_with(qe, e, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x)"
-    near = q.join(dealt, ["block", "salt"]).where("q <> vec_id").selectExpr("q", "salt", "vec_id", "label", f"round({d2}, 9) as d2")
-    best = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("d2", "vec_id"))).where("rank <= 12")
-    top = best(best(near, "q", "salt").drop("rank"), "q")
+    """The 12 nearest of all vectors to every hundredth, and their weighted mean label."""
+    v = _t(spark, d, "embeddings").where("embedding is not null").selectExpr("vec_id as id", "cast(embedding as array<double>) as e", "label")
+    top = nearest(v, v.where("id % 100 = 0").selectExpr("id as q", "e as qe"))
     return top.groupBy("q").agg(F.round(F.sum(F.col("label") / (F.col("d2") + 1e-3)) / F.sum(1.0 / (F.col("d2") + 1e-3)), 6).alias("mean_label"), F.min("d2").alias("nearest"))
 
 
+def knn_orders(spark, d):
+    """The 12 nearest parts by size, price and place in their list to every hundredth part."""
+    v = _t(spark, d, "part").selectExpr("p_partkey as id", "array(p_size / 5D, p_retailprice / 200D, p_partkey % 100 / 10D, p_partkey div 100 % 100 / 10D) as e")
+    return nearest(v, v.where("id % 100 = 0").selectExpr("id as q", "e as qe")).selectExpr("q", "id", "d2")
+
+
 def inline_scripts(spark, d):
     s = A.inline_scripts(_t(spark, d, "pages").select("page_id", "html"))
     return s.select("page_id", F.length("body").alias("length"), F.sha2("body", 256).alias("sha256"))
@@ -318,7 +314,7 @@ _FINDINGS = r"""with a as (
   union all select page_id, 'style', regexp_extract(s, '(?is)<style\b([^>]*)>(.*?)</style>', 2) from (select page_id, unnest(regexp_extract_all(html, '(?is)<style\b[^>]*>.*?</style>')) as s from pages) where page_id % 4 in (0, 1, 3)
   union all select page_id, 'style_attribute', '' from pages where page_id % 4 in (1, 3) and regexp_matches(html, '(?i)<[a-z][^>]*\sstyle\s*='))"""
 
-_ALL = (outcome_union, report_parts, file_facts, event_times, part_contrast, input_counts, review_boxes, csp_totals, header_policies, network_calls, manifest_counts, failure_messages, manifest_report_join, audit_errors, audit_rollup, report_json, output_names, dedup_first, running_count, page_grid, row_offsets, page_grid_all, row_offsets_all, file_sha256, distinct_hashes, percentile_band, robust_sigma, stride_sample, window_of_eight, sentinel_stop, base64_stream, argmin_method, knn_weighted, inline_scripts, inline_styles, csp_findings, static_boundary, url_host, platform_case)
+_ALL = (outcome_union, report_parts, file_facts, event_times, part_contrast, input_counts, review_boxes, csp_totals, header_policies, network_calls, manifest_counts, failure_messages, manifest_report_join, audit_errors, audit_rollup, report_json, output_names, dedup_first, running_count, page_grid, row_offsets, page_grid_all, row_offsets_all, file_sha256, distinct_hashes, percentile_band, robust_sigma, stride_sample, window_of_eight, sentinel_stop, base64_stream, argmin_method, knn_weighted, knn_orders, inline_scripts, inline_styles, csp_findings, static_boundary, url_host, platform_case)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
     "manifest_counts": f"with s as (select o_orderpriority as batch, {_STATUS} as status from orders) select batch, count(*) as total, count(*) filter (status = 'succeeded') as succeeded, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'canceled') as canceled from s group by batch",
@@ -365,6 +361,9 @@ select user_id, event_id, round(list_sum(v), 6) as total, round(list_max(v) - li
 n as (select q.vec_id as q, v.vec_id, v.label, round(list_sum([(q.e[i] - v.e[i]) * (q.e[i] - v.e[i]) for i in range(1, len(v.e) + 1)]), 9) as d2 from v q join v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0),
 t as (select *, row_number() over (partition by q order by d2, vec_id) as k from n)
 select q, round(sum(label / (d2 + 1e-3::double)) / sum(1.0::double / (d2 + 1e-3::double)), 6) as mean_label, min(d2) as nearest from t where k <= 12 group by q""",
+    "knn_orders": """with v as (select p_partkey as id, [p_size / 5.0::double, p_retailprice / 200.0::double, p_partkey % 100 / 10.0::double, p_partkey // 100 % 100 / 10.0::double] as e from part),
+n as (select q.id as q, v.id, round((q.e[1] - v.e[1]) * (q.e[1] - v.e[1]) + (q.e[2] - v.e[2]) * (q.e[2] - v.e[2]) + (q.e[3] - v.e[3]) * (q.e[3] - v.e[3]) + (q.e[4] - v.e[4]) * (q.e[4] - v.e[4]), 9) as d2 from v q join v on q.id <> v.id where q.id % 100 = 0)
+select q, id, d2 from n qualify row_number() over (partition by q order by d2, id) <= 12""",
     "inline_scripts": r"""with s as (select page_id, unnest(regexp_extract_all(html, '(?is)<script\b[^>]*>.*?</script>')) as s from pages)
 select page_id, length(b)::int as length, sha256(b) as sha256 from (select page_id, regexp_extract(s, '(?is)<script\b([^>]*)>(.*?)</script>', 2) as b, regexp_extract(s, '(?is)<script\b([^>]*)>', 1) as a from s)
 where not regexp_matches(a, '(?i)\bsrc=') and not regexp_matches(a, '(?i)\btype=("|'')?(application/json|application/ld\+json|importmap)')""",

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphlake.operators import batch, components, detect, free_numbers, tiles
+from glyphlake.operators import batch, components, detect, free_numbers, nearest, tiles
 
 
 def odd_photo(rng, photo, size=50):
@@ -83,3 +83,27 @@ def test_output_names_of_a_hot_family(spark):
     base = lambda k: f"Photo_{k // 3}" if k % 10 == 7 else "photo" if k % 2 == 0 else "PHOTO"
     assert rows == {k: base(k) + (f"_{n}" if n > 1 else "") for k, n in want.items()}
     assert len({v.lower() for v in rows.values()}) == 3000
+
+
+def test_nearest_equals_brute_force_and_prunes(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(3000, 5)) + rng.integers(0, 6, (3000, 1)) * 3, 3)
+    x[100:160] = x[100]  # copies, so ties and a hot cell
+    monkeypatch.setattr(nearest, "BLOCK", 300)
+    counted = []
+    compared = nearest.compared_pairs
+    monkeypatch.setattr(nearest, "compared_pairs", lambda *a: counted.append(compared(*a)) or counted[-1])
+    v = spark.createDataFrame([(k, r.tolist(), k % 3) for k, r in enumerate(x)], "id long, e array<double>, label int")
+    q = v.where("id % 40 = 0").selectExpr("id as q", "e as qe")
+    got = {}
+    for r in nearest.nearest(v, q).collect():
+        got.setdefault(r["q"], []).append((r["rank"], r["d2"], r["id"], r["label"]))
+    for k in range(0, 3000, 40):
+        d2 = np.round(((x - x[k]) ** 2).sum(1), 9)
+        order = [j for j in np.lexsort((np.arange(3000), d2)) if j != k][:12]
+        assert [(i, j) for i, _, j, _ in sorted(got[k])] == [(i + 1, j) for i, j in enumerate(order)]
+        assert np.allclose([d for _, d, _, _ in sorted(got[k])], d2[order], atol=2e-9)
+    assert sum(df.count() for df in counted) < 0.3 * 3000 * 75
+    few = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "id long, e array<double>")
+    assert sorted((r["q"], r["id"]) for r in nearest.nearest(few, few.selectExpr("id as q", "e as qe")).collect()) == [(1, 2), (2, 1)]
+    assert nearest.nearest(few.limit(0), few.selectExpr("id as q", "e as qe")).count() == 0
