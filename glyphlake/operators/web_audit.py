@@ -84,21 +84,31 @@ def permitted(sources: Column) -> Column:
     return allows_all_inline(sources) | hashed | (_begins(sources, "'nonce-") & has_attribute(F.col("attributes"), "nonce"))
 
 
+def _elements_of(html: Column, tag: str) -> Column:
+    """(kind, ordinal, attributes, body) of every element of a raw-text tag, as an array."""
+    pattern = F.lit(rf"(?is)<{tag}(?=[\s/>]){_LIST}>(.*?)</{tag}\s*>")
+    found = F.arrays_zip(F.regexp_extract_all(html, pattern, 1).alias("attributes"), F.regexp_extract_all(html, pattern, 2).alias("body"))
+    return F.transform(found, lambda b, k: F.struct(F.lit(tag).alias("kind"), k.alias("ordinal"), b["attributes"].alias("attributes"), b["body"].alias("body")))
+
+
 def findings(pages: DataFrame, id: str = "page_id", html: str = "html", policy: str = "policy") -> DataFrame:
     """(id, kind, ordinal, preview) of all that each page's policy (a column of text) would block.
 
-    A page without a policy blocks nothing. Elements meet their page's policy in a join on the id.
+    A page without a policy blocks nothing. Pages are read once: a page's elements leave it with its policy.
     """
-    rules = pages.where(F.col(policy).isNotNull()).select(id, parse_policy(F.col(policy)).alias("_p"))
-    preview = F.regexp_replace(F.substring("body", 1, 48), r"\s+", " ").alias("preview")
-
-    def blocked(kind: str, found: DataFrame, *directives: str) -> DataFrame:
-        return found.join(rules, id).where(~permitted(sources_for(F.col("_p"), *directives))).select(id, F.lit(kind).alias("kind"), "ordinal", preview)
-
-    styled = pages.where(F.col(policy).isNotNull() & has_style_attribute(F.col(html)) & ~allows_all_inline(sources_for(parse_policy(F.col(policy)), "style-src-attr", "style-src")))
-    out = blocked("script", inline_scripts(pages, id=id, html=html), "script-src-elem", "script-src")
-    out = out.unionByName(blocked("style", inline_styles(pages, id=id, html=html), "style-src-elem", "style-src"))
-    return out.unionByName(styled.select(id, F.lit("style_attribute").alias("kind"), F.lit(0).alias("ordinal"), F.lit("").alias("preview")))
+    text = F.col(html)
+    attributed = F.array(F.struct(F.lit("style_attribute").alias("kind"), F.lit(0).alias("ordinal"), F.lit("").alias("attributes"), F.lit("").alias("body")))
+    none = F.filter(attributed, lambda _: F.lit(False))
+    parts = F.concat(_elements_of(text, "script"), _elements_of(text, "style"), F.when(has_style_attribute(text), attributed).otherwise(none))
+    found = pages.where(F.col(policy).isNotNull()).select(id, parse_policy(F.col(policy)).alias("_p"), F.explode(parts).alias("_f")).select(id, "_p", "_f.*")
+    data = F.lower(F.trim(F.coalesce(attribute(F.col("attributes"), "type"), F.lit("")))).isin(DATA_TYPES)
+    rules = lambda *directives: sources_for(F.col("_p"), *directives)
+    blocked = (
+        F.when(F.col("kind") == "script", ~has_attribute(F.col("attributes"), "src") & ~data & ~permitted(rules("script-src-elem", "script-src")))
+        .when(F.col("kind") == "style", ~permitted(rules("style-src-elem", "style-src")))
+        .otherwise(~allows_all_inline(rules("style-src-attr", "style-src")))
+    )
+    return found.where(blocked).select(id, "kind", "ordinal", F.regexp_replace(F.substring("body", 1, 48), r"\s+", " ").alias("preview"))
 
 
 def boundary_errors(policy: Column) -> Column:

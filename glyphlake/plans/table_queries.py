@@ -143,7 +143,8 @@ def _cells(spark, d, start: int, limit: int | None, columns: int) -> DataFrame:
 
 
 def page_grid(spark, d):
-    return _cells(spark, d, 10, 1000, 4).select("p_partkey", "row", "col")
+    """The cells of a sheet with four columns, for all parts."""
+    return _cells(spark, d, 0, None, 4).select("p_partkey", "row", "col")
 
 
 def _offsets(cells: DataFrame) -> DataFrame:
@@ -153,16 +154,15 @@ def _offsets(cells: DataFrame) -> DataFrame:
 
 def row_offsets(spark, d):
     """Where the rows of a review sheet begin: heights of the rows before, and 8 pixels between."""
-    return _offsets(_cells(spark, d, 10, 1000, 4))
+    return _offsets(_cells(spark, d, 0, None, 4))
 
 
 def page_grid_all(spark, d):
-    """The grid of a sheet without start or limit."""
-    return _cells(spark, d, 0, None, 4).select("p_partkey", "row", "col")
+    return page_grid(spark, d)
 
 
 def row_offsets_all(spark, d):
-    return _offsets(_cells(spark, d, 0, None, 4))
+    return row_offsets(spark, d)
 
 
 def file_sha256(spark, d):
@@ -300,7 +300,6 @@ _REPORTS = """r as (
   from lineitem where l_linenumber = 1),
 e as (select *, list_filter([case when not verified then 'verify' end, case when coalesce(outside, 1) <> 0 then 'outside' end, case when not flag then 'flag' end,
   case when redetected then 'redetected' end, case when not coalesce(applied, false) then 'check_missing' end, case when imprint then 'imprint' end], lambda x: x is not null) as errors from r)"""
-_INDEXED = "c as (select p_partkey, p_size, row_number() over (order by p_partkey) - 1 as i from part), k as (select p_partkey, p_size, (i - 10) // 4 as row, (i - 10) % 4 as col from c where i >= 10 and i < 1010)"
 _ALL_CELLS = "c as (select p_partkey, p_size, row_number() over (order by p_partkey) - 1 as i from part), k as (select p_partkey, p_size, i // 4 as row, i % 4 as col from c)"
 _SAFE = r"""n as (select doc_id, regexp_replace('in/' || translate(split_part(text, chr(10), 1), chr(9) || '/', '  ') || '.jpg', '^.*/', '') as name from documents),
 s as (select doc_id, regexp_replace(trim(regexp_replace(nfc_normalize(left(name, length(name) - 4)), '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), ' .'), '\s+', ' ', 'g') as b from n),
@@ -343,8 +342,8 @@ select page_id, greatest(0, x0 - w)::int as x0, greatest(0, y0 - h)::int as y0,
     "dedup_first": """with f as (select c_custkey, (case when c_custkey % 3 = 0 then upper(c_mktsegment) else lower(c_mktsegment) end) || c_nationkey || case when c_custkey % 7 = 0 then '.gif' else '.jpg' end as path from customer)
 select min(c_custkey) as c_custkey, arg_min(path, c_custkey) as path from f where path like '%.jpg' group by lower(path) order by 1 limit 500""",
     "running_count": "select c_custkey, row_number() over (order by c_custkey) as done from customer",
-    "page_grid": f"with {_INDEXED} select p_partkey, row, col from k",
-    "row_offsets": f"with {_INDEXED}, h as (select row, max(p_size) as height from k group by row) select row, height, coalesce(sum(height + 8) over (order by row rows between unbounded preceding and 1 preceding), 0)::bigint as y from h",
+    "page_grid": f"with {_ALL_CELLS} select p_partkey, row, col from k",
+    "row_offsets": f"with {_ALL_CELLS}, h as (select row, max(p_size) as height from k group by row) select row, height, coalesce(sum(height + 8) over (order by row rows between unbounded preceding and 1 preceding), 0)::bigint as y from h",
     "page_grid_all": f"with {_ALL_CELLS} select p_partkey, row, col from k",
     "row_offsets_all": f"with {_ALL_CELLS}, h as (select row, max(p_size) as height from k group by row) select row, height, coalesce(sum(height + 8) over (order by row rows between unbounded preceding and 1 preceding), 0)::bigint as y from h",
     "file_sha256": "select doc_id, sha256(text) as sha256, to_base64(unhex(sha256(text))) as integrity from documents",
