@@ -142,3 +142,36 @@ def test_run_folders_are_claimed_once(spark, tmp_path):
         made = list(pool.map(lambda _: manifests.new_run_folder(spark, str(tmp_path), "Run"), range(8)))
     assert sorted(os.path.basename(p) for p in made) == ["Run", *(f"Run {k}" for k in range(2, 9))]
     assert not folders.claim(spark, str(tmp_path / "Run"))
+
+
+def test_png_rows_of_every_kind_and_damage():
+    import struct
+    import time
+    import zlib
+
+    import numpy as np
+
+    from glyphlake.functions import png
+
+    rng = np.random.default_rng(1)
+    image = rng.integers(0, 256, (40, 30, 3)).astype(np.int32)
+    raw = b""
+    for y in range(40):
+        kind, line = y % 5, image[y]
+        left = np.vstack([np.zeros((1, 3), int), line[:-1]])
+        up = image[y - 1] if y else np.zeros((30, 3), int)
+        corner = np.vstack([np.zeros((1, 3), int), up[:-1]])
+        p = left + up - corner
+        near = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+        guess = (0 * left, left, up, (left + up) >> 1, near)[kind]
+        raw += bytes([kind]) + ((line - guess) & 255).astype(np.uint8).tobytes()
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = chunk(b"IHDR", struct.pack(">IIBBBBB", 30, 40, 8, 2, 0, 0, 0))
+    data = png.SIGNATURE + head + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    assert (png.decode(data) == image).all()
+    for bad in (png.SIGNATURE, png.SIGNATURE + head, data[:-3], data[:60]):
+        with pytest.raises(ValueError, match="PNG"):
+            png.decode(bad)
+    start = time.perf_counter()
+    png._predicted(bytes(512 * 512 * 3), bytes(512 * 512 * 3), 3, False)
+    assert time.perf_counter() - start < 3
