@@ -41,7 +41,7 @@ MARK = "\u2581"
 #: What a Python worker keeps: chunks with their shortest paths, and arcs of the acceptor of adjacent pieces.
 KEPT_CHUNKS = 100_000
 #: As many where nothing else of the job needs the memory.
-MANY_CHUNKS = 300_000
+MANY_CHUNKS, MANY_PAIRS = 400_000, 1_000_000
 KEPT_PAIRS = 200_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -234,6 +234,7 @@ class Adjacent:
         self.pieces = pieces
         self.scores = {text: model.pieces[k][1] for text, k in pieces.ids.items()}
         self.kept: dict[int, bool] = {}
+        self.most = KEPT_PAIRS
 
     def merged(self, text: str) -> list[str]:
         """The merges of a BPE model on a short string: best score first, leftmost among equals."""
@@ -252,7 +253,7 @@ class Adjacent:
 
     def accepts(self, before: int, label: int) -> bool:
         """Whether there is an arc with the label from the state ``before``; kept under before * WIDE + label."""
-        if len(self.kept) >= KEPT_PAIRS:
+        if len(self.kept) >= self.most:
             self.kept.clear()
         pair = [self.pieces.text(x) for x in (before, label) if x != self.START]
         found = self.kept[before * self.WIDE + label] = self.merged("".join(pair)) == pair
@@ -336,6 +337,12 @@ class Transducer:
             labels = [self.pieces.ids.get(x, -1 - ord(x[0])) for x in self.adjacent.merged(chunk)]
         return self.pieces.output(labels)
 
+    def allow(self, chunks: int, pairs: int) -> None:
+        """How many paths and arcs may be kept."""
+        self.most = chunks
+        if self.adjacent:
+            self.adjacent.most = pairs
+
     def forget(self) -> None:
         """Drop all kept paths and arcs."""
         self.kept = _Chunks(self)
@@ -419,7 +426,7 @@ def encode_column(docs: DataFrame, model_path: str, text: str = "text", out: str
 
     def run(batches, kept):
         fst = transducer(shipped.value)
-        fst.most = KEPT_CHUNKS if forget else MANY_CHUNKS
+        fst.allow(*((KEPT_CHUNKS, KEPT_PAIRS) if forget else (MANY_CHUNKS, MANY_PAIRS)))
         pa.default_memory_pool().release_unused()
         for whole in batches:
             for at in range(0, whole.num_rows, size):
