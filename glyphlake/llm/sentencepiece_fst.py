@@ -268,40 +268,43 @@ def shortest_path(text: str, pieces: Pieces, adjacent: Adjacent | None) -> list[
     are tried first.
     """
     size = len(text)
-    cost, back, last = [INFINITE] * (size + 1), [0] * (size + 1), [Adjacent.START] * (size + 1)
-    cost[0] = 0.0
-    into, weight, other = pieces.into, pieces.weights.get, pieces.fallback_weight
     if adjacent:
-        known, accepts, wide, tree = adjacent.kept.get, adjacent.accepts, adjacent.WIDE, pieces.tree
+        back, last = [0] * (size + 1), [None] * (size + 1)
+        last[0] = adjacent.START
+        known, accepts, wide, tree = adjacent.kept.get, adjacent.accepts, adjacent.WIDE, pieces.tree.get
         for end, c in enumerate(text, 1):
             # as ``into``, in place: this is where the time goes
             at = end - 1
-            node = tree.get(c)
+            node = tree(c)
             if node is None:
-                label, below = -1 - ord(c), None
+                arcs = [at, -1 - ord(c)]
             else:
                 label, below = node
-                if label is None:
-                    label = -1 - ord(c)
-            arcs = [at, label]
-            while below is not None and at:
-                node = below.get(text[at - 1])
-                if node is None:
-                    break
-                at -= 1
-                label, below = node
-                if label is not None:
-                    arcs += (at, label)
+                arcs = [at, -1 - ord(c) if label is None else label]
+                while below is not None and at:
+                    at -= 1
+                    node = below.get(text[at])
+                    if node is None:
+                        break
+                    label, below = node
+                    if label is not None:
+                        arcs += (at, label)
             while arcs:
                 label, at = arcs.pop(), arcs.pop()
                 before = last[at]
+                if before is None:
+                    continue
                 apart = known(before * wide + label)
                 if apart is None:
                     apart = accepts(before, label)
                 if apart:
-                    cost[end], back[end], last[end] = cost[at] + 1.0, at, label
+                    back[end], last[end] = at, label
                     break
+        reached = last[size] is not None
     else:
+        cost, back, last = [INFINITE] * (size + 1), [0] * (size + 1), [0] * (size + 1)
+        cost[0] = 0.0
+        into, weight, other = pieces.into, pieces.weights.get, pieces.fallback_weight
         for end in range(1, size + 1):
             arcs = into(text, end)
             while arcs:
@@ -309,13 +312,15 @@ def shortest_path(text: str, pieces: Pieces, adjacent: Adjacent | None) -> list[
                 total = cost[at] + weight(label, other)
                 if total < cost[end]:
                     cost[end], back[end], last[end] = total, at, label
-    if cost[size] == INFINITE and size:
+        reached = cost[size] < INFINITE
+    if not reached:
         return None
     at, out = size, []
     while at:
         out.append(last[at])
         at = back[at]
-    return out[::-1]
+    out.reverse()
+    return out
 
 
 class Transducer:
@@ -371,14 +376,14 @@ class Transducer:
 
 
 class _Chunks(dict):
-    """Shortest paths by chunk, as packed 32-bit numbers: those met lately, and those of the round before them."""
+    """Shortest paths by chunk, as packed 32-bit numbers: those met lately, and those of the round before them that weren't met since."""
 
     def __init__(self, fst: Transducer):
         super().__init__()
         self.fst, self.before = fst, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        found = self.before.get(chunk)
+        found = self.before.pop(chunk, None)
         if found is None:
             found = array("i", self.fst.path(chunk)).tobytes()
         if len(chunk) <= 64:
@@ -460,10 +465,18 @@ def decode_column(docs: DataFrame, model_path: str, ids: str = "ids", out: str =
     return mapped_rows(docs, without(docs, ids, out), ids, run, "_text string", [out])
 
 
+#: Rows handed to a Python task at once: whole texts are large, and the JVM holds such a batch twice.
+BATCH_ROWS = 1000
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op5_sentencepiece(spark, sf_dir: str, model_path: str = DEFAULT_MODEL) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    # in a session of its own, set as the caller's is: rows are asked for later, and the caller's size of batches stays
+    session = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            session.conf.set(name, value)
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    docs = session.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = encode_column(docs, model_path, check="round_trip")
     return found.selectExpr("doc_id", "cast(size(ids) as bigint) as n_pieces", "ids", "round_trip")

@@ -162,6 +162,20 @@ def test_pieces_of_odd_tables(spark):
     assert lost.path("hello") == sentencepiece_fst.transducer(path).path("hello") and sentencepiece_fst.shortest_path("hello", lost.pieces, lost.adjacent) is None
 
 
+def test_worker_memory_of_pieces(spark):
+    """A chunk is kept once, and whole texts reach a worker in small batches without a change of the caller's session."""
+    fst = sentencepiece_fst.Transducer(sentencepiece_fst.read_model(sentencepiece_fst.DEFAULT_MODEL))
+    fst.allow(3, 100)
+    first = fst.encode("one two three four").tolist()
+    assert fst.kept.before and fst.encode("one two three four one").tolist()[: len(first)] == first
+    assert not fst.kept.keys() & fst.kept.before.keys()
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    found = sentencepiece_fst.op5_sentencepiece(spark, "/root/testdata/sf0.001")
+    assert found.sparkSession.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+    assert int(found.sparkSession.conf.get(name)) == sentencepiece_fst.BATCH_ROWS <= 1000 and spark.conf.get(name) == before
+    assert found.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
 # language, toxicity --------------------------------------------------------------------------------------
 def test_language_of_a_text_does_not_depend_on_its_neighbours(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
