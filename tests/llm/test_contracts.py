@@ -381,6 +381,29 @@ def test_registered_calls_hold_forward_and_cyclic_dependencies(spark):
     assert known.where("on > turn and conv_id % 10 = 3").count() > 0 and known.where("on > turn and conv_id % 10 = 7").count() > 0
 
 
+def test_whole_texts_in_calls(spark, tmp_path):
+    """Arguments hold the whole text of a turn, and repeated turns are ranked as in the SQL."""
+    import duckdb
+
+    from glyphlake.llm.queries import ORACLES, QUERIES
+
+    odd = ' \t"quoted" \\ 7 + 8 = 15, \u00e9\u4e2d\U0001f600\n'
+    rows = [(c, t, "assistant" if t % 2 else "user", (f"turn {c} {t}" + odd) * (5 * c + t % 3)) for c in range(1, 9) for t in range(8)]
+    rows += [(1, 1, "assistant", "zz" * 3), (1, 1, "assistant", "aa" * 6), (1, 1, "assistant", "b" * 7), (2, 1, "assistant", None), (3, 1, "assistant", "")]
+    table(spark, rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    said = {(c, f"c{c}-{t}"): text for c, t, role, text in rows[:64] if role == "assistant"}
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    for name, whole in (("op7_tool_links_all", True), ("op7_tool_links", False)):
+        got = QUERIES[name](spark, str(tmp_path))
+        want = con.sql(f"select {', '.join(got.columns)} from ({ORACLES[name]})").fetchall()
+        found = got.collect()
+        assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
+        if whole:
+            arguments = [(r["conv_id"], r["call_id"], json.loads(r["canonical"])["arguments"]) for r in found if r["name"] and r["call_id"] not in ("c1-1", "c2-1", "c3-1")]
+            assert len(arguments) == len(said) - 3 and all(said[c, k] in a.values() for c, k, a in arguments)
+
+
 # mixing ------------------------------------------------------------------------------------------------
 def test_mixing_of_odd_tables(spark):
     rows = [(k % 5 if k % 3 else None, "a" if k % 4 else None) for k in range(300)] + [(9, "b")] * 3
