@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from glyphlake.sources.folders import written
@@ -31,7 +33,10 @@ MOST_PIVOTS = 256
 BLOCK = 4096
 #: Room for the rounding of distances when bounds are compared.
 SLACK = 1e-9
-D2 = "aggregate(zip_with(qe, e, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x)"
+#: Squared distances that may be equal once they are rounded to nine digits.
+TIE = 2e-9
+#: Queries that are compared with a block at once.
+QUERIES = 64
 
 
 def _pivot_distances(column: pa.Array, pivots: np.ndarray) -> np.ndarray:
@@ -78,12 +83,51 @@ def _visits(queries: DataFrame, pivots: np.ndarray, sizes: np.ndarray, radius: n
     return queries.mapInArrow(run, "q long, qe array<double>, bound double, cell int, away double")
 
 
-def compared_pairs(visits: DataFrame, placed: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Queries and the vectors of the cells they visit that their bound allows, cell by cell in blocks."""
+def met_blocks(visits: DataFrame, placed: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries and vectors by the blocks (cell, salt) in which they meet."""
     dealt = placed.join(F.broadcast(blocks), "cell").withColumn("salt", F.expr("pmod(xxhash64(id), n)"))
     spread = visits.join(F.broadcast(blocks), "cell").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return spread.drop("n"), dealt.drop("n")
+
+
+def compared_pairs(visits: DataFrame, placed: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Queries and the vectors of the cells they visit that their bound allows, cell by cell in blocks."""
+    left, right = met_blocks(visits, placed, blocks)
     near = F.col("bound").isNull() | (F.abs(F.col("away") - F.col("far")) <= F.col("bound") + SLACK)
-    return spread.drop("n").join(dealt.drop("n"), ["cell", "salt"]).where((F.col("q") != F.col("id")) & near)
+    return left.join(right, ["cell", "salt"]).where((F.col("q") != F.col("id")) & near)
+
+
+def _compared(k: int, schema: StructType):
+    """The nearest vectors of a block to each query that visits it: the k first and what may tie with the last once distances are rounded."""
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        arrow = to_arrow_schema(schema)
+        if not len(left) or not len(right):
+            return arrow.empty_table()
+        q, ids, far = left.column("q").to_numpy(), right.column("id").to_numpy(), right.column("far").to_numpy()
+        away, bound = left.column("away").to_numpy(), left.column("bound").fill_null(np.inf).to_numpy()
+        queries, vectors = matrix(left.column("qe")), matrix(right.column("e")).T.copy()
+        rows, columns, found = [], [], []
+        for at in range(0, len(q), QUERIES):
+            part = slice(at, at + QUERIES)
+            d2 = np.zeros((len(q[part]), len(ids)))
+            for axis, values in enumerate(vectors):  # one after another, as sums of doubles depend on their order
+                step = queries[part, axis, None] - values
+                d2 += step * step
+            d2[(q[part, None] == ids) | (np.abs(away[part, None] - far) > bound[part, None] + SLACK)] = np.inf
+            last = np.partition(d2, k - 1, axis=1)[:, k - 1] if k <= len(ids) else np.full(len(d2), np.inf)
+            row, column = np.nonzero((d2 <= last[:, None] + TIE) & (d2 < np.inf))
+            rows.append(row + at)
+            columns.append(column)
+            found.append(d2[row, column])
+        taken = right.take(pa.array(np.concatenate(columns)))
+        made = {"q": pa.array(q[np.concatenate(rows)]), "d2": pa.array(np.concatenate(found))}
+        return pa.table([made[f.name] if f.name in made else taken.column(f.name) for f in arrow], schema=arrow)
+
+    return run
 
 
 def _best(pairs: DataFrame, k: int, *by: str) -> DataFrame:
@@ -110,9 +154,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 12, pivots: int | N
     more = [c for c in vectors.columns if c not in ("id", "e")]
 
     def found(rows: DataFrame) -> DataFrame:
-        met = compared_pairs(_visits(rows, table, sizes, radius, k), placed, blocks)
-        pairs = met.select("q", "cell", "salt", "id", F.expr(f"round({D2}, 9)").alias("d2"), *more)
-        return _best(pairs, k, "q", "cell", "salt").drop("rank", "cell", "salt")
+        left, right = met_blocks(_visits(rows, table, sizes, radius, k), placed, blocks)
+        kinds = StructType([StructField("q", LongType()), *[vectors.schema[c] for c in ("id", *more)], StructField("d2", DoubleType())])
+        pairs = left.groupBy("cell", "salt").cogroup(right.groupBy("cell", "salt")).applyInArrow(_compared(k, kinds), kinds)
+        return pairs.select("q", "id", F.round("d2", 9).alias("d2"), *more)
 
     first = written(_best(found(queries.select("q", "qe", F.lit(None).cast("double").alias("bound"))), k, "q").drop("rank"), "nearest")
     bounds = first.groupBy("q").agg(F.sqrt(F.max("d2")).alias("m"), F.count("*").alias("n")).select("q", F.when(F.col("n") >= k, F.col("m") + 1e-6).otherwise(float("inf")).alias("bound"))

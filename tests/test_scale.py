@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from glyphlake.operators import batch, components, detect, pixels as P, process, scenes
+from glyphlake.operators import batch, components, detect, nearest, pixels as P, process, scenes
 from glyphlake.plans import registry
 from tests.conftest import SF
 
@@ -119,3 +119,21 @@ def test_repeated_names_equal_the_sql(spark, tmp_path):
     want = con.sql(f"select doc_id, stem, output, mask, report from ({registry.ORACLES['output_names']})").fetchall()
     got = registry.QUERIES["output_names"](spark, str(tmp_path)).select("doc_id", "stem", "output", "mask", "report").collect()
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
+
+
+def test_neighbours_are_compared_in_blocks(spark, monkeypatch):
+    """Equal to brute force with ties, copies and blocks smaller than k; no pair of vectors is a row."""
+    monkeypatch.setattr(nearest, "BLOCK", 8)
+    monkeypatch.setattr(nearest, "QUERIES", 5)
+    x = np.random.default_rng(8).integers(0, 4, (400, 3)).astype(float)
+    v = spark.createDataFrame([(k, r.tolist(), k % 3) for k, r in enumerate(x)], "id long, e array<double>, label int")
+    found = nearest.nearest(v, v.where("id % 9 = 0").selectExpr("id as q", "e as qe"), pivots=7)
+    text = "\n".join(plan(found))
+    assert "CoGroups" in text and "zip_with" not in text
+    got = sorted(tuple(r) for r in found.select("q", "rank", "id", "label", "d2").collect())
+    want = []
+    for k in range(0, 400, 9):
+        d2 = ((x - x[k]) ** 2).sum(1)
+        order = [j for j in np.lexsort((np.arange(400), d2)) if j != k][:12]
+        want += [(k, i + 1, int(j), int(j) % 3, float(d2[j])) for i, j in enumerate(order)]
+    assert got == want
